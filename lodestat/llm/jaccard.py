@@ -210,11 +210,10 @@ def _cross(group: pa.Table, num: int, den: int) -> pa.Table:
 def _sets(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
         kept: dict[int, np.ndarray] = {}
-        for s in shingle_sets(b.column(0), k):
-            g = signature(s)
-            at = g % FILTER_BITS
-            if len(s) and bits[at >> 3] >> (at & 7) & 1:
-                kept[g] = s
+        rows = np.flatnonzero(bits[at >> 3] >> (at & 7) & 1) if len(at := b.column(1).to_numpy()) else at
+        for s in shingle_sets(b.column(0).take(pa.array(rows)), k):
+            if len(s):
+                kept[signature(s)] = s
         size = [len(s) for s in kept.values()]
         flat = np.concatenate(list(kept.values())).view(np.int64) if kept else np.zeros(0, np.int64)
         yield pa.record_batch([pa.array(list(kept), pa.int64()), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(flat))], ["s", "items"])
@@ -244,13 +243,17 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "t
         only.mapInArrow(lambda it: _postings(it, k, num, den, tokens, counts, buckets), "bucket int, spread boolean, entries binary")
         .groupBy("bucket").applyInArrow(lambda g: _candidates(g, num, den), "a long, b long, t long, n int, p int")
     )
-    named = found.select(F.col("a").alias("s")).unionByName(found.where("b is not null").select(F.col("b").alias("s")))
-    at = F.pmod("s", F.lit(FILTER_BITS))
-    words = named.groupBy(F.shiftright(at, 5).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(s, {FILTER_BITS}) % 32 as int))")).alias("v")).toPandas()
+    # Sets of the classes found, from the row with the smallest hash of each class: a filter of fixed size picks those rows.
+    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FILTER_BITS)).cast("int")
+    named = found.select(F.col("a").alias("class")).unionByName(found.where("b is not null").select(F.col("b").alias("class"))).distinct()
+    chosen = members.withColumn("h", place).groupBy("class").agg(F.min("h").alias("h")).join(named, "class", "left_semi")
+    words = chosen.groupBy(F.expr("h div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, h % 32)")).alias("v")).toPandas()
     bits = np.zeros(FILTER_BITS // 32, "<u4")
     bits[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).astype(np.uint32)
     bits = bits.view(np.uint8)
-    sets = cut(only.mapInArrow(lambda it: _sets(it, k, bits), "s long, items array<long>").groupBy("s").agg(F.first("items").alias("items")))
+    placed = docs.select(F.col(text).cast("string").alias("t"), F.col("doc_id").cast("long").alias("doc_id")).select("t", place.alias("h"))
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = cut(placed.mapInArrow(lambda it: _sets(it, k, bits), "s long, items array<long>").repartition(width, "s"))  # joins on s then move pairs only
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("s").alias("a"), F.col("items").alias("x")), sets.select(F.col("s").alias("b"), F.col("items").alias("y"))
