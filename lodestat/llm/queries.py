@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, recompress
+from . import bpe, jaccard, packing, recompress
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the 50k byte-level ranks, and the text they decode to, as digests."""
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, 4096, digest=True)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with 4-word shingle similarity of 0.85 or more."""
     return jaccard.groups(_table(spark, sf_dir, "documents"), 4, 85, 100)
@@ -24,7 +35,7 @@ def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_ngram_jaccard_join, op9_recompression_dedup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op5_power_of_two_packing, op8_ngram_jaccard_join, op9_recompression_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
