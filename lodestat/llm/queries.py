@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, packing, recompress, sharding
+from . import bpe, jaccard, packing, recompress, sharding, token_counts, toxicity
+from ._cut import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,24 @@ def op5_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, 4096, digest=True)
 
 
+def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals by source, language and tokenizer version after inserts, takedowns, revisions and a repeated commit.
+
+    Batch ``load`` inserts all documents. ``takedown`` deletes those labelled toxic. ``recount`` revises those labelled of low
+    quality (and not toxic) to a version that also counts an end id. ``load`` is then committed again, which changes nothing.
+    """
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    counts = cut(token_counts.counted(docs, public_tokenizers.path("word_bpe_49k.json"), "word_bpe_49k"))
+    marked = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    gone = counts.join(marked.where("toxic = 1"), "doc_id", "left_semi")
+    old = counts.join(marked.where("quality = 0 and not (toxic <=> 1)"), "doc_id", "left_semi")
+    new = old.withColumn("tokenizer", F.lit("word_bpe_49k+end")).withColumn("n_tokens", F.col("n_tokens") + 1)
+    rollup = token_counts.Rollup(spark, token_counts.shared_folder(spark, "rollup"))
+    for name, deltas in (("load", token_counts.inserts(counts)), ("takedown", token_counts.deletes(gone)), ("recount", token_counts.revisions(old, new)), ("load", token_counts.inserts(counts))):
+        rollup.commit(name, deltas)
+    return rollup.totals()
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with 4-word shingle similarity of 0.85 or more."""
     return jaccard.groups(_table(spark, sf_dir, "documents"), 4, 85, 100)
@@ -40,8 +59,15 @@ def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities and decisions of the classifier chain for all documents."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels, toxicity.CATEGORIES))
+    return out.select("doc_id", F.col("is_toxic").alias("toxic"), "p_low_quality", "p_toxic")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_kd_tree_shards, op5_power_of_two_packing, op8_ngram_jaccard_join, op9_recompression_dedup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op4_kd_tree_shards, op5_power_of_two_packing, op7_token_rollups, op8_ngram_jaccard_join, op9_recompression_dedup, op10_toxicity_chain)}
 
 
 def oracle_sql() -> dict[str, str]:
