@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
     """df, computed once and written to the folder named in spark.checkpoint.dir.
 
+    free: what led to it was large; have Spark delete those shuffle files now.
+
     A folder of our own is used only where the session names none, as in tests.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestat-"))
-    return df.checkpoint(True)
+    out = df.checkpoint(True)
+    if free:  # once collected, the shuffles that led to out go from all machines
+        gc.collect()
+        sc._jvm.System.gc()
+    return out
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:

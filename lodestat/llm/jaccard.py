@@ -46,7 +46,7 @@ BLOCK = 64
 SPREAD = 4096
 #: Entries of the table of frequent shingles: 12 MB at most.
 FREQUENT = 1 << 20
-ROUNDS = 3
+ROUNDS = 1
 CROSS_BLOCK = 2048
 FILTER_BITS = 1 << 24
 
@@ -241,7 +241,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "t
     only = docs.select(F.col(text).cast("string").alias("t"))
     found = cut(
         only.mapInArrow(lambda it: _postings(it, k, num, den, tokens, counts, buckets), "bucket int, spread boolean, entries binary")
-        .groupBy("bucket").applyInArrow(lambda g: _candidates(g, num, den), "a long, b long, t long, n int, p int")
+        .groupBy("bucket").applyInArrow(lambda g: _candidates(g, num, den), "a long, b long, t long, n int, p int"),
+        True,
     )
     # Sets of the classes found, from the row with the smallest hash of each class: a filter of fixed size picks those rows.
     place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FILTER_BITS)).cast("int")
@@ -253,14 +254,33 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "t
     bits = bits.view(np.uint8)
     placed = docs.select(F.col(text).cast("string").alias("t"), F.col("doc_id").cast("long").alias("doc_id")).select("t", place.alias("h"))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = cut(placed.mapInArrow(lambda it: _sets(it, k, bits), "s long, items array<long>").repartition(width, "s"))  # joins on s then move pairs only
+    sets = cut(placed.mapInArrow(lambda it: _sets(it, k, bits), "s long, items array<long>").repartition(width, "s"), True)  # joins on s then move pairs only
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("s").alias("a"), F.col("items").alias("x")), sets.select(F.col("s").alias("b"), F.col("items").alias("y"))
         both = F.size(F.array_intersect("x", "y")).cast("long")
-        return cut(pairs.distinct().join(left, "a").join(right, "b").where(both * (num + den) >= (F.size("x") + F.size("y")).cast("long") * num).select("a", "b"))
-
-    links = verified(found.where("b is not null").select("a", "b"))
+        return cut(pairs.distinct().join(left, "a").join(right, "b").where(both * (num + den) >= (F.size("x") + F.size("y")).cast("long") * num).select("a", "b"), True)
+
+    def settled(pairs: DataFrame, links: DataFrame | None) -> DataFrame:
+        """links with those of pairs that similar sets do not make needless: first each set meets one partner, in two
+        turns; then only pairs of different components are left to verify."""
+        pairs, tried = cut(pairs.distinct()), None
+        for turn in range(3):
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            if links is not None:
+                c = components(links)
+                for x in ("a", "b"):
+                    pairs = pairs.join(c.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left")
+                pairs = cut(pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
+            tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if turn < 2 else pairs
+            if pairs.isEmpty():
+                break
+            more = verified(tried)
+            links = more if links is None else links.unionByName(more)
+        return links if links is not None else verified(pairs)
+
+    links = settled(found.where("b is not null").select("a", "b"), None)
     lists = found.where("b is null").select("t", F.col("a").alias("s"), "n", "p")
     if lists.isEmpty():
         return members, links
@@ -271,16 +291,12 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "t
     for turn in range(ROUNDS):
         heads = labelled(links).groupBy("t", "c").agg(F.min_by(F.struct("s", "n", "p"), F.struct("n", "s")).alias("h")).select("t", "h.*")
         stretch = F.when(F.lit(turn + 1 < ROUNDS), F.pmod(F.xxhash64("s", F.lit(turn)), F.lit(8))).otherwise(F.pmod(F.xxhash64("s"), F.lit(2)))
-        more = verified(heads.groupBy("t", stretch.alias("g")).applyInArrow(lambda g: _linked_heads(g, num, den), "a long, b long"))
-        if more.isEmpty():
-            break
-        links = cut(links.unionByName(more).distinct())
+        links = settled(heads.groupBy("t", stretch.alias("g")).applyInArrow(lambda g: _linked_heads(g, num, den), "a long, b long"), links)
     left = labelled(links)
     mixed = left.groupBy("t").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t", F.ceil(F.col("m") / CROSS_BLOCK).cast("int").alias("blocks"))
     left = left.join(mixed, "t").withColumn("i", F.pmod(F.xxhash64("s", F.lit(7)), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
     left = left.select("t", "s", "n", "p", "c", F.least("i", "o").alias("lo"), F.greatest("i", "o").alias("hi"), F.when(F.col("i") > F.col("o"), 1).otherwise(0).alias("side"))
-    more = verified(left.groupBy("t", "lo", "hi").applyInArrow(lambda g: _cross(g, num, den), "a long, b long"))
-    return members, links.unionByName(more).distinct()
+    return members, settled(left.groupBy("t", "lo", "hi").applyInArrow(lambda g: _cross(g, num, den), "a long, b long"), links)
 
 
 def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, packing, recompress, sharding, token_counts, toxicity
+from . import bpe, cross_entropy, jaccard, packing, recompress, sharding, token_counts, toxicity
 from ._cut import cut
 
 
@@ -30,6 +30,12 @@ def op5_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, 4096, digest=True)
 
 
+def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much more each document is like those labelled of good quality and not toxic than like the corpus."""
+    labels = _table(spark, sf_dir, "labels")
+    return cross_entropy.score(_table(spark, sf_dir, "documents"), labels.where("quality = 1 and toxic = 0"))
+
+
 def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals by source, language and tokenizer version after inserts, takedowns, revisions and a repeated commit.
 
@@ -67,7 +73,7 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_kd_tree_shards, op5_power_of_two_packing, op7_token_rollups, op8_ngram_jaccard_join, op9_recompression_dedup, op10_toxicity_chain)}
+    return {f.__name__: f for f in (op1_byte_bpe, op4_kd_tree_shards, op5_power_of_two_packing, op6_cross_entropy_difference, op7_token_rollups, op8_ngram_jaccard_join, op9_recompression_dedup, op10_toxicity_chain)}
 
 
 def oracle_sql() -> dict[str, str]:
