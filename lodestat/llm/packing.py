@@ -37,9 +37,7 @@ def _pieces(it: Iterator[pa.RecordBatch], path: str, end: int, size: int):
     """For each batch: doc_id column, ids, and numpy columns row, start, length, total."""
     coder = words_bpe.load(path)
     for b in it:
-        texts = b.column(1).to_pylist()
-        for i, j in words_bpe.batches(texts):
-            ids, at = coder.encode(texts[i:j])
+        for i, j, ids, at in coder.encode(b.column(1)):
             n = np.diff(at) + 1
             ids = np.insert(ids, at[1:], end)
             cuts = [lengths(int(x), size) for x in n]

@@ -36,9 +36,7 @@ def counted(docs: DataFrame, path: str, version: str, text: str = "text") -> Dat
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = words_bpe.load(path)
         for b in batches:
-            texts, n = b.column(3).to_pylist(), []
-            for i, j in words_bpe.batches(texts):
-                n.append(np.diff(coder.encode(texts[i:j])[1]))
+            n = [np.diff(at) for *_, at in coder.encode(b.column(3))]
             yield pa.record_batch([*b.columns[:3], pa.array(np.concatenate(n) if n else np.zeros(0), pa.int64())], ["doc_id", "source", "lang", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col(text).cast("string").alias("t"))

@@ -1,32 +1,29 @@
 """Ids of a whole-word tokenizer, remembered by word.
 
 The tokenizer drops white space before it splits, and neither its normaliser nor its split looks past a blank or a line
-feed, so a text's ids are those of its blank-separated parts in order. Parts are encoded once, in batches, and a
-document's ids are gathered with numpy. Parts that hold other white space go through the tokenizer like any other.
+feed, so a text's ids are those of its blank-separated parts in order. Parts are found and fingerprinted (64 bits) in the
+UTF-8 buffer; each distinct part goes through the tokenizer once, and documents' ids are gathered with numpy. Parts that hold other
+white space are parts like any other.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-from itertools import chain
 
 import numpy as np
 
-#: Parts remembered by a worker; the pool starts anew beyond this many parts or ids.
-MEMO_PARTS, MEMO_IDS = 500_000, 4_000_000
+from ._text import U, blocks, buffer, separators, words
 
+#: A worker's memory of parts starts anew beyond this many parts or ids (about 150 MB).
+MEMO_PARTS, MEMO_IDS = 3_000_000, 12_000_000
+_BLANKS = separators(b" \n")
 
-class _Places(dict):
-    """Numbers parts in the order in which they are first seen; new: those that are not encoded yet."""
 
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, part: str) -> int:
-        self[part] = n = len(self)
-        self.new.append(part)
-        return n
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    while len(x) < n:
+        x = np.r_[x, np.zeros_like(x)]
+    return x
 
 
 class WordIds:
@@ -38,7 +35,7 @@ class WordIds:
         self._reset()
 
     def _reset(self) -> None:
-        self.at = _Places()
+        self.keys, self.places = np.zeros(0, U), np.zeros(0, np.int64)  # sorted fingerprints, and the number of each part
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size, self.parts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
@@ -46,46 +43,49 @@ class WordIds:
         for k in range(0, len(parts), 4096):
             some = parts[k : k + 4096]
             e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)  # each part by itself
-            n, m = len(e.ids), len(some)
-            while self.used + n > len(self.pool):
-                self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
-            while self.parts + m > len(self.start):
-                self.start, self.size = np.r_[self.start, np.zeros_like(self.start)], np.r_[self.size, np.zeros_like(self.size)]
+            ids, m = e.ids, len(some)
+            n = len(ids)
+            self.pool = _room(self.pool, self.used + n)
+            self.start, self.size = _room(self.start, self.parts + m), _room(self.size, self.parts + m)
             size = np.bincount(np.array(e.word_ids, np.int64), minlength=m)
-            self.pool[self.used : self.used + n] = e.ids
+            self.pool[self.used : self.used + n] = ids
             self.start[self.parts : self.parts + m] = self.used + np.cumsum(size) - size
             self.size[self.parts : self.parts + m] = size
             self.used += n
             self.parts += m
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in order, where each text's begin, and the end)"""
+    def _numbers(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each part; parts not met before are learnt."""
         if self.parts > MEMO_PARTS or self.used > MEMO_IDS:
             self._reset()
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
-        self._learn(self.at.new)
-        self.at.new = []
-        start, size = self.start[at], self.size[at]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        place = np.arange(total) + np.repeat(start - (ends - size), size)
-        return self.pool[place], np.r_[0, ends][np.r_[0, np.cumsum(n)]]
+        u, first, of = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, u)
+        known = np.zeros(len(u), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(at, len(self.keys) - 1)] == u
+        number = np.empty(len(u), np.int64)
+        number[known] = self.places[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            number[new] = self.parts + np.arange(len(new))
+            raw = data.tobytes()
+            self._learn([raw[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self.keys, self.places = np.insert(self.keys, at[new], u[new]), np.insert(self.places, at[new], number[new])
+        return number[of]
+
+    def encode(self, column):
+        """For consecutive row ranges of a string column: (first row, row after, ids, where each row's ids begin, and the end)"""
+        data, at = buffer(column)
+        for i, j in blocks(at):
+            part = data[at[i] : at[j]]
+            h, starts, ends, first = words(part, at[i : j + 1] - at[i], separator=_BLANKS)
+            number = self._numbers(h, part, starts, ends)
+            start, size = self.start[number], self.size[number]
+            stop = np.cumsum(size)
+            place = np.arange(stop[-1] if len(stop) else 0) + np.repeat(start - (stop - size), size)
+            yield i, j, self.pool[place], np.r_[0, stop][first]
 
 
 @functools.lru_cache(4)
 def load(path: str) -> WordIds:
     return WordIds(path)
-
-
-def batches(texts: list, most: int = 1 << 21):
-    """Row ranges of about ``most`` characters; a longer row stands alone."""
-    i = 0
-    while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j] or "") <= most):
-            n += len(texts[j] or "")
-            j += 1
-        yield i, j
-        i = j
