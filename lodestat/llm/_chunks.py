@@ -19,10 +19,11 @@ from ._cut import text_bytes
 CHUNK_BYTES = 6 << 20
 
 
-def chunked(docs: DataFrame, least: int = 48, text: str = "text") -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text) and the number of key ranges that suits the corpus."""
+def chunked(docs: DataFrame, least: int = 48, text: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(chunk, doc_id, text, and carry_<name> of carry) and the number of key ranges that suits the corpus."""
     n = max(least, text_bytes(docs, text) // CHUNK_BYTES)
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), n
+    key = F.col("doc_id").cast("long")
+    return docs.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("chunk"), key.alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry]), n
 
 
 def in_order(group: pa.Table) -> pa.Table:

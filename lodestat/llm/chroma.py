@@ -105,7 +105,7 @@ def fingerprints(media: DataFrame, id: str = "id", audio: str = "audio", rate: i
     return media.select(F.col(id).cast("long").alias("id"), F.col(audio).cast("binary").alias("a")).mapInArrow(of, "id long, fingerprint array<int>, class string")
 
 
-def align(prints: DataFrame, queries: DataFrame, votes: int = 3, most_errors: float = 0.3, overlap: int = 16) -> DataFrame:
+def align(prints: DataFrame, queries: DataFrame, votes: int = 2, most_errors: float = 0.25, overlap: int = 16) -> DataFrame:
     """query_id, match_id, copies, offset, votes, bit_error_rate: the classes of recordings that align with each query.
 
     prints: fingerprints(); queries: those of its rows that ask. match_id is the smallest id of a class, copies its size;
@@ -133,11 +133,11 @@ NOTES, NOTE = 32, 500
 
 
 def render(values: np.ndarray) -> bytes:
-    """A tune as PCM: each value gives a note (its tone by size) of 1/8 second with one overtone."""
+    """A tune as PCM: each value gives a note (its tone by size, in steps of three semitones) of 1/8 second with one overtone."""
     v = np.nan_to_num(np.asarray(values, np.float64)[:NOTES])
     if not len(v) or not np.abs(v).max() > 0:
         return b""
-    tone = np.clip(np.round(12 + 9 * v / np.sqrt((v * v).mean())), 0, 35)
+    tone = np.clip(12 + 3 * np.round(2 * v / np.sqrt((v * v).mean())), 0, 36)
     f = np.repeat(110.0 * 2 ** (tone / 12), NOTE)
     phase = 2 * np.pi * np.cumsum(f) / RATE
     return (9000 * np.sin(phase) + 3000 * np.sin(2 * phase)).astype("<i2").tobytes()

@@ -313,7 +313,9 @@ def near_copies_removed(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     Rows without words stay. Of repeated rows with one doc_id one stays (unless without words); rows with a
     null doc_id stay, as nothing says which of a group they are.
     """
-    kept = groups(docs, k, num, den).where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "__kept")
+    kept = groups(docs, k, num, den).where("doc_id = component_id").select("doc_id").distinct()
     at = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = docs.join(kept, F.expr("cast(doc_id as long) <=> __kept"), "left").where("__kept is not null or doc_id is null").drop("__kept")
-    return one.withColumn("__n", F.when(F.col("doc_id").isNull() | F.coalesce(F.trim("text"), F.lit("")).eqNullSafe(""), 1).otherwise(F.row_number().over(at))).where("__n = 1").drop("__n")
+    blank = F.coalesce(F.regexp_replace("text", r"[ \t-\r]", "") == "", F.lit(True))
+    named = docs.where("doc_id is not null").join(kept, "doc_id").select(*docs.columns)
+    named = named.withColumn("__n", F.when(blank, 1).otherwise(F.row_number().over(at))).where("__n = 1").drop("__n")
+    return named.unionByName(docs.where("doc_id is null"))

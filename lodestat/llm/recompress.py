@@ -186,29 +186,49 @@ def _marked(group: pa.Table, replies: pa.Table, k: int) -> tuple[_Chunk, np.ndar
     return c, np.cumsum(change)[:-1] > 0
 
 
-def _strip(group: pa.Table, replies: pa.Table, k: int) -> pa.Table:
+def _strip(group: pa.Table, replies: pa.Table, k: int, as_is: bool) -> pa.Table:
+    carried = [c for c in group.column_names if c.startswith("carry_")]
     if not len(group):
-        return SCHEMA.empty_table()
+        return pa.table([pa.array([], f.type) for f in SCHEMA] + [group[c] for c in carried], names=SCHEMA.names + carried)
     c, gone = _marked(group, replies, k)
     removed = np.r_[0, np.cumsum(gone)]
     n_words, n_removed = np.diff(c.first), removed[c.first[1:]] - removed[c.first[:-1]]
-    kept = []
+    kept: list = []
     for t, f, n, r in zip(c.table["text"].to_pylist(), c.first, n_words, n_removed, strict=False):
+        if as_is and not r:
+            kept.append(t)
+            continue
         w = (t or "").encode().split()
         kept.append(b" ".join(compress(w, (~gone[f : f + n]).tolist()) if r else w))
-    ids = c.table["doc_id"].combine_chunks()
-    return pa.table([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], schema=SCHEMA)
+    if as_is:
+        kept = [x.decode() if isinstance(x, bytes) else x for x in kept]
+    text = pa.array(kept, pa.string()) if as_is else pa.array(kept, pa.binary()).cast(pa.string())
+    return pa.table([c.table["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), text] + [c.table[x] for x in carried], names=SCHEMA.names + carried)
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
-def remove_repeats(docs: DataFrame, k: int = 20, text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the kept words joined by one space) of each row."""
-    base, n = chunked(docs, text=text)
+def remove_repeats(docs: DataFrame, k: int = 20, text: str = "text", carry: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed and kept (the kept words joined by one space) of each row, then carry_<name> of carry.
+
+    as_is: the kept text of rows that lose nothing is their text, with its own white space (null if null).
+    """
+    base, n = chunked(docs, text=text, carry=carry)
     groups = base.groupBy("chunk")
     first = answered(groups.applyInArrow(lambda g: _ask_symbols(g, n), "range int, chunk int, keys binary, twice binary"), _shared)
     asked = base.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(lambda g, r: _ask_windows(g, r, n, k), "range int, chunk int, keys binary, doc binary")
     second = answered(asked, _first_owner, KEY)
     both = first.withColumn("kind", F.lit(0)).unionByName(second.withColumn("kind", F.lit(1)))
-    return base.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(lambda g, r: _strip(g, r, k), "doc_id long, n_words long, n_removed long, kept string")
+    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name.startswith("carry_"))
+    return base.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(lambda g, r: _strip(g, r, k, as_is), "doc_id long, n_words long, n_removed long, kept string" + extra)
+
+
+def without_repeats(docs: DataFrame, k: int = 50) -> DataFrame:
+    """docs with the same columns, texts (and n_chars) without the words of repeated windows; rows that lose nothing stay as they are."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    out = remove_repeats(docs, k, carry=others, as_is=True)
+    value = {"doc_id": F.col("doc_id"), "text": F.col("kept")} | {c: F.col(f"carry_{c}") for c in others}
+    if "n_chars" in others:
+        value["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("carry_n_chars"))
+    return out.select(*[value[c].alias(c) for c in docs.columns])
