@@ -47,6 +47,8 @@ SPREAD = 4096
 #: Entries of the table of frequent shingles: 12 MB at most.
 FREQUENT = 1 << 20
 ROUNDS = 1
+#: Pairs that are broadcast at most (16 bytes each).
+BROADCAST_PAIRS = 500_000
 CROSS_BLOCK = 2048
 FILTER_BITS = 1 << 24
 
@@ -253,13 +255,17 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "t
     bits[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).astype(np.uint32)
     bits = bits.view(np.uint8)
     placed = docs.select(F.col(text).cast("string").alias("t"), F.col("doc_id").cast("long").alias("doc_id")).select("t", place.alias("h"))
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = cut(placed.mapInArrow(lambda it: _sets(it, k, bits), "s long, items array<long>").repartition(width, "s"), True)  # joins on s then move pairs only
+    sets = cut(placed.mapInArrow(lambda it: _sets(it, k, bits), "s long, items array<long>"), True)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left, right = sets.select(F.col("s").alias("a"), F.col("items").alias("x")), sets.select(F.col("s").alias("b"), F.col("items").alias("y"))
+        """The pairs that are similar. Each b's set moves to its a, and only sets that are asked for move: few enough pairs are broadcast for that."""
+        pairs = pairs.distinct()
+        small = pairs.count() <= BROADCAST_PAIRS
+        asked = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+        left = sets.select(F.col("s").alias("a"), F.col("items").alias("x")).join(asked(pairs.select("a").distinct()), "a", "left_semi")
+        right = sets.select(F.col("s").alias("b"), F.col("items").alias("y")).join(asked(pairs), "b")
         both = F.size(F.array_intersect("x", "y")).cast("long")
-        return cut(pairs.distinct().join(left, "a").join(right, "b").where(both * (num + den) >= (F.size("x") + F.size("y")).cast("long") * num).select("a", "b"), True)
+        return cut(right.join(left, "a").where(both * (num + den) >= (F.size("x") + F.size("y")).cast("long") * num).select("a", "b").distinct(), True)
 
     def settled(pairs: DataFrame, links: DataFrame | None) -> DataFrame:
         """links with those of pairs that similar sets do not make needless: first each set meets one partner, in two
