@@ -126,13 +126,19 @@ def fit_chain(names: list[str], row: np.ndarray, feature: np.ndarray, y: np.ndar
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability at which F1 of out-of-fold predictions is largest, in the middle of its gap; 2 if there are no positives."""
+    """The probability at which F1 of out-of-fold predictions is largest, in the middle of its gap.
+
+    Only cuts where at least half of what is rejected is positive count; without any (or without positives) it is 2: nothing is rejected.
+    """
     if not len(y) or not y.any() or y.all():
         return 2.0
     o = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[o])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     f1[:-1][p[o][:-1] == p[o][1:]] = 0
+    f1[2 * hits < np.arange(1, len(y) + 1)] = 0
+    if not f1.any():
+        return 2.0
     i = int(np.argmax(f1))
     return float((p[o][i] + (p[o][i + 1] if i + 1 < len(y) else 0)) / 2)
 
@@ -159,8 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, i
     return fit_chain(list(categories), np.repeat(np.arange(len(got)), size), feature, y, fold)
 
 
-def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
-    """docs with, for each category, p_<name> and the decision is_<name>."""
+def _scored(docs: DataFrame, chain: Chain, text: str) -> DataFrame:
+    """docs with a struct column __scores of probabilities."""
     wanted = np.any([m.weights != 0 for m in chain.models], axis=0)
     spec = "struct<" + ",".join(f"p_{n}:double" for n in chain.names) + ">"
 
@@ -171,11 +177,22 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
         r, f = presence(pa.array(s, pa.string()), wanted)
         return pd.DataFrame(chain(r, f, len(s)), columns=[f"p_{n}" for n in chain.names])
 
-    out = docs.withColumn("__scores", of(F.col(text).cast("string")))
+    return docs.withColumn("__scores", of(F.col(text).cast("string")))
+
+
+def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
+    """docs with, for each category, p_<name> and the decision is_<name>; columns of these names are replaced."""
+    out = _scored(docs, chain, text)
     for n, t in zip(chain.names, chain.thresholds, strict=True):
         out = out.withColumn(f"p_{n}", F.col(f"__scores.p_{n}")).withColumn(f"is_{n}", F.col(f"__scores.p_{n}") >= t)
     return out.drop("__scores")
 
 
+def without(docs: DataFrame, chain: Chain, category: str, text: str = "text") -> DataFrame:
+    """docs with the same columns, but for the rows that category rejects."""
+    limit = chain.thresholds[chain.names.index(category)]
+    return _scored(docs, chain, text).where(F.col(f"__scores.p_{category}") < limit).drop("__scores")
+
+
 #: The chain of the queries and of the pipeline: low quality first, as junk shares words with abuse; then toxicity.
 CATEGORIES = {"low_quality": ("quality", 0), "toxic": ("toxic", 1)}
