@@ -18,7 +18,7 @@ PASSAGE = 50
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, trained on those of them with labels, does not reject."""
     chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.CATEGORIES)
-    return toxicity.score(docs, chain).where("not is_toxic").select(*docs.columns)
+    return toxicity.without(docs, chain, "toxic")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
