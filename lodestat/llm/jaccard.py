@@ -10,13 +10,15 @@ to be connected:
   shingle among the first ``n - ceil(t * n) + 1`` of each, so only those are indexed.
 * Index lists are cut by shingle into buckets, sorted by set size, and entries carry their
   position: size and position bounds skip pairs that cannot reach the threshold.
-* Short lists give all pairs left. Long lists are cut into blocks, and only block heads are
-  compared with their block and with each other. A set that proves similar to a head takes over
-  the head's answers: the two are in one component and need no comparison with that component
-  again. Rounds of heads repeat over the components that remain, then all pairs of *different*
-  components of each long list are compared, block against block, which makes the result exact.
-* Shingles that the frequency table shows to be in many sets have their lists spread over
-  several buckets, so no list meets in one task before it has been thinned.
+* Entries of a list that can still be similar are tied together: short lists by their pairs, long ones through anchors of
+  neighbouring size classes, which costs two ties an entry. Connected ties make families; similar sets are always of one family.
+* Families are verified in blocks. A row of exact intersections with the whole block is computed for few sets, the pivots. For a set that is
+  highly similar to a pivot the other answers are derived from the pivot's: with i = |pivot & y| and the few items that differ, |x & y| lies between
+  i - lost and i + gained. Only where that does not decide, and the two are not connected yet, x gets a row of its own.
+* A family of several blocks is verified within blocks, then among the heads of the components found, and last between blocks, where
+  blocks of one and the same component are skipped. So all pairs of different components are compared, and the result is exact.
+* Shingles that the frequency table shows to be in many sets have their lists spread over several buckets, where anchors tie them, so no
+  list meets in one task.
 
 Defined results: null, empty or blank texts have no shingles, belong to the empty set's class and
 link with nothing. Fewer than k words make one shingle of the whole sequence. Rows with one doc_id
@@ -40,16 +42,16 @@ from ._cut import components, cut
 from ._text import U, mix, shingle_sets
 
 POSTING = np.dtype([("t", "<u8"), ("s", "<i8"), ("n", "<i4"), ("p", "<i4")])
-#: Lists up to this length give all their pairs at once; it is also the size of a block.
-BLOCK = 64
+#: Lists up to this length give all their pairs at once.
+SHORT = 64
+#: Members of a family's block, on average.
+BLOCK = 256
 #: Shingles known to be in more sets than this have lists that are spread.
 SPREAD = 4096
 #: Entries of the table of frequent shingles: 12 MB at most.
 FREQUENT = 1 << 20
-ROUNDS = 1
-#: Pairs that are broadcast at most (16 bytes each).
-BROADCAST_PAIRS = 500_000
-CROSS_BLOCK = 2048
+#: Rows that are broadcast at most (about 50 bytes each).
+BROADCAST_ROWS = 500_000
 FILTER_BITS = 1 << 24
 
 
@@ -122,15 +124,8 @@ def _sorted_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum(a["s"], b["s"]), np.maximum(a["s"], b["s"])], 1)
 
 
-def _heads(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of pairs that link a list sorted by size: block heads with their block, and each head with the next."""
-    i = np.arange(1, len(p))
-    head = i // BLOCK * BLOCK
-    return np.where(head == i, i - BLOCK, head), i
-
-
-def _candidates(group: pa.Table, num: int, den: int) -> pa.Table:
-    """(kind 0) pairs of classes; (kind 1) the entries of long lists, to be gone on with."""
+def _ties(group: pa.Table, num: int, den: int) -> pa.Table:
+    """(a, b, anchor): pairs of classes that can be similar; in long lists, classes and the anchors of their sizes."""
     spread = np.repeat(group["spread"].to_numpy(), [len(x) // POSTING.itemsize for x in group["entries"].to_pylist()])
     p = np.frombuffer(b"".join(group["entries"].to_pylist()), POSTING)
     o = np.lexsort((p["s"], p["n"], p["t"]))
@@ -139,10 +134,9 @@ def _candidates(group: pa.Table, num: int, den: int) -> pa.Table:
     p, spread = p[keep], spread[keep]
     first = np.flatnonzero(np.r_[True, p["t"][1:] != p["t"][:-1]])
     size = np.diff(np.r_[first, len(p)])
-    pairs, long = [], []
-    ordinary = ~spread[first]
+    pairs, ordinary = [np.zeros((0, 2), np.int64)], ~spread[first]
     for n in np.unique(size[ordinary]):
-        if 2 <= n <= BLOCK:
+        if 2 <= n <= SHORT:
             lists = first[ordinary & (size == n)]
             i, j = np.triu_indices(n, 1)
             step = max(1, (1 << 20) // len(i))
@@ -150,63 +144,74 @@ def _candidates(group: pa.Table, num: int, den: int) -> pa.Table:
                 a, b = p[(lists[k : k + step, None] + i).ravel()], p[(lists[k : k + step, None] + j).ravel()]
                 ok = _possible(a, b, num, den)
                 pairs.append(_sorted_pairs(a[ok], b[ok]))
-    for f, n in zip(first, size, strict=True):
-        if n > BLOCK or spread[f]:
-            x = p[f : f + n]
-            long.append(x)
-            if n > 1:
-                i, j = _heads(x)
-                ok = _possible(x[i], x[j], num, den)
-                pairs.append(_sorted_pairs(x[i[ok]], x[j[ok]]))
-    pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-    long = np.concatenate(long) if long else np.zeros(0, POSTING)
-    m, n = len(pairs), len(long)
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+    long = p[np.repeat((size > SHORT) | ~ordinary, size)]
+    # Sizes of similar sets differ by a factor of den / num at most, so by one class at most; an entry is tied to its own and the next.
+    band = np.floor(np.log(np.maximum(long["n"], 1)) / np.log(den / num) + 1e-9).astype(np.int64) if num < den else long["n"].astype(np.int64)
+    anchor = np.concatenate([mix(long["t"] + (band + d).astype(U) * U(0x9E3779B97F4A7C15)).view(np.int64) for d in (0, 1)])
+    m, n = len(pairs), len(anchor)
     return pa.table({
-        "a": pa.concat_arrays([pa.array(pairs[:, 0].copy()), pa.array(long["s"].copy())]),
-        "b": pa.concat_arrays([pa.array(pairs[:, 1].copy()), pa.nulls(n, pa.int64())]),
-        "t": pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(long["t"].copy().view(np.int64))]),
-        "n": pa.concat_arrays([pa.nulls(m, pa.int32()), pa.array(long["n"].copy())]),
-        "p": pa.concat_arrays([pa.nulls(m, pa.int32()), pa.array(long["p"].copy())]),
+        "a": pa.array(np.concatenate([pairs[:, 0], np.tile(long["s"], 2)])), "b": pa.array(np.concatenate([pairs[:, 1], anchor])), "anchor": pa.array(np.r_[np.zeros(m, bool), np.ones(n, bool)]),
     })
 
 
-def _linked_heads(group: pa.Table, num: int, den: int) -> pa.Table:
-    """Pairs of heads within one stretch of a long list, one entry for each component."""
-    p = _entries(group)
-    p = p[np.argsort(p["n"], kind="stable")]
-    if len(p) < 2:
-        return _pair_table(np.zeros((0, 2), np.int64))
-    i, j = _heads(p)
-    ok = _possible(p[i], p[j], num, den)
-    return _pair_table(np.unique(_sorted_pairs(p[i[ok]], p[j[ok]]), axis=0))
-
-
-def _entries(group: pa.Table) -> np.ndarray:
-    p = np.zeros(len(group), POSTING)
-    for c in ("s", "n", "p"):
-        p[c] = group[c].to_numpy()
-    return p
-
-
-def _pair_table(pairs: np.ndarray) -> pa.Table:
-    return pa.table({"a": pa.array(pairs[:, 0].copy(), pa.int64()), "b": pa.array(pairs[:, 1].copy(), pa.int64())})
+def similar(size: np.ndarray, rows, num: int, den: int, component: np.ndarray, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between sets that connect all similar ones of a block.
 
-
-def _cross(group: pa.Table, num: int, den: int) -> pa.Table:
-    """All possible pairs of different components between two blocks of a long list."""
-    p, c, side = _entries(group), group["c"].to_numpy(), group["side"].to_numpy()
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    within = not len(right)
-    right = left if within else right
-    pairs = []
-    for k in range(0, len(left), 256):
-        i = np.repeat(left[k : k + 256], len(right))
-        j = np.tile(right, len(left[k : k + 256]))
-        ok = c[i] != c[j]
-        i, j = i[ok], j[ok]
-        ok = _possible(p[i], p[j], num, den)
-        pairs.append(_sorted_pairs(p[i[ok]], p[j[ok]]))
-    return _pair_table(np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64))
+    size: of each set; rows(x): exact intersections of set x with all; component: numbers of what is connected already;
+    apart: if given, a side of each set, and only sets of different sides are compared.
+    """
+    n = len(size)
+    up = component.copy()
+    links, pivots = [], []
+    for x in range(n):
+        todo = up != up[x]
+        if apart is not None:
+            todo &= apart != apart[x]
+        if not todo.any():
+            continue
+        need = _least(size[x] + size, num, num + den)
+        todo &= np.minimum(size, size[x]) >= need
+        if not todo.any():
+            continue
+        lower, upper, exact = np.zeros(n, np.int64), np.minimum(size, size[x]), False
+        for r, row in pivots[:8]:
+            if row[x] >= need[r]:  # a highly similar set's answers
+                lower, upper = np.maximum(lower, row - (size[r] - row[x])), np.minimum(upper, row + (size[x] - row[x]))
+        if (todo & (lower < need) & (upper >= need)).any():
+            row = rows(x)
+            lower = upper = row
+            exact = True
+        for y in np.flatnonzero(todo & (lower >= need)):
+            if up[y] != up[x]:
+                links.append((x, int(y)))
+                up[up == up[y]] = up[x]
+        if exact:
+            pivots.insert(0, (x, row))
+            del pivots[8:]
+    return links
+
+
+def _verify(group: pa.Table, num: int, den: int) -> pa.Table:
+    group = group.sort_by("s")
+    items = group["items"].combine_chunks()
+    size, s = np.asarray(items.value_lengths()).astype(np.int64), group["s"].to_numpy()
+    _, of = np.unique(items.flatten().to_numpy(), return_inverse=True)
+    at = np.cumsum(size) - size
+    flag = np.zeros(int(of.max(initial=-1)) + 1, np.int64)
+
+    def rows(x: int) -> np.ndarray:
+        mine = of[at[x] : at[x] + size[x]]
+        flag[mine] = 1
+        out = np.add.reduceat(flag[of], at)
+        flag[mine] = 0
+        return out
+
+    _, component = np.unique(group["c"].to_numpy(), return_inverse=True)
+    side = group["side"].to_numpy()
+    found = similar(size, rows, num, den, component, side if side.any() else None)
+    x, y = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64)
+    return pa.table({"a": pa.array(s[x], pa.int64()), "b": pa.array(s[y], pa.int64())})
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -241,14 +246,19 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "t
     total = int(members.agg(F.sum("n_shingles")).first()[0] or 0)
     buckets = max(48, total * (den - num) // den // 150_000)
     only = docs.select(F.col(text).cast("string").alias("t"))
-    found = cut(
+    ties = cut(
         only.mapInArrow(lambda it: _postings(it, k, num, den, tokens, counts, buckets), "bucket int, spread boolean, entries binary")
-        .groupBy("bucket").applyInArrow(lambda g: _candidates(g, num, den), "a long, b long, t long, n int, p int"),
+        .groupBy("bucket").applyInArrow(lambda g: _ties(g, num, den), "a long, b long, anchor boolean"),
         True,
     )
+    named = ties.select(F.col("a").alias("s")).unionByName(ties.where("not anchor").select(F.col("b").alias("s"))).distinct()
+    family = cut(components(ties.select("a", "b")).join(named.withColumnRenamed("s", "node"), "node").select(F.col("node").alias("s"), F.col("component").alias("f")))
+    blocks = family.groupBy("f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
+    nodes = family.join(blocks, "f").withColumn("block", F.pmod(F.xxhash64("s", F.lit(7)), F.col("blocks")).cast("int"))
+    nodes = cut(nodes)
     # Sets of the classes found, from the row with the smallest hash of each class: a filter of fixed size picks those rows.
     place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FILTER_BITS)).cast("int")
-    named = found.select(F.col("a").alias("class")).unionByName(found.where("b is not null").select(F.col("b").alias("class"))).distinct()
+    named = nodes.select(F.col("s").alias("class"))
     chosen = members.withColumn("h", place).groupBy("class").agg(F.min("h").alias("h")).join(named, "class", "left_semi")
     words = chosen.groupBy(F.expr("h div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, h % 32)")).alias("v")).toPandas()
     bits = np.zeros(FILTER_BITS // 32, "<u4")
@@ -257,52 +267,34 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "t
     placed = docs.select(F.col(text).cast("string").alias("t"), F.col("doc_id").cast("long").alias("doc_id")).select("t", place.alias("h"))
     sets = cut(placed.mapInArrow(lambda it: _sets(it, k, bits), "s long, items array<long>"), True)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar. Each b's set moves to its a, and only sets that are asked for move: few enough pairs are broadcast for that."""
-        pairs = pairs.distinct()
-        small = pairs.count() <= BROADCAST_PAIRS
-        asked = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-        left = sets.select(F.col("s").alias("a"), F.col("items").alias("x")).join(asked(pairs.select("a").distinct()), "a", "left_semi")
-        right = sets.select(F.col("s").alias("b"), F.col("items").alias("y")).join(asked(pairs), "b")
-        both = F.size(F.array_intersect("x", "y")).cast("long")
-        return cut(right.join(left, "a").where(both * (num + den) >= (F.size("x") + F.size("y")).cast("long") * num).select("a", "b").distinct(), True)
-
-    def settled(pairs: DataFrame, links: DataFrame | None) -> DataFrame:
-        """links with those of pairs that similar sets do not make needless: first each set meets one partner, in two
-        turns; then only pairs of different components are left to verify."""
-        pairs, tried = cut(pairs.distinct()), None
-        for turn in range(3):
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            if links is not None:
-                c = components(links)
-                for x in ("a", "b"):
-                    pairs = pairs.join(c.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left")
-                pairs = cut(pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
-            tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if turn < 2 else pairs
-            if pairs.isEmpty():
-                break
-            more = verified(tried)
-            links = more if links is None else links.unionByName(more)
-        return links if links is not None else verified(pairs)
-
-    links = settled(found.where("b is not null").select("a", "b"), None)
-    lists = found.where("b is null").select("t", F.col("a").alias("s"), "n", "p")
-    if lists.isEmpty():
-        return members, links
+    def verified(rows: DataFrame, key: list[str]) -> DataFrame:
+        """Links of rows (s, c, side, and key, which names a block)."""
+        if rows.count() <= BROADCAST_ROWS:
+            rows = F.broadcast(rows)
+        put = sets.join(rows, "s").groupBy(*key).applyInArrow(lambda g: _verify(g, num, den), "a long, b long")
+        return cut(put.distinct(), True)
 
     def labelled(links: DataFrame) -> DataFrame:
-        return lists.join(components(links).withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("component", "s")).drop("component")
+        """Nodes of families that have several blocks and are not one component, with their component c."""
+        many = nodes.where("blocks > 1").join(components(links).withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("component", "s")).drop("component")
+        mixed = many.groupBy("f").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("f")
+        return cut(many.join(mixed, "f"))
 
-    for turn in range(ROUNDS):
-        heads = labelled(links).groupBy("t", "c").agg(F.min_by(F.struct("s", "n", "p"), F.struct("n", "s")).alias("h")).select("t", "h.*")
-        stretch = F.when(F.lit(turn + 1 < ROUNDS), F.pmod(F.xxhash64("s", F.lit(turn)), F.lit(8))).otherwise(F.pmod(F.xxhash64("s"), F.lit(2)))
-        links = settled(heads.groupBy("t", stretch.alias("g")).applyInArrow(lambda g: _linked_heads(g, num, den), "a long, b long"), links)
+    links = verified(nodes.select("s", "f", "block", F.col("s").alias("c"), F.lit(0).alias("side")), ["f", "block"])
+    if nodes.where("blocks > 1").isEmpty():
+        return members, links
+    heads = labelled(links).groupBy("f", "c").agg(F.min("s").alias("s"), F.first("blocks").alias("blocks"))
+    # About a block's worth of heads meets in each group.
+    width = heads.groupBy("f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("w"))
+    heads = heads.join(width, "f").select("s", "f", F.pmod(F.xxhash64("s", F.lit(9)), F.col("w")).alias("block"), F.col("s").alias("c"), F.lit(0).alias("side"))
+    links = links.unionByName(verified(cut(heads), ["f", "block"]))
     left = labelled(links)
-    mixed = left.groupBy("t").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t", F.ceil(F.col("m") / CROSS_BLOCK).cast("int").alias("blocks"))
-    left = left.join(mixed, "t").withColumn("i", F.pmod(F.xxhash64("s", F.lit(7)), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
-    left = left.select("t", "s", "n", "p", "c", F.least("i", "o").alias("lo"), F.greatest("i", "o").alias("hi"), F.when(F.col("i") > F.col("o"), 1).otherwise(0).alias("side"))
-    return members, settled(left.groupBy("t", "lo", "hi").applyInArrow(lambda g: _cross(g, num, den), "a long, b long"), links)
+    one = left.groupBy("f", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    first, second = one.select("f", F.col("block").alias("i"), F.col("lo").alias("li"), F.col("hi").alias("hi_i")), one.select("f", F.col("block").alias("j"), F.col("lo").alias("lj"), F.col("hi").alias("hj"))
+    meet = first.join(second, "f").where("i < j and not (li = hi_i and lj = hj and li = lj)").select("f", "i", "j")
+    of = lambda x, n: left.withColumnRenamed("block", x).join(meet, ["f", x]).select("s", "f", "i", "j", "c", F.lit(n).alias("side"))
+    sides = of("i", 0).unionByName(of("j", 1))
+    return members, links.unionByName(verified(cut(sides), ["f", "i", "j"])).distinct()
 
 
 def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "text") -> DataFrame:

@@ -57,9 +57,10 @@ def test_long_and_spread_lists(spark, monkeypatch):
     docs = spark.createDataFrame(rows(many), DOC).repartition(6)
     want = brute(many, 4, 85, 100)
     assert Counter(tuple(r) for r in J.groups(docs, 4, 85, 100).collect()) == want
-    monkeypatch.setattr(J, "BROADCAST_PAIRS", 0)
-    monkeypatch.setattr(J, "BLOCK", 4)
-    monkeypatch.setattr(J, "CROSS_BLOCK", 16)
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(J, "SHORT", 4)
+    monkeypatch.setattr(J, "BLOCK", 16)
+    monkeypatch.setattr(J, "SPREAD", 20)
     assert Counter(tuple(r) for r in J.groups(docs, 4, 85, 100).collect()) == want
 
 
