@@ -16,7 +16,8 @@ to be connected:
   highly similar to a pivot the other answers are derived from the pivot's: with i = |pivot & y| and the few items that differ, |x & y| lies between
   i - lost and i + gained. Only where that does not decide, and the two are not connected yet, x gets a row of its own.
 * A family of several blocks is verified within blocks, then among the heads of the components found, and last between blocks, where
-  blocks of one and the same component are skipped. So all pairs of different components are compared, and the result is exact.
+  blocks of one and the same component are skipped. There short counts of items by low bits travel first: the sum of the smaller counts
+  bounds an intersection from above, and only pairs of different components within that bound are verified. So the result is exact.
 * Shingles that the frequency table shows to be in many sets have their lists spread over several buckets, where anchors tie them, so no
   list meets in one task.
 
@@ -42,8 +43,8 @@ from ._cut import components, cut
 from ._text import U, mix, shingle_sets
 
 POSTING = np.dtype([("t", "<u8"), ("s", "<i8"), ("n", "<i4"), ("p", "<i4")])
-#: Lists up to this length give all their pairs at once.
-SHORT = 64
+#: Lists up to this length are tied by their pairs.
+SHORT = 1024
 #: Members of a family's block, on average.
 BLOCK = 256
 #: Shingles known to be in more sets than this have lists that are spread.
@@ -124,6 +125,33 @@ def _sorted_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum(a["s"], b["s"]), np.maximum(a["s"], b["s"])], 1)
 
 
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """Some of pairs that connect what pairs connect, one less than the nodes of each component at most."""
+    nodes, at = np.unique(pairs, return_inverse=True)
+    at = at.reshape(-1, 2)
+    label, kept = np.arange(len(nodes)), [np.zeros(0, np.int64)]
+    while True:
+        a, b = label[at[:, 0]], label[at[:, 1]]
+        live = np.flatnonzero(a != b)
+        if not len(live):
+            return pairs[np.concatenate(kept)]
+        first = np.full(len(nodes), len(pairs))
+        np.minimum.at(first, a[live], live)
+        np.minimum.at(first, b[live], live)
+        chosen = np.unique(first[first < len(pairs)])  # each label's first pair: without circles
+        kept.append(chosen)
+        up = np.arange(len(nodes))
+        for x, y in zip(a[chosen].tolist(), b[chosen].tolist(), strict=True):
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            up[max(x, y)] = min(x, y)
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+
+
 def _ties(group: pa.Table, num: int, den: int) -> pa.Table:
     """(a, b, anchor): pairs of classes that can be similar; in long lists, classes and the anchors of their sizes."""
     spread = np.repeat(group["spread"].to_numpy(), [len(x) // POSTING.itemsize for x in group["entries"].to_pylist()])
@@ -143,8 +171,8 @@ def _ties(group: pa.Table, num: int, den: int) -> pa.Table:
             for k in range(0, len(lists), step):
                 a, b = p[(lists[k : k + step, None] + i).ravel()], p[(lists[k : k + step, None] + j).ravel()]
                 ok = _possible(a, b, num, den)
-                pairs.append(_sorted_pairs(a[ok], b[ok]))
-    pairs = np.unique(np.concatenate(pairs), axis=0)
+                pairs.append(forest(_sorted_pairs(a[ok], b[ok])))
+    pairs = forest(np.concatenate(pairs))
     long = p[np.repeat((size > SHORT) | ~ordinary, size)]
     # Sizes of similar sets differ by a factor of den / num at most, so by one class at most; an entry is tied to its own and the next.
     band = np.floor(np.log(np.maximum(long["n"], 1)) / np.log(den / num) + 1e-9).astype(np.int64) if num < den else long["n"].astype(np.int64)
@@ -155,23 +183,24 @@ def _ties(group: pa.Table, num: int, den: int) -> pa.Table:
     })
 
 
-def similar(size: np.ndarray, rows, num: int, den: int, component: np.ndarray, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
+def similar(size: np.ndarray, rows, num: int, den: int, component: np.ndarray, bound) -> list[tuple[int, int]]:
     """Links between sets that connect all similar ones of a block.
 
     size: of each set; rows(x): exact intersections of set x with all; component: numbers of what is connected already;
-    apart: if given, a side of each set, and only sets of different sides are compared.
+    bound(x): cheap upper bounds of rows(x).
     """
     n = len(size)
     up = component.copy()
     links, pivots = [], []
     for x in range(n):
         todo = up != up[x]
-        if apart is not None:
-            todo &= apart != apart[x]
         if not todo.any():
             continue
         need = _least(size[x] + size, num, num + den)
         todo &= np.minimum(size, size[x]) >= need
+        if not todo.any():
+            continue
+        todo &= bound(x) >= need
         if not todo.any():
             continue
         lower, upper, exact = np.zeros(n, np.int64), np.minimum(size, size[x]), False
@@ -192,6 +221,33 @@ def similar(size: np.ndarray, rows, num: int, den: int, component: np.ndarray, a
     return links
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s, n, counts): how many of a set's items have each value of their low bits, about 4 a value, as 32-bit integers."""
+    for b in batches:
+        items = b.column(1)
+        n = np.asarray(items.value_lengths()).astype(np.int64)
+        flat, at = items.flatten().to_numpy(), np.r_[0, np.cumsum(n)]
+        out = [np.bincount(flat[i:j] & ((1 << (k := max(0, int(np.log2(max(j - i, 1) / 4))))) - 1), minlength=1 << k).astype("<u4").tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+        yield pa.record_batch([b.column(0), pa.array(n), pa.array(out, pa.binary())], ["s", "n", "counts"])
+
+
+def _within_bounds(group: pa.Table, num: int, den: int) -> pa.Table:
+    """Sets of two blocks that have a partner in the other block, of another component, that counts don't rule out."""
+    raw, n, s, c, side = group["counts"].to_pylist(), group["n"].to_numpy(), group["s"].to_numpy(), group["c"].to_numpy(), group["side"].to_numpy()
+    a, b, kept = np.flatnonzero(side == 0), np.flatnonzero(side == 1), np.zeros(len(s), bool)
+    width = min(map(len, raw)) // 4
+    h = np.stack([np.frombuffer(x, "<u4").reshape(-1, width).sum(0) for x in raw]).astype(np.int32)  # low bits: wider counts fold
+    for x in a:
+        need = _least(n[b] + n[x], num, num + den)
+        y = b[(c[b] != c[x]) & (np.minimum(n[b], n[x]) >= need)]
+        y = y[np.minimum(h[y], h[x]).sum(1) >= _least(n[y] + n[x], num, num + den)]
+        kept[y] = True
+        kept[x] |= len(y) > 0
+    m = int(kept.sum())
+    key = {k: pa.array(np.full(m, group[k][0].as_py()), t) for k, t in (("f", pa.int64()), ("i", pa.int32()), ("j", pa.int32()))}
+    return pa.table(key | {"s": pa.array(s[kept])})
+
+
 def _verify(group: pa.Table, num: int, den: int) -> pa.Table:
     group = group.sort_by("s")
     items = group["items"].combine_chunks()
@@ -208,8 +264,10 @@ def _verify(group: pa.Table, num: int, den: int) -> pa.Table:
         return out
 
     _, component = np.unique(group["c"].to_numpy(), return_inverse=True)
-    side = group["side"].to_numpy()
-    found = similar(size, rows, num, den, component, side if side.any() else None)
+    bits = int(max(0, np.log2(max(size.max(initial=1), 1) / 4)))
+    counts = np.zeros((len(s), 1 << bits), np.int32)
+    np.add.at(counts, (np.repeat(np.arange(len(s)), size), (items.flatten().to_numpy() & ((1 << bits) - 1))), 1)
+    found = similar(size, rows, num, den, component, lambda x: np.minimum(counts[x], counts).sum(1))
     x, y = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64)
     return pa.table({"a": pa.array(s[x], pa.int64()), "b": pa.array(s[y], pa.int64())})
 
@@ -268,7 +326,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "t
     sets = cut(placed.mapInArrow(lambda it: _sets(it, k, bits), "s long, items array<long>"), True)
 
     def verified(rows: DataFrame, key: list[str]) -> DataFrame:
-        """Links of rows (s, c, side, and key, which names a block)."""
+        """Links of rows (s, c, and key, which names a block)."""
         if rows.count() <= BROADCAST_ROWS:
             rows = F.broadcast(rows)
         put = sets.join(rows, "s").groupBy(*key).applyInArrow(lambda g: _verify(g, num, den), "a long, b long")
@@ -280,13 +338,13 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "t
         mixed = many.groupBy("f").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("f")
         return cut(many.join(mixed, "f"))
 
-    links = verified(nodes.select("s", "f", "block", F.col("s").alias("c"), F.lit(0).alias("side")), ["f", "block"])
+    links = verified(nodes.select("s", "f", "block", F.col("s").alias("c")), ["f", "block"])
     if nodes.where("blocks > 1").isEmpty():
         return members, links
     heads = labelled(links).groupBy("f", "c").agg(F.min("s").alias("s"), F.first("blocks").alias("blocks"))
     # About a block's worth of heads meets in each group.
     width = heads.groupBy("f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("w"))
-    heads = heads.join(width, "f").select("s", "f", F.pmod(F.xxhash64("s", F.lit(9)), F.col("w")).alias("block"), F.col("s").alias("c"), F.lit(0).alias("side"))
+    heads = heads.join(width, "f").select("s", "f", F.pmod(F.xxhash64("s", F.lit(9)), F.col("w")).alias("block"), F.col("s").alias("c"))
     links = links.unionByName(verified(cut(heads), ["f", "block"]))
     left = labelled(links)
     one = left.groupBy("f", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
@@ -294,7 +352,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "t
     meet = first.join(second, "f").where("i < j and not (li = hi_i and lj = hj and li = lj)").select("f", "i", "j")
     of = lambda x, n: left.withColumnRenamed("block", x).join(meet, ["f", x]).select("s", "f", "i", "j", "c", F.lit(n).alias("side"))
     sides = of("i", 0).unionByName(of("j", 1))
-    return members, links.unionByName(verified(cut(sides), ["f", "i", "j"])).distinct()
+    small = sets.join(F.broadcast(left.select("s")) if left.count() <= BROADCAST_ROWS else left.select("s"), "s", "left_semi").mapInArrow(_counts, "s long, n long, counts binary")
+    hopeful = small.join(sides, "s").groupBy("f", "i", "j").applyInArrow(lambda g: _within_bounds(g, num, den), "f long, i int, j int, s long")
+    return members, links.unionByName(verified(cut(hopeful.join(left.select("s", "c"), "s")), ["f", "i", "j"])).distinct()
 
 
 def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "text") -> DataFrame:

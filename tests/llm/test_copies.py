@@ -80,6 +80,24 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_forest():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 5, 300):
+        pairs = r.integers(0, 60, (n, 2)) * 7
+        got = J.forest(pairs)
+        reach = lambda e: Counter(frozenset(c) for c in _groups(e))
+        assert reach(pairs) == reach(got) and len(got) <= 60
+
+
+def _groups(edges):
+    out = []
+    for a, b in edges.tolist():
+        if a != b:
+            touch = [g for g in out if a in g or b in g]
+            out = [g for g in out if g not in touch] + [set().union({a, b}, *touch)]
+    return out
+
+
 def strip(pairs, k):
     seen, out = set(), Counter()
     for i, t in sorted(pairs, key=lambda p: (p[0] is None, p[0] or 0, p[1] or "")):
