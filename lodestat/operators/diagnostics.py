@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..plans.regression import pearson
 from .cluster import cluster_columns
+from .frames import numbered
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -41,20 +42,10 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").alias("n")).select("bin", (F.col("bin") * wide + lo).alias("low"), ((F.col("bin") + 1) * wide + lo).alias("high"), "n")
 
 
-def _sorted(df: DataFrame, column: str, key: str, parts: int = 256) -> tuple[DataFrame, int]:
-    """(x, rn) with rn the 1-based place in ascending order, and the count. Ranges are numbered in parallel and offset."""
+def _sorted(df: DataFrame, column: str, key: str) -> tuple[DataFrame, int]:
+    """(x, rn) with rn the 1-based place in ascending order, and the count."""
     x = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"), F.col(key).alias("k"))
-    cuts = x.approxQuantile("x", [i / parts for i in range(1, parts)], 0.001) if parts > 1 else []
-    cuts = sorted(set(cuts))
-    part = F.lit(0)
-    if cuts:
-        part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col("x")))
-    at = x.withColumn("part", part)
-    starts = at.groupBy("part").agg(F.count("*").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("s"))  # parts rows at most
-    rn = F.row_number().over(Window.partitionBy("part").orderBy("x", "k"))
-    return at.join(F.broadcast(starts), "part").select("x", (F.col("s") + rn).alias("rn")), x.count()
+    return numbered(x, "x", "k").select("x", "rn"), x.count()
 
 
 def qq_normal(df: DataFrame, column: str, key: str) -> DataFrame:

@@ -63,11 +63,33 @@ def nan_to_null(c: Column) -> Column:
     return F.when(F.isnan(c), F.lit(None)).otherwise(c)
 
 
+def range_bucket(df: DataFrame, column: str, parts: int = 64) -> Column:
+    """The number of a value's range: ranges hold about as many rows each, and equal values share one. Nulls are in the first."""
+    cuts = sorted(set(df.approxQuantile(column, [i / parts for i in range(1, parts)], 0.001)))
+    if not cuts:
+        return F.lit(0)
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(column))), F.lit(0))
+
+
+def numbered(df: DataFrame, column: str, key: str, out: str = "rn", parts: int = 64) -> DataFrame:
+    """1-based place of each row by column, then key. Ranges are numbered side by side and offset, so no window spans the table."""
+    at = df.withColumn("__part", range_bucket(df, column, parts))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = at.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))  # parts rows at most
+    place = F.col("__s") + F.row_number().over(Window.partitionBy("__part").orderBy(column, key))
+    return at.join(F.broadcast(starts), "__part").withColumn(out, place.cast("long")).drop("__part", "__s")
+
+
 def ranked(df: DataFrame, column: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """Ascending rank with ties averaged."""
-    order = Window.partitionBy(*(by or [])).orderBy(column)
-    tie = Window.partitionBy(*(by or []), column)
-    return df.withColumn(out, F.rank().over(order) + (F.count("*").over(tie) - 1) / 2.0)
+    """Ascending rank with ties averaged. Without groups (by), distinct values are counted first and numbered range by range."""
+    if by:
+        order = Window.partitionBy(*by).orderBy(column)
+        return df.withColumn(out, F.rank().over(order) + (F.count("*").over(Window.partitionBy(*by, column)) - 1) / 2.0)
+    values = df.groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n")).withColumn("__part", range_bucket(df.withColumnRenamed(column, "__v"), "__v"))
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = values.groupBy("__part").agg(F.sum("__n").alias("__n")).select("__part", before(Window.orderBy("__part")).alias("__s"))
+    values = values.join(F.broadcast(starts), "__part").select("__v", (F.col("__s") + before(Window.partitionBy("__part").orderBy("__v")) + 1 + (F.col("__n") - 1) / 2.0).alias(out))
+    return df.join(values, df[column].eqNullSafe(values["__v"])).drop("__v")
 
 
 def extremes(df: DataFrame, column: str, key: str, n: int = 5) -> DataFrame:

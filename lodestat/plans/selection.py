@@ -9,12 +9,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.frames import numbered
 from .fit import FitResult, bagged
 from .objectives import Data, Linear
 
 
 def position(df: DataFrame, key: str, seed: int = 42, out: str = "position", strata: str | None = None, order: Column | None = None) -> DataFrame:
-    """0-based place of each row in a shuffled order (or in order), for each stratum if given.
+    """0-based place of each row in a shuffled order (or in order, a number), for each stratum if given.
 
     Without strata the place is computed range by range of the hash, so the window never spans the table.
     """
@@ -22,7 +23,7 @@ def position(df: DataFrame, key: str, seed: int = 42, out: str = "position", str
     if strata:
         return df.withColumn(out, (F.row_number().over(Window.partitionBy(strata).orderBy(h, key)) - 1).cast("long"))
     if order is not None:
-        return df.withColumn(out, (F.row_number().over(Window.orderBy(order, key)) - 1).cast("long"))
+        return numbered(df.withColumn("__o", order), "__o", key, out).withColumn(out, F.col(out) - 1).drop("__o")
     at = df.withColumn("__h", h).withColumn("__r", F.shiftright("__h", 54).cast("int"))
     before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     starts = at.groupBy("__r").agg(F.count("*").alias("__n")).select("__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))

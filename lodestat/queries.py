@@ -451,7 +451,7 @@ def feature_expressions(spark, sf):
     return rounded(df.withColumnRenamed("l_tax*l_discount", "tax_discount").drop("l_tax", "l_discount"), l_quantity=7, l_tax_p2=8, tax_discount=8)
 
 
-@query("""SELECT count_if(l_tax * l_discount = 0) < 1000000 AS kept, count_if(l_tax * l_discount = 0) AS zeros FROM lineitem""")
+@query("""SELECT count_if(l_tax * l_discount = 0) < 1000000 AS kept, count_if(l_tax * l_discount = 0)::bigint AS zeros FROM lineitem""")
 def interaction_screen(spark, sf):
     df = table(spark, sf, "lineitem").select("l_tax", "l_discount")
     kept = "l_tax*l_discount" in prep.interactions(df, ["l_tax", "l_discount"], 1_000_000).columns
