@@ -15,9 +15,10 @@ to be connected:
 * Families are verified in blocks. A row of exact intersections with the whole block is computed for few sets, the pivots. For a set that is
   highly similar to a pivot the other answers are derived from the pivot's: with i = |pivot & y| and the few items that differ, |x & y| lies between
   i - lost and i + gained. Only where that does not decide, and the two are not connected yet, x gets a row of its own.
-* A family of several blocks is verified within blocks, then among the heads of the components found, and last between blocks, where
-  blocks of one and the same component are skipped. There short counts of items by low bits travel first: the sum of the smaller counts
-  bounds an intersection from above, and only pairs of different components within that bound are verified. So the result is exact.
+* Before sets move, short counts of their items by low bits do: the sum of the smaller counts bounds an intersection from above, and only sets
+  with a partner within that bound are verified, block against block. Families of very many blocks are connected within blocks and
+  among the heads of what was found first; parts of one and the same component then need no comparison. So all pairs of
+  different components are compared, and the result is exact.
 * Shingles that the frequency table shows to be in many sets have their lists spread over several buckets, where anchors tie them, so no
   list meets in one task.
 
@@ -45,8 +46,8 @@ from ._text import U, mix, shingle_sets
 POSTING = np.dtype([("t", "<u8"), ("s", "<i8"), ("n", "<i4"), ("p", "<i4")])
 #: Lists up to this length are tied by their pairs.
 SHORT = 1024
-#: Members of a family's block, on average.
-BLOCK = 256
+#: Members of a family's block, on average; blocks of a part, which meet as short counts; blocks from which a family is thinned first.
+BLOCK, PARTS, THIN = 256, 4, 64
 #: Shingles known to be in more sets than this have lists that are spread.
 SPREAD = 4096
 #: Entries of the table of frequent shingles: 12 MB at most.
@@ -222,30 +223,43 @@ def similar(size: np.ndarray, rows, num: int, den: int, component: np.ndarray, b
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(s, n, counts): how many of a set's items have each value of their low bits, about 4 a value, as 32-bit integers."""
+    """(s, n, counts): how many of a set's items have each value of their low bits, 1 to 2 a value: the width in bytes, then the integers."""
     for b in batches:
         items = b.column(1)
         n = np.asarray(items.value_lengths()).astype(np.int64)
-        flat, at = items.flatten().to_numpy(), np.r_[0, np.cumsum(n)]
-        out = [np.bincount(flat[i:j] & ((1 << (k := max(0, int(np.log2(max(j - i, 1) / 4))))) - 1), minlength=1 << k).astype("<u4").tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+        flat, at, out = items.flatten().to_numpy(), np.r_[0, np.cumsum(n)], []
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            k = int(j - i).bit_length() - 1
+            c = np.bincount(flat[i:j] & ((1 << k) - 1), minlength=1 << k)
+            out.append(b"\x01" + c.astype(np.uint8).tobytes() if c.max() < 256 else b"\x04" + c.astype("<u4").tobytes())
         yield pa.record_batch([b.column(0), pa.array(n), pa.array(out, pa.binary())], ["s", "n", "counts"])
 
 
 def _within_bounds(group: pa.Table, num: int, den: int) -> pa.Table:
-    """Sets of two blocks that have a partner in the other block, of another component, that counts don't rule out."""
-    raw, n, s, c, side = group["counts"].to_pylist(), group["n"].to_numpy(), group["s"].to_numpy(), group["c"].to_numpy(), group["side"].to_numpy()
-    a, b, kept = np.flatnonzero(side == 0), np.flatnonzero(side == 1), np.zeros(len(s), bool)
-    width = min(map(len, raw)) // 4
-    h = np.stack([np.frombuffer(x, "<u4").reshape(-1, width).sum(0) for x in raw]).astype(np.int32)  # low bits: wider counts fold
-    for x in a:
-        need = _least(n[b] + n[x], num, num + den)
-        y = b[(c[b] != c[x]) & (np.minimum(n[b], n[x]) >= need)]
-        y = y[np.minimum(h[y], h[x]).sum(1) >= _least(n[y] + n[x], num, num + den)]
-        kept[y] = True
-        kept[x] |= len(y) > 0
-    m = int(kept.sum())
-    key = {k: pa.array(np.full(m, group[k][0].as_py()), t) for k, t in (("f", pa.int64()), ("i", pa.int32()), ("j", pa.int32()))}
-    return pa.table(key | {"s": pa.array(s[kept])})
+    """(f, i, j, s): sets with a partner of another component that counts don't rule out, and the blocks of the two.
+
+    lo, hi: the parts of the family that meet; of one part all pairs are looked at, of two those between them.
+    """
+    n, s, c, block, part = (group[k].to_numpy() for k in ("n", "s", "c", "block", "part"))
+    wide = [np.frombuffer(x[1:], np.uint8 if x[0] == 1 else "<u4") for x in group["counts"].to_pylist()]
+    width = min(map(len, wide))
+    h = np.stack([x.reshape(-1, width).sum(0, dtype=np.int64) for x in wide])  # low bits: wider counts fold
+    h = h.astype(np.uint8 if h.max() < 256 else np.int32)
+    one = group["lo"][0].as_py() == group["hi"][0].as_py()
+    o = np.argsort(n, kind="stable")
+    n, s, c, block, part, h = n[o], s[o], c[o], block[o], part[o], h[o]
+    found = [np.zeros((0, 2), np.int64)]
+    for x in range(len(s)):
+        y = np.arange(x + 1, int(np.searchsorted(n, n[x] * den // num, "right")))  # not smaller than x, and not too large
+        y = y[(c[y] != c[x]) & (one | (part[y] != part[x]))]
+        for k in range(0, len(y), 512):
+            z = y[k : k + 512]
+            z = z[np.minimum(h[z], h[x]).sum(1, dtype=np.int64) >= _least(n[z] + n[x], num, num + den)]
+            found.append(np.stack([np.full(len(z), x), z], 1))
+    x, y = np.concatenate(found).T
+    i, j = np.minimum(block[x], block[y]), np.maximum(block[x], block[y])
+    rows = np.unique(np.stack([np.r_[i, i], np.r_[j, j], s[np.r_[x, y]]], 1), axis=0)
+    return pa.table({"f": pa.array(np.full(len(rows), group["f"][0].as_py()), pa.int64()), "i": pa.array(rows[:, 0], pa.int32()), "j": pa.array(rows[:, 1], pa.int32()), "s": pa.array(rows[:, 2].copy())})
 
 
 def _verify(group: pa.Table, num: int, den: int) -> pa.Table:
@@ -332,29 +346,32 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "t
         put = sets.join(rows, "s").groupBy(*key).applyInArrow(lambda g: _verify(g, num, den), "a long, b long")
         return cut(put.distinct(), True)
 
-    def labelled(links: DataFrame) -> DataFrame:
-        """Nodes of families that have several blocks and are not one component, with their component c."""
-        many = nodes.where("blocks > 1").join(components(links).withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("component", "s")).drop("component")
-        mixed = many.groupBy("f").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("f")
-        return cut(many.join(mixed, "f"))
-
-    links = verified(nodes.select("s", "f", "block", F.col("s").alias("c")), ["f", "block"])
-    if nodes.where("blocks > 1").isEmpty():
-        return members, links
-    heads = labelled(links).groupBy("f", "c").agg(F.min("s").alias("s"), F.first("blocks").alias("blocks"))
-    # About a block's worth of heads meets in each group.
-    width = heads.groupBy("f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("w"))
-    heads = heads.join(width, "f").select("s", "f", F.pmod(F.xxhash64("s", F.lit(9)), F.col("w")).alias("block"), F.col("s").alias("c"))
-    links = links.unionByName(verified(cut(heads), ["f", "block"]))
-    left = labelled(links)
-    one = left.groupBy("f", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    first, second = one.select("f", F.col("block").alias("i"), F.col("lo").alias("li"), F.col("hi").alias("hi_i")), one.select("f", F.col("block").alias("j"), F.col("lo").alias("lj"), F.col("hi").alias("hj"))
-    meet = first.join(second, "f").where("i < j and not (li = hi_i and lj = hj and li = lj)").select("f", "i", "j")
-    of = lambda x, n: left.withColumnRenamed("block", x).join(meet, ["f", x]).select("s", "f", "i", "j", "c", F.lit(n).alias("side"))
-    sides = of("i", 0).unionByName(of("j", 1))
-    small = sets.join(F.broadcast(left.select("s")) if left.count() <= BROADCAST_ROWS else left.select("s"), "s", "left_semi").mapInArrow(_counts, "s long, n long, counts binary")
-    hopeful = small.join(sides, "s").groupBy("f", "i", "j").applyInArrow(lambda g: _within_bounds(g, num, den), "f long, i int, j int, s long")
-    return members, links.unionByName(verified(cut(hopeful.join(left.select("s", "c"), "s")), ["f", "i", "j"])).distinct()
+    def labelled(links: DataFrame | None) -> DataFrame:
+        """nodes with their component c."""
+        if links is None:
+            return nodes.withColumn("c", F.col("s"))
+        return nodes.join(components(links).withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("component", "s")).drop("component")
+
+    links = None
+    huge = nodes.where(F.col("blocks") > THIN)
+    if not huge.isEmpty():  # a family that would meet in very many pairs of blocks is connected within blocks, then among heads, before
+        links = verified(cut(huge.select("s", "f", "block", F.col("s").alias("c"))), ["f", "block"])
+        heads = labelled(links).where(F.col("blocks") > THIN).groupBy("f", "c").agg(F.min("s").alias("s"))
+        width = heads.groupBy("f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("w"))
+        heads = heads.join(width, "f").select("s", "f", F.pmod(F.xxhash64("s", F.lit(9)), F.col("w")).alias("block"), F.col("s").alias("c"))
+        links = cut(links.unionByName(verified(cut(heads), ["f", "block"])))
+    known = cut(labelled(links))
+    mixed = known.groupBy("f").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("f")
+    parts = known.join(mixed, "f").withColumn("part", F.expr(f"cast(block div {PARTS} as int)"))
+    span = parts.groupBy("f", "part").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    other = span.select("f", F.col("part").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    meet = span.join(other, "f").where("not (low = high and low2 = high2 and low = low2)").select("f", "part", "other")
+    sides = cut(parts.join(meet, ["f", "part"]).select("s", "f", "c", "block", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")))
+    small = sets.mapInArrow(_counts, "s long, n long, counts binary")
+    hopeful = small.join(F.broadcast(sides) if sides.count() <= BROADCAST_ROWS else sides, "s").groupBy("f", "lo", "hi").applyInArrow(lambda g: _within_bounds(g, num, den), "f long, i int, j int, s long")
+    rows = hopeful.distinct().join(known.select("s", "c"), "s")
+    found = verified(cut(rows, True), ["f", "i", "j"])
+    return members, found if links is None else links.unionByName(found).distinct()
 
 
 def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "text") -> DataFrame:

@@ -61,6 +61,9 @@ def test_long_and_spread_lists(spark, monkeypatch):
     monkeypatch.setattr(J, "SHORT", 4)
     monkeypatch.setattr(J, "BLOCK", 16)
     monkeypatch.setattr(J, "SPREAD", 20)
+    monkeypatch.setattr(J, "PARTS", 2)
+    assert Counter(tuple(r) for r in J.groups(docs, 4, 85, 100).collect()) == want
+    monkeypatch.setattr(J, "THIN", 2)
     assert Counter(tuple(r) for r in J.groups(docs, 4, 85, 100).collect()) == want
 
 
