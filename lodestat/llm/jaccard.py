@@ -388,9 +388,10 @@ def near_copies_removed(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     Rows without words stay. Of repeated rows with one doc_id one stays (unless without words); rows with a
     null doc_id stay, as nothing says which of a group they are.
     """
-    kept = groups(docs, k, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    at = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    kept = cut(groups(docs, k, num, den).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")), True)
+    named = docs.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, "doc_id")
     blank = F.coalesce(F.regexp_replace("text", r"[ \t-\r]", "") == "", F.lit(True))
-    named = docs.where("doc_id is not null").join(kept, "doc_id").select(*docs.columns)
-    named = named.withColumn("__n", F.when(blank, 1).otherwise(F.row_number().over(at))).where("__n = 1").drop("__n")
-    return named.unionByName(docs.where("doc_id is null"))
+    at = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    repeated = named.where("__rows > 1").withColumn("__n", F.when(blank, 1).otherwise(F.row_number().over(at))).where("__n = 1")  # only these move
+    out = named.where("__rows = 1").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    return out.unionByName(docs.where("doc_id is null"))
