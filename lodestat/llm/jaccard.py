@@ -328,22 +328,23 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "t
     blocks = family.groupBy("f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
     nodes = family.join(blocks, "f").withColumn("block", F.pmod(F.xxhash64("s", F.lit(7)), F.col("blocks")).cast("int"))
     nodes = cut(nodes)
-    # Sets of the classes found, from the row with the smallest hash of each class: a filter of fixed size picks those rows.
     place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FILTER_BITS)).cast("int")
-    named = nodes.select(F.col("s").alias("class"))
-    chosen = members.withColumn("h", place).groupBy("class").agg(F.min("h").alias("h")).join(named, "class", "left_semi")
-    words = chosen.groupBy(F.expr("h div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, h % 32)")).alias("v")).toPandas()
-    bits = np.zeros(FILTER_BITS // 32, "<u4")
-    bits[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).astype(np.uint32)
-    bits = bits.view(np.uint8)
     placed = docs.select(F.col(text).cast("string").alias("t"), F.col("doc_id").cast("long").alias("doc_id")).select("t", place.alias("h"))
-    sets = cut(placed.mapInArrow(lambda it: _sets(it, k, bits), "s long, items array<long>"), True)
+    owners = members.withColumn("h", place).groupBy("class").agg(F.min("h").alias("h"))
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        """(s, items) of the classes in wanted, read from one row of each (few rows more: a filter of fixed size picks them)."""
+        chosen = owners.join(wanted.select(F.col("s").alias("class")).distinct(), "class", "left_semi")
+        words = chosen.groupBy(F.expr("h div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, h % 32)")).alias("v")).toPandas()
+        bits = np.zeros(FILTER_BITS // 32, "<u4")
+        bits[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).astype(np.uint32)
+        bits = bits.view(np.uint8)
+        return placed.mapInArrow(lambda it: _sets(it, k, bits), "s long, items array<long>")
 
     def verified(rows: DataFrame, key: list[str]) -> DataFrame:
         """Links of rows (s, c, and key, which names a block)."""
-        if rows.count() <= BROADCAST_ROWS:
-            rows = F.broadcast(rows)
-        put = sets.join(rows, "s").groupBy(*key).applyInArrow(lambda g: _verify(g, num, den), "a long, b long")
+        few = rows.count() <= BROADCAST_ROWS
+        put = sets(rows).join(F.broadcast(rows) if few else rows, "s").groupBy(*key).applyInArrow(lambda g: _verify(g, num, den), "a long, b long")
         return cut(put.distinct(), True)
 
     def labelled(links: DataFrame | None) -> DataFrame:
@@ -367,7 +368,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "t
     other = span.select("f", F.col("part").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     meet = span.join(other, "f").where("not (low = high and low2 = high2 and low = low2)").select("f", "part", "other")
     sides = cut(parts.join(meet, ["f", "part"]).select("s", "f", "c", "block", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")))
-    small = sets.mapInArrow(_counts, "s long, n long, counts binary")
+    small = sets(sides).mapInArrow(_counts, "s long, n long, counts binary")
     hopeful = small.join(F.broadcast(sides) if sides.count() <= BROADCAST_ROWS else sides, "s").groupBy("f", "lo", "hi").applyInArrow(lambda g: _within_bounds(g, num, den), "f long, i int, j int, s long")
     rows = hopeful.distinct().join(known.select("s", "c"), "s")
     found = verified(cut(rows, True), ["f", "i", "j"])
