@@ -79,7 +79,7 @@ def buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def blocks(at: np.ndarray, most: int = 1 << 21):
+def blocks(at: np.ndarray, most: int = (1 << 20) - 1):
     """Row ranges of about ``most`` bytes; a longer row stands alone."""
     i, n = 0, len(at) - 1
     while i < n:

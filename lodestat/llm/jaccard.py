@@ -243,7 +243,8 @@ def _within_bounds(group: pa.Table, num: int, den: int) -> pa.Table:
     n, s, c, block, part = (group[k].to_numpy() for k in ("n", "s", "c", "block", "part"))
     wide = [np.frombuffer(x[1:], np.uint8 if x[0] == 1 else "<u4") for x in group["counts"].to_pylist()]
     width = min(map(len, wide))
-    h = np.stack([x.reshape(-1, width).sum(0, dtype=np.int64) for x in wide])  # low bits: wider counts fold
+    h = np.stack([x.reshape(-1, width).sum(0, dtype=np.int32) for x in wide])  # low bits: wider counts fold
+    del wide
     h = h.astype(np.uint8 if h.max() < 256 else np.int32)
     one = group["lo"][0].as_py() == group["hi"][0].as_py()
     o = np.argsort(n, kind="stable")
