@@ -82,7 +82,7 @@ def test_packing(docs, none, pairs):
     for r in full.collect():
         by.setdefault(r.doc_id, []).append(r)
         assert len(r.ids) == r.length and r.bucket == r.length.bit_length() - 1
-    crc = {(r["sequence_id"], r["ids_crc32"]) for _, r in got.iterrows()}
+    crc = set(zip(got["sequence_id"].tolist(), got["ids_crc32"].tolist(), strict=True))
     assert {(r.sequence_id, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for rs in by.values() for r in rs} == crc
     for i, t in pairs:
         if i == 906:
