@@ -72,8 +72,12 @@ def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
                 sets[g] = s
         yield pa.record_batch([pa.array(np.zeros(len(sig), np.int8)), b.column(0), pa.array(sig, pa.int64()), pa.array(n, pa.int64())], ["kind", "doc_id", "x", "n"])
         if sets:
-            u, c = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-            u, c = u[c > 2].view(np.int64), c[c > 2]
+            flat = np.concatenate(list(sets.values()))
+            sets.clear()
+            flat.sort()  # in place: a batch's shingles are the most that a worker holds
+            first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+            c = np.diff(np.r_[first, len(flat)])
+            u, c = flat[first[c > 2]].view(np.int64), c[c > 2]
             yield pa.record_batch([pa.array(np.ones(len(u), np.int8)), pa.nulls(len(u), pa.int64()), pa.array(u), pa.array(c, pa.int64())], ["kind", "doc_id", "x", "n"])
 
 
