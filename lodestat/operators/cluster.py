@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,14 +80,23 @@ def kmeans_random(df: DataFrame, columns: list[str], k: int, restarts: int, iter
     return best
 
 
-def distances(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(i, j, d) of all pairs, for tables that are small by nature, as k-medoid's are."""
+#: Points of a block, and least partitions of the pairs of blocks, when sums of distances within clusters are formed.
+BLOCK, BLOCK_PARTS = 2048, 200
+
+
+def distances(df: DataFrame, key: str, columns: list[str], to: DataFrame | None = None) -> DataFrame:
+    """(i, j, d) of all pairs, or of all rows i and the rows j of to."""
     left = df.select(F.col(key).alias("i"), *[F.col(c).alias(f"a_{c}") for c in columns])
-    right = df.select(F.col(key).alias("j"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    right = (df if to is None else to).select(F.col(key).alias("j"), *[F.col(c).alias(f"b_{c}") for c in columns])
     d = F.sqrt(reduce(lambda s, t: s + t, [(F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns]))
     return left.join(right, F.lit(True)).select("i", "j", d.alias("d"))
 
 
+def medoid_distances(df: DataFrame, key: str, columns: list[str], medoids: list) -> DataFrame:
+    """(i, j, d) of all rows and the medoids, which are broadcast."""
+    return distances(df, key, columns, F.broadcast(df.where(F.col(key).isin(medoids))))
+
+
 def medoid_assign(dist: DataFrame, medoids: list) -> DataFrame:
     """(i, medoid, d): the nearest medoid, lowest id on ties."""
     best = F.min(F.struct("d", "j"))
@@ -100,6 +110,42 @@ def medoid_recenter(dist: DataFrame, assigned: DataFrame) -> DataFrame:
     return sums.groupBy("medoid").agg(F.min(F.struct("s", "i")).alias("b")).select("medoid", F.col("b.i").alias("new"))
 
 
+def medoid_recenter_rows(df: DataFrame, key: str, columns: list[str], assigned: DataFrame) -> DataFrame:
+    """medoid_recenter() of all rows without a table of pairs.
+
+    Equal rows of a cluster are one point with its lowest id and a weight. Points are dealt into blocks, and each pair of blocks of a
+    cluster gives one sum for each point of the first. Rows with a null coordinate have no distance and take no part.
+    """
+    rows = df.dropna(subset=[key, *columns]).select(F.col(key).alias("i"), *[F.col(c).cast("double").alias(c) for c in columns])
+    points = rows.join(assigned.select("i", "medoid"), "i").groupBy("medoid", *columns).agg(F.min("i").alias("i"), F.count("*").cast("double").alias("w"))
+    sizes = points.groupBy("medoid").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = points.join(F.broadcast(sizes), "medoid").withColumn("b", F.pmod(F.xxhash64(*columns), F.col("blocks")))
+    packed = dealt.groupBy("medoid", "blocks", "b").agg(F.collect_list(F.struct("i", "w", F.array(*columns).alias("x"))).alias("p"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = packed.select("medoid", F.col("b").alias("a"), every.alias("b"), F.col("p").alias("mine")).repartition(BLOCK_PARTS, "medoid", "a", "b")
+    right = packed.select("medoid", "b", every.alias("a"), F.col("p").alias("theirs")).repartition(BLOCK_PARTS, "medoid", "a", "b")
+
+    def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for r in range(batch.num_rows):
+                (i, _, x), (_, w, y) = (batch.column(c)[r].values.flatten() for c in (1, 2))
+                x, y = (v.flatten().to_numpy().reshape(-1, len(columns)) for v in (x, y))
+                s = np.concatenate([_distances(x[k : k + 256], y) @ w.to_numpy() for k in range(0, len(x), 256)])
+                yield pa.record_batch([pa.array([batch.column(0)[r].as_py()] * len(i), batch.column(0).type), i, pa.array(s)], ["medoid", "i", "s"])
+
+    kind = {c: points.schema[c].dataType.simpleString() for c in ("medoid", "i")}
+    sums = left.join(right, ["medoid", "a", "b"]).select("medoid", "mine", "theirs").mapInArrow(of, f"medoid {kind['medoid']}, i {kind['i']}, s double")
+    whole = sums.groupBy("medoid", "i").agg(F.sum("s").alias("s"))
+    return whole.groupBy("medoid").agg(F.min(F.struct("s", "i")).alias("b")).select("medoid", F.col("b.i").alias("new"))
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    d = np.zeros((len(x), len(y)))
+    for k in range(x.shape[1]):
+        d += (x[:, k, None] - y[None, :, k]) ** 2
+    return np.sqrt(d)
+
+
 @dataclass
 class KMedoidResult:
     medoids: list
@@ -109,17 +155,30 @@ class KMedoidResult:
 def kmedoid(dist: DataFrame, medoids: list, most: int = 100) -> KMedoidResult:
     """Alternates until the cost no longer falls; the best step is kept."""
     dist = dist.cache()
+    best = _alternate(lambda now: medoid_assign(dist, now), lambda a: medoid_recenter(dist, a), medoids, most)
+    dist.unpersist()
+    return best
+
+
+def kmedoid_rows(df: DataFrame, key: str, columns: list[str], medoids: list, most: int = 100) -> KMedoidResult:
+    """kmedoid() of all rows without a table of pairs."""
+    rows = df.select(key, *columns).cache()
+    best = _alternate(lambda now: medoid_assign(medoid_distances(rows, key, columns, now), now), lambda a: medoid_recenter_rows(rows, key, columns, a), medoids, most)
+    rows.unpersist()
+    return best
+
+
+def _alternate(assigned: Callable[[list], DataFrame], recentred: Callable[[DataFrame], DataFrame], medoids: list, most: int) -> KMedoidResult:
     best, now = None, sorted(medoids)
     for _ in range(most):
-        a = medoid_assign(dist, now).cache()
+        a = assigned(now).cache()
         c = float(a.agg(F.sum("d")).first()[0] or 0.0)
         if best is not None and c >= best.cost:
             a.unpersist()
             break
         best = KMedoidResult(now, c)
-        now = sorted(r["new"] for r in medoid_recenter(dist, a).collect())
+        now = sorted(r["new"] for r in recentred(a).collect())
         a.unpersist()
-    dist.unpersist()
     return best
 
 

@@ -625,25 +625,25 @@ _DIST = f"(SELECT a.vec_id AS i, b.vec_id AS j, sqrt((a.e0 - b.e0) * (a.e0 - b.e
 _MEDOID = f"d AS {_DIST}, a AS (SELECT i, arg_min(j, (d, j)) AS medoid, min(d) AS d FROM d WHERE j IN (0, 1, 2) GROUP BY i)"
 
 
-def _dist(spark, sf):
-    return cluster.distances(e4(spark, sf).where("vec_id < 150"), "vec_id", ["e0", "e1"])
+def _assigned(rows: DataFrame, medoids: list) -> DataFrame:
+    return cluster.medoid_assign(cluster.medoid_distances(rows, "vec_id", ["e0", "e1"], medoids), medoids)
 
 
 @query(f"WITH {_MEDOID} SELECT i, medoid, round(d, 8) AS d FROM a")
 def kmedoid_assign(spark, sf):
-    return rounded(cluster.medoid_assign(_dist(spark, sf), [0, 1, 2]), d=8)
+    return rounded(_assigned(e4(spark, sf), [0, 1, 2]), d=8)
 
 
 @query(f"WITH {_MEDOID}, s AS (SELECT a.medoid, d.i, sum(d.d) AS s FROM d JOIN a USING (i) JOIN a b ON d.j = b.i AND a.medoid = b.medoid GROUP BY a.medoid, d.i) SELECT medoid, arg_min(i, (s, i)) AS new FROM s GROUP BY medoid")
 def kmedoid_recenter(spark, sf):
-    d = _dist(spark, sf)
-    return cluster.medoid_recenter(d, cluster.medoid_assign(d, [0, 1, 2]))
+    rows = e4(spark, sf)
+    return cluster.medoid_recenter_rows(rows, "vec_id", ["e0", "e1"], _assigned(rows, [0, 1, 2]))
 
 
 @query()
 def kmedoid_fit(spark, sf):
-    d = _dist(spark, sf)
-    return cluster.medoid_assign(d, cluster.kmedoid(d, [0, 1, 2], 20).medoids).groupBy("medoid").agg(F.count("*").alias("n"), F.sum("d").alias("cost"))
+    rows = e4(spark, sf)
+    return _assigned(rows, cluster.kmedoid_rows(rows, "vec_id", ["e0", "e1"], [0, 1, 2], 20).medoids).groupBy("medoid").agg(F.count("*").alias("n"), F.sum("d").alias("cost"))
 
 
 @query(f"SELECT vec_id, round(exp(-({_D[0]}) / (2 * 0.02)), 8) AS rbf_0, round(exp(-({_D[1]}) / (2 * 0.02)), 8) AS rbf_1, round(exp(-({_D[2]}) / (2 * 0.025)), 8) AS rbf_2 FROM {_E4}")
