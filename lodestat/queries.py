@@ -504,7 +504,7 @@ def gram(spark, sf):
 
 @query(f"WITH m AS (SELECT * FROM {_COO} WHERE i < 60) SELECT a.i AS i, b.i AS j, round(sum(a.v * b.v), 6) AS v FROM m a JOIN m b USING (j) GROUP BY a.i, b.i")
 def outer_product(spark, sf):
-    return rounded(linalg.outer(_coo(spark, sf).where("i < 60")), v=6)
+    return rounded(linalg.outer(_coo(spark, sf)), v=6)
 
 
 @query(f"WITH m AS {_COO}, b AS (SELECT k AS i, c AS j, ((k * 3 + c) % 7)::double AS v FROM range(64) AS r(k), range(3) AS q(c)) SELECT m.i, b.j, round(sum(m.v * b.v), 6) AS v FROM m JOIN b ON m.j = b.i GROUP BY m.i, b.j")

@@ -50,3 +50,12 @@ def test_kmedoid_queries_take_every_row(spark, vectors, monkeypatch):
     fit = {r.medoid: (r.n, r.cost) for r in queries.kmedoid_fit(spark, sf).collect()}
     assert {m: n for m, (n, _) in fit.items()} == {m: int((best[1] == m).sum()) for m in set(best[1].tolist())}
     assert np.isclose(sum(c for _, c in fit.values()), best[0])
+
+
+def test_outer_product_has_every_pair_of_rows(spark, vectors):
+    sf, x = vectors
+    m = np.where(x > 0.1, x, 0)
+    both = (m > 0).astype(int) @ (m > 0).astype(int).T
+    got = {(r.i, r.j): r.v for r in queries.outer_product(spark, sf).collect()}
+    assert set(got) == set(zip(*(a.tolist() for a in np.nonzero(both)), strict=True))
+    assert max(abs(v - (m @ m.T)[k]) for k, v in got.items()) < 1e-6
