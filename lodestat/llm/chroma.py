@@ -92,17 +92,21 @@ def of_pcm(raw: bytes | None, rate: int = RATE) -> np.ndarray:
     return fingerprint(chroma(samples, rate))
 
 
-def fingerprints(media: DataFrame, id: str = "id", audio: str = "audio", rate: int = RATE) -> DataFrame:
-    """id, fingerprint (array<int>) and class (16 hex digits of equal fingerprints) of each row."""
+def fingerprints(media: DataFrame, id: str = "id", audio: str = "audio", rate: int = RATE, vectors: bool = False) -> DataFrame:
+    """id, fingerprint (array<int>) and class (16 hex digits of equal fingerprints) of each row.
+
+    vectors: the column holds vectors, each rendered as it is read, so that no batch of recordings is in memory.
+    """
+    pcm = (lambda x: None if x is None else render(np.array(x, np.float64))) if vectors else (lambda x: x)
 
     def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            prints = [of_pcm(x, rate) for x in b.column(1).to_pylist()]
+            prints = [of_pcm(pcm(x), rate) for x in b.column(1).to_pylist()]
             at = np.r_[0, np.cumsum([len(x) for x in prints])]
             flat = np.concatenate([np.zeros(0, np.int32), *prints])
             yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32())), pa.array([hashlib.blake2b(x, digest_size=8).hexdigest() for x in prints], pa.string())], ["id", "fingerprint", "class"])
 
-    return media.select(F.col(id).cast("long").alias("id"), F.col(audio).cast("binary").alias("a")).mapInArrow(of, "id long, fingerprint array<int>, class string")
+    return media.select(F.col(id).cast("long").alias("id"), F.col(audio).cast("array<double>" if vectors else "binary").alias("a")).mapInArrow(of, "id long, fingerprint array<int>, class string")
 
 
 def align(prints: DataFrame, queries: DataFrame, votes: int = 2, most_errors: float = 0.25, overlap: int = 16) -> DataFrame:
@@ -129,12 +133,12 @@ def align(prints: DataFrame, queries: DataFrame, votes: int = 2, most_errors: fl
     return out.where("class <> r or copies > 1").select("query_id", "match_id", "copies", "offset", "votes", "bit_error_rate")
 
 
-NOTES, NOTE = 32, 500
+NOTE = 500
 
 
 def render(values: np.ndarray) -> bytes:
-    """A tune as PCM: each value gives a note (its tone by size, in steps of three semitones) of 1/8 second with one overtone."""
-    v = np.nan_to_num(np.asarray(values, np.float64)[:NOTES])
+    """A tune as PCM: each of all values gives a note (its tone by size, in steps of three semitones) of 1/8 second with one overtone."""
+    v = np.nan_to_num(np.asarray(values, np.float64))
     if not len(v) or not np.abs(v).max() > 0:
         return b""
     tone = np.clip(12 + 3 * np.round(2 * v / np.sqrt((v * v).mean())), 0, 36)

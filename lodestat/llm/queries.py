@@ -21,7 +21,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings that align with every hundredth recording; each embedding is rendered as a tune, as no table holds audio."""
-    prints = cut(chroma.fingerprints(chroma.rendered(_table(spark, sf_dir, "embeddings"))))
+    prints = cut(chroma.fingerprints(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", vectors=True))
     return chroma.align(prints, prints.where("id % 100 = 0"))
 
 

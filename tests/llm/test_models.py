@@ -150,6 +150,19 @@ def test_chroma_fingerprints_align(spark):
     assert chroma.align(prints.limit(0), prints.limit(0)).count() == 0
 
 
+def test_every_component_is_heard(spark):
+    r = np.random.default_rng(2)
+    a, b = r.normal(size=64), r.normal(size=64)
+    c, d = np.r_[a[:32], b[32:]], np.r_[b[:32], a[32:]]  # one half of a each
+    assert len(chroma.render(a)) == 2 * 64 * chroma.NOTE
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate((a, c, d))], "vec_id long, embedding array<double>")
+    prints = {x.id: x for x in chroma.fingerprints(chroma.rendered(df)).collect()}
+    assert prints == {x.id: x for x in chroma.fingerprints(df, "vec_id", "embedding", vectors=True).collect()}
+    assert prints[0]["class"] != prints[1]["class"]
+    same = np.array(prints[0].fingerprint[-30:]) == np.array(prints[2].fingerprint[-30:])
+    assert same.mean() > 0.5  # phases differ at the start, and chance gives none
+
+
 def test_integral_image_filters_equal_plain_sums():
     image = np.random.default_rng(0).random((30, 12))
     got = chroma.fingerprint(image).view(np.uint32)
