@@ -114,19 +114,20 @@ def align(prints: DataFrame, queries: DataFrame, votes: int = 2, most_errors: fl
 
     prints: fingerprints(); queries: those of its rows that ask. match_id is the smallest id of a class, copies its size;
     offset is the position in the match less that in the query. The query's own class is listed only if it has other members.
+    Where the shorter fingerprint has fewer positions than votes or overlap ask for, all of its positions are asked for instead.
     """
     heads = prints.where(F.size("fingerprint") > 0).groupBy("class").agg(F.min("id").alias("match_id"), F.count("*").alias("copies"), F.first("fingerprint").alias("y"))
     asked = queries.where("size(fingerprint) > 0 and id is not null").select(F.col("id").alias("query_id"), "class")
     asking = queries.where(F.size("fingerprint") > 0).groupBy("class").agg(F.first("fingerprint").alias("x"))
-    ours = asking.select(F.col("class").alias("q"), F.posexplode("x").alias("i", "v"))
-    theirs = heads.select(F.col("class").alias("r"), F.posexplode("y").alias("j", "v"))
-    histogram = ours.join(theirs, "v").groupBy("q", "r", (F.col("j") - F.col("i")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = histogram.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("minus"))).alias("b"))
-    best = best.where(F.col("b.votes") >= votes).select("q", "r", (-F.col("b.minus")).alias("offset"), F.col("b.votes").alias("votes"))
+    ours = asking.select(F.col("class").alias("q"), F.size("x").alias("m"), F.posexplode("x").alias("i", "v"))
+    theirs = heads.select(F.col("class").alias("r"), F.size("y").alias("k"), F.posexplode("y").alias("j", "v"))
+    histogram = ours.join(theirs, "v").groupBy("q", "r", (F.col("j") - F.col("i")).alias("offset")).agg(F.count("*").alias("votes"), F.first(F.least("m", "k")).alias("short"))
+    best = histogram.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("minus"))).alias("b"), F.first("short").alias("short"))
+    best = best.where(F.col("b.votes") >= F.least(F.lit(votes), "short")).select("q", "r", "short", (-F.col("b.minus")).alias("offset"), F.col("b.votes").alias("votes"))
     both = best.join(asking.withColumnRenamed("class", "q"), "q").join(heads.withColumnRenamed("class", "r"), "r")
     start, stop = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("x"), F.size("y") - F.col("offset"))
     part = lambda c, at: F.slice(c, at + 1, F.col("n"))
-    both = both.withColumn("s", start).withColumn("n", stop - start).where(F.col("n") >= overlap)
+    both = both.withColumn("s", start).withColumn("n", stop - start).where(F.col("n") >= F.least(F.lit(overlap), "short"))
     errors = F.aggregate(F.zip_with(part("x", F.col("s")), part("y", F.col("s") + F.col("offset")), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, e: t + e)
     judged = both.withColumn("bit_error_rate", errors / (F.col("n") * 32.0)).where(F.col("bit_error_rate") <= most_errors)
     out = asked.join(judged.withColumnRenamed("q", "class"), "class")

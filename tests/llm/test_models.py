@@ -163,6 +163,17 @@ def test_every_component_is_heard(spark):
     assert same.mean() > 0.5  # phases differ at the start, and chance gives none
 
 
+def test_short_copies_align(spark):
+    r = np.random.default_rng(4)
+    raw = [r.normal(0, 4000, n).astype("<i2").tobytes() for n in (4774, 5100, 8523)]
+    df = spark.createDataFrame([(i + 10 * c, b) for i, b in enumerate(raw) for c in range(2)] + [(20, raw[0][:9000])], "id long, audio binary")
+    prints = chroma.fingerprints(df)
+    assert sorted(len(x.fingerprint) for x in prints.collect()) == [0, 1, 1, 2, 2, 15, 15]
+    got = {(x.query_id, x.match_id): x for x in chroma.align(prints, prints).collect()}
+    assert all(got[i + c, i].copies == 2 and got[i + c, i].bit_error_rate == 0 and got[i + c, i].offset == 0 for i in range(3) for c in (0, 10))
+    assert not any(20 in k for k in got)
+
+
 def test_integral_image_filters_equal_plain_sums():
     image = np.random.default_rng(0).random((30, 12))
     got = chroma.fingerprint(image).view(np.uint32)
