@@ -2,7 +2,7 @@
 
 Categories are predicted one after the other; each model sees the words of the text and the probabilities of the
 categories before it. While training, those probabilities are out-of-fold predictions, so a later model learns from what an earlier
-one says of texts that it has not seen. Models are logistic regressions on the presence of hashed words, with
+one says of texts that it has not seen. Models are logistic regressions on the presence of words (whole 64-bit fingerprints), with
 the words chosen by how far their log odds stand from chance.
 
 Training takes at most ``sample`` labelled rows (those with the smallest hash of doc_id): their distinct words go to the
@@ -27,52 +27,72 @@ from pyspark.sql import functions as F
 
 from ._text import SPACES, U, blocks, buffer, separators, words
 
+#: First bits of a fingerprint by which scoring passes over words that are not chosen.
 BITS = 18
 SAMPLE, FOLDS, FEATURES, Z, L2 = 8000, 5, 256, 4.0, 1.0
 _APART = separators(SPACES + string.punctuation.encode())
 
 
 def presence(column, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) pairs, each once, sorted; wanted: a flag for each feature that counts."""
+    """(row, feature) pairs, each once, sorted; features are whole 64-bit fingerprints of words; wanted: those that count, sorted."""
     data, at = buffer(column)
     rows, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if wanted is not None:  # most words are passed over by their first bits; the others are compared whole
+        likely = np.zeros(1 << BITS, bool)
+        likely[wanted.view(U) >> U(64 - BITS)] = True
     for i, j in blocks(at):
         h, _, _, w = words(data[at[i] : at[j]], at[i : j + 1] - at[i], True, _APART)
-        f = (h >> U(64 - BITS)).astype(np.int64)
         r = np.repeat(np.arange(i, j), np.diff(w))
         if wanted is not None:
-            keep = wanted[f]
-            f, r = f[keep], r[keep]
-        x = np.unique(r << BITS | f)
-        rows.append(x >> BITS)
-        ids.append(x & ((1 << BITS) - 1))
+            keep = np.flatnonzero(likely[h >> U(64 - BITS)])
+            keep = keep[_places(wanted, h[keep].view(np.int64)) >= 0]
+            h, r = h[keep], r[keep]
+        f = h.view(np.int64)
+        o = np.lexsort((f, r))
+        f, r = f[o], r[o]
+        new = np.ones(len(f), bool)
+        new[1:] = (f[1:] != f[:-1]) | (r[1:] != r[:-1])
+        rows.append(r[new])
+        ids.append(f[new])
     return np.concatenate(rows), np.concatenate(ids)
 
 
+def _places(keys: np.ndarray, feature: np.ndarray) -> np.ndarray:
+    """Where each feature stands in sorted keys, -1 for those that are not there."""
+    if not len(keys):
+        return np.full(len(feature), -1)
+    at = np.minimum(np.searchsorted(keys, feature), len(keys) - 1)
+    return np.where(keys[at] == feature, at, -1)
+
+
 @dataclass
 class Model:
-    weights: np.ndarray  # of all hashed features
+    keys: np.ndarray  # the chosen features, sorted
+    weights: np.ndarray  # of those
     bias: float
     chain: np.ndarray  # of earlier categories' probabilities
 
     def __call__(self, row: np.ndarray, feature: np.ndarray, n: int, earlier: np.ndarray) -> np.ndarray:
-        z = np.bincount(row, self.weights[feature], n) + self.bias + earlier @ self.chain
+        at = _places(self.keys, feature)
+        z = np.bincount(row[at >= 0], self.weights[at[at >= 0]], n) + self.bias + earlier @ self.chain
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def fit(row: np.ndarray, feature: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Model:
     """L2 logistic regression by Newton steps on the chosen features and the earlier probabilities."""
-    n, size, k = len(y), 1 << BITS, earlier.shape[1]
+    n, k = len(y), earlier.shape[1]
     rate = (y.sum() + 0.5) / (n + 1)
-    weights = np.zeros(size)
     if n == 0 or y.min() == y.max():
-        return Model(weights, float(np.log(rate / (1 - rate))), np.zeros(k))
+        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(rate / (1 - rate))), np.zeros(k))
+    keys, feature = np.unique(feature, return_inverse=True)
+    size = len(keys)
     df = np.bincount(feature, minlength=size)
     pos = np.bincount(feature, y[row], size)
     spread = np.sqrt(df * rate * (1 - rate) * np.maximum(1 - df / n, 0)) + 0.5
     z = np.abs(pos - df * rate) / spread
     chosen = np.flatnonzero((z >= Z) & (df >= 3))
     chosen = chosen[np.argsort(-z[chosen], kind="stable")[:FEATURES]]
+    chosen.sort()
     place = np.full(size, -1)
     place[chosen] = np.arange(len(chosen))
     keep = place[feature] >= 0
@@ -89,8 +109,7 @@ def fit(row: np.ndarray, feature: np.ndarray, earlier: np.ndarray, y: np.ndarray
         b += step
         if np.abs(step).max() < 1e-3:
             break
-    weights[chosen] = b[:m]
-    return Model(weights, float(b[-1]), b[m : m + k])
+    return Model(keys[chosen], b[:m], float(b[-1]), b[m : m + k])
 
 
 @dataclass
@@ -154,10 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, i
         for b in batches:
             r, f = presence(b.column(1))
             at = np.r_[0, np.cumsum(np.bincount(r, minlength=len(b)))]
-            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(f, pa.int32())), *b.columns[2:]], ["doc_id", "f", *b.schema.names[2:]])
+            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(f, pa.int64())), *b.columns[2:]], ["doc_id", "f", *b.schema.names[2:]])
 
     ys = [f"y{i}" for i in range(len(categories))]
-    got = rows.select("doc_id", "t", *ys).mapInArrow(of, "doc_id long, f array<int>, " + ", ".join(f"{y} int" for y in ys)).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    got = rows.select("doc_id", "t", *ys).mapInArrow(of, "doc_id long, f array<long>, " + ", ".join(f"{y} int" for y in ys)).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     size = np.array([len(x) for x in got["f"]], np.int64)
     feature = got["f"].combine_chunks().flatten().to_numpy() if len(got) else np.zeros(0, np.int64)
     y = np.stack([got[c].to_numpy() for c in ys], 1).astype(float) if len(got) else np.zeros((0, len(ys)))
@@ -167,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, i
 
 def _scored(docs: DataFrame, chain: Chain, text: str) -> DataFrame:
     """docs with a struct column __scores of probabilities."""
-    wanted = np.any([m.weights != 0 for m in chain.models], axis=0)
+    wanted = np.unique(np.concatenate([m.keys for m in chain.models]))
     spec = "struct<" + ",".join(f"p_{n}:double" for n in chain.names) + ">"
 
     @F.pandas_udf(spec)

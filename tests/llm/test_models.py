@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,19 @@ def test_toxicity_chain_on_held_out_rows(spark, docs, none, labels):
     assert toxicity.without(docs, nothing, "toxic").count() == docs.count() and toxicity.score(none, nothing).count() == 0
 
 
+def test_words_that_share_first_bits_are_not_toxic():
+    vocabulary = pa.array([f"x{i}" for i in range(1 << 20)])
+    h = toxicity.words(*toxicity.buffer(vocabulary), True, toxicity._APART)[0] >> np.uint64(46)
+    vile = toxicity.words(*toxicity.buffer(pa.array(["vile"])), True, toxicity._APART)[0] >> np.uint64(46)
+    other, unlike = f"x{np.flatnonzero(h == vile)[0]}", f"x{np.flatnonzero(h != vile)[0]}"
+    y = np.arange(400) % 4 == 0
+    row, feature = toxicity.presence(pa.array([f"w{i % 7} w{i % 11} {'vile' if t else ''}" for i, t in enumerate(y)]))
+    chain = toxicity.fit_chain(["toxic"], row, feature, y[:, None].astype(float), np.arange(400) // 4 % 5)
+    for wanted in (None, np.sort(chain.models[0].keys)):
+        p = chain(*toxicity.presence(pa.array([other, unlike, "vile vile", None]), wanted), 4)[:, 0]
+        assert p[0] == p[1] == p[3] < 0.5 < p[2]
+
+
 def test_chain_feeds_out_of_fold_probabilities():
     r = np.random.default_rng(0)
     n = 600
