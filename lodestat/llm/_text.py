@@ -1,23 +1,24 @@
 """Vectorised word handling over Arrow text columns.
 
-Words are hashed straight from the UTF-8 buffer with numpy: a prefix sum of
-``table[byte] * base**position`` gives every word's polynomial fingerprint without
-building Python strings. The same trick over word fingerprints gives the
-fingerprint of every k-word window at a cost that does not depend on k.
-All arithmetic is modulo 2**64, so results are the same in every task.
+Words are named straight from the UTF-8 buffer with numpy, without Python strings: eight bytes at a time go through a mixing step that is
+not linear, and words of over 64 bytes through BLAKE2, so no arrangement of letters makes different words meet (polynomials modulo
+2**64 have such). Runs of words are named by doubling, with the same mixing. Names are the same in every task.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
 SPACES = b" \t\n\v\f\r"
-_MASK = (1 << 64) - 1
-#: Odd multipliers of the byte level and of the word level (two independent ones).
-BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E6C63D0876A9A47, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
+#: Start values and odd multipliers of independent names.
+KEYS = ((0x243F6A8885A308D3, 0x9E6C63D0876A9A47), (0x452821E638D01377, 0xD1B54A32D192ED03))
+#: Words of more bytes are named by BLAKE2.
+LANES = 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,27 +31,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.up, self.down = base, np.ones(1, U), np.ones(1, U)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(12, (n - 1).bit_length())
-            for name, b in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
-                step = np.full(size, b, U)
-                step[0] = 1
-                setattr(self, name, np.cumprod(step, dtype=U))
-        return self.up, self.down
-
-
-_POWERS = {b: _Powers(b) for b in (BYTE_BASE, WORD_BASE, WORD_BASE_2)}
-_TABLE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-_LOWER = np.arange(256)
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_TABLES = {False: _TABLE, True: _TABLE[_LOWER]}
 
 
 def separators(chars: bytes) -> np.ndarray:
@@ -68,13 +51,13 @@ def buffer(column) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = pc.fill_null(column, b"")
-    buffers = column.buffers()
+        column = pc.fill_null(column.cast(pa.large_binary()), b"")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    at = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
+    buffers = column.buffers()
+    at = np.frombuffer(buffers[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(buffers[2], np.uint8)[at[0] : at[-1]] if buffers[2] is not None else np.zeros(0, np.uint8)
     return data, at - at[0]
 
@@ -88,48 +71,96 @@ def blocks(at: np.ndarray, most: int = (1 << 20) - 1):
         i = min(j, n)
 
 
-def words(data: np.ndarray, at: np.ndarray, lower: bool = False, separator: np.ndarray = _SPACE):
-    """(fingerprint, first byte, byte after, first word of each row) of the words of consecutive rows."""
-    n = len(data)
-    if not n:
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, U), z, z, np.zeros(len(at), np.int64)
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+    """Row slices of a batch with about ``most`` bytes in a text column; a longer row stands alone."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+    for i, j in blocks(np.r_[0, np.cumsum(np.asarray(size).astype(np.int64))], most):
+        yield batch.slice(i, j - i)
+
+
+def _borders(data: np.ndarray, at: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, byte after) of the words of consecutive rows."""
     gap = separator[data]
     word = ~gap
-    first, last = word.copy(), word.copy()
+    first, last = word.copy(), word
     first[1:] &= gap[:-1]
-    last[:-1] &= gap[1:]
     full = at[1:] > at[:-1]
     begin, end = at[:-1][full], at[1:][full] - 1
-    first[begin] = word[begin]
-    last[end] = word[end]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _POWERS[BYTE_BASE].get(n + 1)
-    total = np.empty(n + 1, U)
-    total[0] = 0
-    np.cumsum(_TABLES[lower][data] * up[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(U) * U(0x9E3779B97F4A7C15)), starts, ends, np.searchsorted(starts, at)
-
-
-def windows(h: np.ndarray, k: int, base: int = WORD_BASE) -> np.ndarray:
-    """Fingerprints of all runs of k consecutive entries of h (callers drop those that cross rows)."""
-    n = len(h)
-    if n < k:
-        return np.zeros(0, U)
-    return _spans(h, np.arange(n - k + 1), np.arange(k, n + 1), base)
+    first[begin] = ~gap[begin]
+    last = ~gap
+    last[:-1] &= gap[1:]
+    last[end] = ~gap[end]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def _named(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    """Names of data[start:end]; data goes on for 8 bytes after the last end."""
+    start, factor = U(KEYS[which][0]), U(KEYS[which][1])
+    view = np.ndarray((len(data) - 7,), "<u8", data.data, strides=(1,))
+    n = ends - starts
+    h = mix(n.astype(U) + start)
+    live = np.flatnonzero(n <= 8 * LANES)
+    for lane in range(LANES):
+        left = n[live] - 8 * lane
+        x = view[starts[live] + 8 * lane] & _MASKS[np.minimum(left, 8)]
+        h[live] = mix((h[live] ^ x) * factor + start)
+        live = live[left > 8]
+        if not len(live):
+            break
+    for i in np.flatnonzero(n > 8 * LANES).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=bytes([which])).digest(), "little")
+    return h
+
+
+def words(data: np.ndarray, at: np.ndarray, lower: bool = False, separator: np.ndarray = _SPACE, which: tuple[int, ...] = (0,)):
+    """(names, first byte, byte after, first word of each row) of the words of consecutive rows.
+
+    which: with more than one entry, as many independent names follow each other in a tuple.
+    """
+    if not len(data):
+        z = np.zeros(0, np.int64)
+        h = tuple(np.zeros(0, U) for _ in which)
+        return (h if len(h) > 1 else h[0]), z, z, np.zeros(len(at), np.int64)
+    starts, ends = _borders(data, at, separator)
+    padded = np.empty(len(data) + 8, np.uint8)
+    padded[: len(data)] = _LOWER[data] if lower else data
+    padded[len(data) :] = 0
+    h = tuple(_named(padded, starts, ends, w) for w in which)
+    return (h if len(h) > 1 else h[0]), starts, ends, np.searchsorted(starts, at)
 
 
-def _spans(h: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = WORD_BASE) -> np.ndarray:
-    up, down = _POWERS[base].get(len(h) + 1)
-    total = np.empty(len(h) + 1, U)
-    total[0] = 0
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U) * U(0xA24BAED4963EE407))
+def _joined(a: np.ndarray, b: np.ndarray, which: int) -> np.ndarray:
+    return mix(a * U(KEYS[which][1]) + b + U(KEYS[which][0]))
+
+
+def windows(h: np.ndarray, k: int, which: int = 0) -> np.ndarray:
+    """Names of all runs of k consecutive entries of h (callers drop those that cross rows)."""
+    n = len(h) - k + 1
+    if n < 1:
+        return np.zeros(0, U)
+    out, done, size, x = None, 0, 1, h
+    while True:
+        if k & size:
+            part = x[done : done + n]
+            out, done = part if out is None else _joined(out, part, which), done + size
+        if 2 * size > k:
+            return out
+        x = _joined(x[:-size], x[size:], which)
+        size *= 2
+
+
+def _short_rows(h: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """A name of the whole of each row with fewer than k words; 0 for other rows."""
+    n = np.diff(first)
+    out = np.where(n < k, mix(n.astype(U) + U(KEYS[1][0])), U(0))
+    for i in range(min(k - 1, int(n.max(initial=0)))):
+        r = np.flatnonzero((n > i) & (n < k))
+        out[r] = _joined(out[r], h[first[r] + i], 0)
+    return out
 
 
 def shingle_sets(column, k: int, lower: bool = True):
-    """For each row, in order: the sorted distinct fingerprints of its k-word shingles.
+    """For each row, in order: the sorted distinct names of its k-word shingles.
 
     A row of fewer words has one shingle, its whole sequence; a row of none has an empty set.
     """
@@ -137,7 +168,7 @@ def shingle_sets(column, k: int, lower: bool = True):
     for i, j in blocks(at):
         h, _, _, w = words(data[at[i] : at[j]], at[i : j + 1] - at[i], lower)
         s = windows(h, k)
-        short = _spans(h, w[:-1], w[1:]) if len(h) else np.zeros(j - i, U)
+        short = _short_rows(h, w, k)
         for r in range(j - i):
             n = w[r + 1] - w[r]
             if n >= k:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._chunks import answered, answers, ask, chunked, in_order
-from ._text import U, WORD_BASE_2, blocks, buffer, mix, windows, words
+from ._text import U, blocks, buffer, mix, windows, words
 
 LEVELS = 4
 #: Symbols of fewer words are common by chance and are not asked about.
@@ -118,7 +118,7 @@ class _Chunk:
     def distinct(self, start: np.ndarray, k: int):
         """(sorted distinct (fingerprint, check) keys, place of the first window of each, key of each start)"""
         key = np.empty(len(start), KEY)
-        key["a"], key["b"] = windows(self.h, k)[start], (windows(self.h, k, WORD_BASE_2)[start] >> U(32)).astype(np.uint32)
+        key["a"], key["b"] = windows(self.h, k)[start], (windows(self.h, k, 1)[start] >> U(32)).astype(np.uint32)
         o = np.lexsort((np.arange(len(start)), key["b"], key["a"]))
         s = key[o]
         new = np.ones(len(s), bool)
