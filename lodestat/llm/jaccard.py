@@ -6,10 +6,12 @@ Jaccard similarity reaches the threshold, up to links between sets that are alre
 to be connected:
 
 * Shingles are ordered rare first (by a bounded table of the corpus's frequent shingles,
-  then by name; any common order keeps the join exact). Two similar sets share a
-  shingle among the first ``n - ceil(t * n) + 1`` of each, so only those are indexed.
+  then by name; any common order keeps the join exact). Indexed are pairs of neighbours in that order: each of the d shingles that
+  only one of two sets has parts two common ones at most, so among the first d + 2 common ones two are neighbours in both sets, and they stand
+  near the front. Sets that merely quote the same passage rarely share such a pair. (Below a similarity of 3/4 single shingles are indexed: two similar
+  sets share one among the first ``n - ceil(t * n) + 1`` of each.)
 * Index lists are sorted by set size and entries carry their position in the set. Lists are read in blocks: a block whose smallest set is
-  too large, or whose entries stand too late in their sets, is skipped without a look at its entries.
+  too large, or whose positions leave too few shingles to share before and after them, is skipped without a look at its entries.
 * Entries of a list that can still be similar are tied together: short lists by pairs, long ones through anchors of
   neighbouring size classes, which costs two ties an entry. Connected ties make families; similar sets are always of one family.
 * Families are verified in blocks of bounded count and size. A row of exact intersections with the whole block is computed for few sets, the
@@ -20,7 +22,7 @@ to be connected:
   with a partner within that bound are verified, block against block. Families of very many blocks are connected within blocks and
   among the heads of what was found first; parts of one and the same component then need no comparison. So all pairs of
   different components are compared, and the result is exact.
-* Shingles that the frequency table shows to be in many sets are tied to their anchors where they are read; their lists are never
+* Entries that the frequency table shows to be in many sets are tied to their anchors where they are read; their lists are never
   gathered. Lists outside the table hold no more than some thousandth of all sets.
 
 Texts are read whole and more than once, a few MB at a time, as reading costs less than keeping all sets.
@@ -43,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cut import components, cut
+from ._cut import BROADCAST_ROWS, components, cut
 from ._memory import thrifty
 from ._text import U, mix, shingle_sets, slices
 
@@ -52,12 +54,10 @@ POSTING = np.dtype([("t", "<u8"), ("s", "<i8"), ("n", "<i4"), ("p", "<i4")])
 SHORT, SKIP = 1024, 16
 #: Members of a family's block, on average, and their shingles; blocks of a part, which meet as short counts; blocks from which a family is thinned first.
 BLOCK, BLOCK_ITEMS, PARTS, THIN = 256, 1 << 21, 4, 64
-#: Shingles known to be in more sets than this are tied where they are read.
+#: Keys that may be in more sets than this, by the table, are tied where they are read.
 SPREAD = 4096
 #: Entries of the table of frequent shingles: 12 MB at most.
 FREQUENT = 1 << 20
-#: Rows that are broadcast at most (about 50 bytes each).
-BROADCAST_ROWS = 500_000
 #: Bytes of text whose shingles are in memory at once (a longer text stands alone), and rows with one key and text from which sets are made distinct before they are gathered.
 SLICE, COPIES = 6 << 20, 1000
 
@@ -108,6 +108,29 @@ def _least(n, num: int, den: int):
     return (n * num + den - 1) // den
 
 
+def paired(num: int, den: int) -> bool:
+    """Whether pairs of neighbours are indexed: similar sets then have more common shingles than parted ones, by two at least."""
+    return 4 * num >= 3 * den
+
+
+def indexed(n: int, num: int, den: int) -> int:
+    """How many keys of a set of n shingles are indexed, from the front of its order."""
+    least = int(_least(n, num, den))
+    if not paired(num, den):
+        return n - least + 1
+    # with a partner of m shingles and o common ones, the (n + m - 2 o + 2)-th common one has at most n - o own ones before it
+    return max(1, min(n - 1, max(2 * n + m - 3 * int(_least(n + m, num, num + den)) + 1 for m in range(least, least + 4))))
+
+
+def _keys(s: np.ndarray, df: np.ndarray, most: int, two: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, a bound of how many sets have each)"""
+    o = np.argsort(df, kind="stable")[: most + two]
+    t, df = s[o], df[o]
+    if two and len(t) > 1:
+        return mix(t[:-1] * U(0x9E3779B97F4A7C15) + t[1:])[:most], df[:-1][:most]  # the rarer of two bounds the pair
+    return t[:most], df[:most]
+
+
 def _anchors(p: np.ndarray, num: int, den: int) -> np.ndarray:
     """(set, anchor) of entries: similar sets' sizes differ by a factor of den / num at most, so by one class of sizes at most; an entry is tied to its own and the next."""
     band = np.floor(np.log(np.maximum(p["n"], 1)) / np.log(den / num) + 1e-9).astype(np.int64) if num < den else p["n"].astype(np.int64)
@@ -115,9 +138,10 @@ def _anchors(p: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.stack([np.tile(p["s"], 2), anchor], 1)
 
 
-def _postings(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, tokens: np.ndarray, counts: np.ndarray, shared: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, tokens: np.ndarray, counts: np.ndarray, shared: np.ndarray, buckets: int, spread: int) -> Iterator[pa.RecordBatch]:
     """(bucket, tied, entries): index entries by bucket; tied: pairs instead, of sets and anchors."""
     thrifty()
+    two = paired(num, den)
     for batch in batches:
         seen: set[int] = set()
         for b in slices(batch, 0, SLICE):
@@ -130,18 +154,15 @@ def _postings(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, tok
                     continue
                 seen.add(g)
                 n = len(s)
-                most = n - int(_least(n, num, den)) + 1
+                df = np.zeros(n, np.int32)
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     df = np.where(tokens[at] == s, counts[at], 0)
-                    o = np.argsort(df, kind="stable")[:most]
-                    df = df[o]
-                else:
-                    o, df = np.arange(most), np.zeros(most, np.int32)
-                p = np.empty(most, POSTING)
-                p["t"], p["s"], p["n"], p["p"] = s[o], g, n, np.arange(most)
+                t, df = _keys(s, df, indexed(n, num, den), two)
+                p = np.empty(len(t), POSTING)
+                p["t"], p["s"], p["n"], p["p"] = t, g, n, np.arange(len(t))
                 out.append(p)
-                frequent.append(df > SPREAD)
+                frequent.append(df > spread)
             if not out:
                 continue
             p, often = np.concatenate(out), np.concatenate(frequent)
@@ -158,10 +179,15 @@ def _postings(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, tok
 
 
 def _possible(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether two entries of one list can belong to similar sets, by sizes and positions."""
+    """Whether two entries of one list can belong to similar sets, by sizes and positions.
+
+    No more than min(positions) are common before the two, and no more than the fewer of those that follow after. (A single shingle that matters is the
+    first common one: none before.)
+    """
     low, high = np.minimum(a["n"], b["n"]).astype(np.int64), np.maximum(a["n"], b["n"]).astype(np.int64)
     need = _least(a["n"].astype(np.int64) + b["n"], num, num + den)
-    return (a["s"] != b["s"]) & (low * den >= high * num) & (np.minimum(a["n"] - a["p"], b["n"] - b["p"]) >= need)
+    before = np.minimum(a["p"], b["p"]) if paired(num, den) else 0
+    return (a["s"] != b["s"]) & (low * den >= high * num) & (before + np.minimum(a["n"] - a["p"], b["n"] - b["p"]) >= need)
 
 
 def _sorted_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -199,27 +225,30 @@ def list_pairs(p: np.ndarray, first: np.ndarray, size: np.ndarray, num: int, den
     """Pairs that connect all entries that can belong to similar sets, of lists of p (by size of sets) that begin at first.
 
     Each entry passes over the blocks of its list from its own on. Sizes only grow, so the first block that begins too large ends its
-    walk; a block of which no entry stands early enough in its set is skipped.
+    walk; a block whose positions leave too few shingles before and after is skipped.
     """
     n, rest = p["n"].astype(np.int64), (p["n"] - p["p"]).astype(np.int64)
+    lead = p["p"].astype(np.int64) if paired(num, den) else np.zeros(len(p), np.int64)
     count = -(-size // SKIP)
     block = np.cumsum(count) - count  # number of each list's first block
     head = np.repeat(first, count) + (np.arange(count.sum()) - np.repeat(block, count)) * SKIP
     stop = np.minimum(head + SKIP, np.repeat(first + size, count))
     if not len(head):
         return np.zeros((0, 2), np.int64)
-    least, most = n[head], np.maximum.reduceat(np.r_[rest, 0], np.stack([head, stop], 1).ravel())[::2]
+    spans = np.stack([head, stop], 1).ravel()
+    least, most, late = n[head], np.maximum.reduceat(np.r_[rest, 0], spans)[::2], np.maximum.reduceat(np.r_[lead, 0], spans)[::2]
     entry = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     place = np.repeat(block, size) + (entry - np.repeat(first, size)) // SKIP
     last = np.repeat(block + count, size)
-    able = rest[entry] >= _least(2 * n[entry], num, num + den)
+    able = lead[entry] + rest[entry] >= _least(2 * n[entry], num, num + den)
     entry, place, last = entry[able], place[able], last[able]
     found, held = [np.zeros((0, 2), np.int64)], 0
     while len(entry):
         x = n[entry]
         near = least[place] * num <= x * den
         entry, place, last, x = entry[near], place[near], last[near], x[near]
-        look = np.flatnonzero(most[place] >= _least(x + np.maximum(least[place], x), num, num + den))
+        common = np.minimum(lead[entry], late[place]) + np.minimum(rest[entry], most[place])
+        look = np.flatnonzero(common >= _least(x + np.maximum(least[place], x), num, num + den))
         for k in range(0, len(look), 1 << 14):
             some = look[k : k + (1 << 14)]
             a, b = np.repeat(entry[some], SKIP), (head[place[some]][:, None] + np.arange(SKIP)).ravel()
@@ -237,19 +266,19 @@ def list_pairs(p: np.ndarray, first: np.ndarray, size: np.ndarray, num: int, den
     return forest(np.concatenate(found))
 
 
-def _ties(group: pa.Table, num: int, den: int) -> pa.Table:
-    """(a, b, anchor): pairs of classes that can be similar; in long lists, classes and the anchors of their sizes."""
+def _ties(group: pa.Table, num: int, den: int, most: int) -> pa.Table:
+    """(a, b, anchor): pairs of classes that can be similar; in lists of more than ``most`` entries, classes and the anchors of their sizes."""
     entries, tied = group["entries"].to_pylist(), group["tied"].to_pylist()
     p = np.frombuffer(b"".join(x for x, t in zip(entries, tied, strict=True) if not t), POSTING)
     anchored = [np.frombuffer(x, np.int64).reshape(-1, 2) for x, t in zip(entries, tied, strict=True) if t]
-    p = p[np.lexsort((p["s"], p["n"], p["t"]))]
+    p = p[np.lexsort((p["s"], p["p"], p["n"], p["t"]))]
     if len(p):
         p = p[np.r_[True, (p["t"][1:] != p["t"][:-1]) | (p["s"][1:] != p["s"][:-1])]]
     first = np.flatnonzero(np.r_[True, p["t"][1:] != p["t"][:-1]]) if len(p) else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, len(p)])
-    short = (size > 1) & (size <= SHORT)
+    short = (size > 1) & (size <= most)
     pairs = list_pairs(p, first[short], size[short], num, den)
-    anchored = forest(np.concatenate([*anchored, _anchors(p[np.repeat(size > SHORT, size)], num, den)]))
+    anchored = forest(np.concatenate([*anchored, _anchors(p[np.repeat(size > most, size)], num, den)]))
     both = np.concatenate([pairs, anchored])
     return pa.table({"a": pa.array(both[:, 0].copy()), "b": pa.array(both[:, 1].copy()), "anchor": pa.array(np.arange(len(both)) >= len(pairs))})
 
@@ -391,15 +420,20 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(t.alias("t"), i.alias("doc_id"), F.xxhash64(i, t).alias("key"))
 
 
+def shared_names(rows: DataFrame) -> np.ndarray:
+    """First names (lo) that stand with more than one second name (hi), sorted: about (number of classes)**2 / 2**65 of them."""
+    found = rows.groupBy("lo").agg(F.min("hi").alias("a"), F.max("hi").alias("b")).where("a <> b").select("lo").collect()
+    return np.sort(np.array([r["lo"] for r in found], np.int64))
+
+
 def classes(docs: DataFrame, k: int, text: str = "text") -> tuple[DataFrame, DataFrame, np.ndarray]:
     """(doc_id, key, class, n_shingles of each row; frequent shingles x by batch with counts n; names that two classes share)"""
     profile = cut(_keyed(docs, text).select("doc_id", "key", "t").mapInArrow(lambda it: _profile(it, k), "kind byte, doc_id long, key long, lo long, hi long, n long"))
     rows = profile.where("kind = 0")
-    # about (number of classes)**2 / 2**65 rows
-    shared = [r["lo"] for r in rows.groupBy("lo").agg(F.min("hi").alias("a"), F.max("hi").alias("b")).where("a <> b").select("lo").collect()]
-    name = F.when(F.col("lo").isin(shared), F.col("hi")).otherwise(F.col("lo")) if shared else F.col("lo")
+    shared = shared_names(rows)
+    name = F.when(F.col("lo").isin(shared.tolist()), F.col("hi")).otherwise(F.col("lo")) if len(shared) else F.col("lo")
     members = rows.select("doc_id", "key", name.alias("class"), F.col("n").alias("n_shingles"))
-    return members, profile.where("kind = 1").select(F.col("lo").alias("x"), "n"), np.sort(np.array(shared, np.int64))
+    return members, profile.where("kind = 1").select(F.col("lo").alias("x"), "n"), shared
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -415,11 +449,12 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "t
     tokens, counts = tokens[order], counts[order]
     del top
     total = int(members.agg(F.sum("n_shingles")).first()[0] or 0)
-    buckets = max(48, total * (den - num) // den // 150_000)
+    buckets = max(48, total * indexed(1000, num, den) // 1000 // 150_000)
     keyed = _keyed(docs, text)
+    most, spread = SHORT, SPREAD
     ties = cut(
-        keyed.select("t").mapInArrow(lambda it: _postings(it, k, num, den, tokens, counts, shared, buckets), "bucket int, tied boolean, entries binary")
-        .groupBy("bucket").applyInArrow(lambda g: _ties(g, num, den), "a long, b long, anchor boolean"),
+        keyed.select("t").mapInArrow(lambda it: _postings(it, k, num, den, tokens, counts, shared, buckets, spread), "bucket int, tied boolean, entries binary")
+        .groupBy("bucket").applyInArrow(lambda g: _ties(g, num, den, most), "a long, b long, anchor boolean"),
         True,
     )
     owners = members.where("n_shingles > 0").groupBy(F.col("class").alias("s")).agg(F.min("key").alias("key"), F.min("n_shingles").alias("n"))

@@ -139,3 +139,127 @@ def test_without_repeats_keeps_clean_rows(docs, none, pairs):
     clean = {(i, t) for i, t in pairs if i not in lost}
     assert clean <= {(r.doc_id, r.text) for r in out.collect()} and lost
     assert recompress.without_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("num,den", [(85, 100), (4, 5), (3, 4), (9, 10), (1, 2), (7, 10)])
+def test_similar_sets_meet_in_the_index(num, den):
+    """Every similar pair of sets is tied by its indexed keys, in whatever order shingles come."""
+    r, met = np.random.default_rng(0), 0
+    for _ in range(1500):
+        n = int(r.integers(1, 80))
+        base = np.unique(r.integers(0, 1 << 60, n + 40).astype(np.uint64))
+        r.shuffle(base)
+        x, y = base[:n], np.r_[base[int(r.integers(0, n // 3 + 2)) : n], base[n : n + int(r.integers(0, n // 4 + 2))]]
+        x, y = np.unique(x), np.unique(y)
+        common = len(np.intersect1d(x, y))
+        if common == len(x) == len(y) or not common or den * common < num * (len(x) + len(y) - common):
+            continue
+        entries = []
+        for s, z in ((1, x), (2, y)):
+            t, _ = J._keys(z, np.zeros(len(z), np.int32), J.indexed(len(z), num, den), J.paired(num, den))
+            p = np.empty(len(t), J.POSTING)
+            p["t"], p["s"], p["n"], p["p"] = t, s, len(z), np.arange(len(t))
+            entries.append(p)
+        p = np.concatenate(entries)
+        p = p[np.lexsort((p["s"], p["p"], p["n"], p["t"]))]
+        first = np.flatnonzero(np.r_[True, p["t"][1:] != p["t"][:-1]])
+        size = np.diff(np.r_[first, len(p)])
+        assert len(J.list_pairs(p, first[size > 1], size[size > 1], num, den)) == 1
+        met += 1
+    assert met > 50
+
+
+def test_skipped_blocks_lose_no_pair():
+    """Pairs by blocks connect what all pairs of a list connect."""
+    r = np.random.default_rng(1)
+    for num, den in ((85, 100), (1, 2)):
+        p = np.empty(3000, J.POSTING)
+        p["t"], p["s"] = r.integers(0, 6, 3000), np.arange(3000)
+        p["n"] = r.integers(10, 60, 3000)
+        p["p"] = r.integers(0, 10, 3000)
+        p = p[np.lexsort((p["s"], p["p"], p["n"], p["t"]))]
+        first = np.flatnonzero(np.r_[True, p["t"][1:] != p["t"][:-1]])
+        size = np.diff(np.r_[first, len(p)])
+        want = []
+        for f, n in zip(first, size, strict=True):
+            i, j = np.triu_indices(n, 1)
+            ok = J._possible(p[f + i], p[f + j], num, den)
+            want.append(J._sorted_pairs(p[f + i][ok], p[f + j][ok]))
+        a, b = J.forest(np.concatenate(want)), J.list_pairs(p, first, size, num, den)
+        assert len(a) == len(b) and len(J.forest(np.concatenate([a, b]))) == len(a)
+
+
+def keep_one(pairs, k, num, den):
+    """Rows that stay, by brute force: of each group of linked rows one with the smallest doc_id (None last); blank rows all."""
+    sets = [shingles(t, k) for _, t in pairs]
+    up = list(range(len(pairs)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(pairs)):
+        for b in range(a):
+            if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                up[find(a)] = find(b)
+    groups = {}
+    for x in range(len(pairs)):
+        groups.setdefault(find(x), []).append(x)
+    least = lambda g: min((pairs[x][0] is None, pairs[x][0] or 0) for x in g)
+    return [sorted({pairs[x] for x in g if (pairs[x][0] is None, pairs[x][0] or 0) == least(g)}, key=str) for g in groups.values() if sets[g[0]]], [p for p, s in zip(pairs, sets) if not s]
+
+
+def check_kept(spark, pairs, limit=None):
+    docs = spark.createDataFrame(rows(pairs), DOC).repartition(3)
+    got = [(r.doc_id, r.text) for r in J.near_copies_removed(docs).collect()]
+    groups, blank = keep_one(pairs, 5, 4, 5)
+    left = list(got)
+    for b in blank:
+        left.remove(b)
+    assert len(left) == len(groups)
+    for heads in groups:
+        assert sum(h in left for h in heads) == 1, heads
+
+
+def test_rows_decide_by_their_own_text(spark, monkeypatch):
+    a, b, p, q = (" ".join(f"{x}{i}" for i in range(40)) for x in "abpq")
+    cases = [(1, a), (5, b), (5, a), (7, b), (11, p), (11, q), (11, q), (None, a), (None, "only here and nowhere else at all"), (None, "only here and nowhere else at all"), (20, None), (20, None), (21, "  "), (22, "word"), (23, "Word")]
+    check_kept(spark, cases)
+    check_kept(spark, texts(4, 40) + cases)
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(J, "COPIES", 1)
+    check_kept(spark, texts(4, 40) + cases)
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, f"some words that repeat {i // 2} " * 12, "x", {"a": 1}) for i in range(8)], "`doc_id` long, `text` string, `a.b` string, `m` map<string,int>")
+    assert J.near_copies_removed(docs).columns == docs.columns and J.near_copies_removed(docs).count() == 4
+    out = recompress.without_repeats(docs, 10)
+    assert out.columns == docs.columns and out.count() == 8 and [r["m"] for r in out.collect()] == [{"a": 1}] * 8
+
+
+def test_rows_with_one_doc_id_are_dealt_over_chunks(spark, monkeypatch):
+    from lodestat.llm import _chunks
+
+    shared = " ".join(f"s{i}" for i in range(30))
+    pairs = [(None, f"n{i} {shared} n{i}") for i in range(300)] + [(4, f"r{i} {shared}") for i in range(200)] + [(9, shared)] * 40 + [(None, shared)] * 30 + [(1, f"first {shared}")]
+    docs = spark.createDataFrame(rows(pairs), DOC).repartition(4)
+    base, n, _ = _chunks.chunked(docs)
+    assert base.groupBy("chunk").count().agg({"count": "max"}).first()[0] < 100
+    for copies in (1000, 5):
+        monkeypatch.setattr(_chunks, "COPIES", copies)
+        got = Counter((r.doc_id, r.n_words, r.n_removed) for r in recompress.remove_repeats(docs, 20).collect())
+        want = Counter((i, len(words(t)), 30 if i != 1 else 0) for i, t in pairs)
+        assert got == want
+        assert _chunks.chunked(docs)[0].groupBy("chunk").count().agg({"count": "max"}).first()[0] < (100 if copies == 1000 else 40)
+
+
+def test_very_long_texts(spark):
+    """A word of 2 MB, a text of 300,000 words, and copies of both."""
+    long = " ".join(f"w{i * 7919 % 90001}" for i in range(300_000))
+    pairs = [(1, "z" * 2_000_000), (2, long), (3, long + " end"), (4, "z" * 2_000_000), (5, "short text")]
+    docs = spark.createDataFrame(rows(pairs), DOC).repartition(2)
+    assert {r.doc_id: r.component_id for r in J.groups(docs, 4, 85, 100).collect()} == {1: 1, 2: 2, 3: 2, 4: 1, 5: 5}
+    kept = {r.doc_id: (r.n_words, r.n_removed) for r in recompress.remove_repeats(docs, 20).collect()}
+    assert kept[1] == kept[4] == (1, 0) and kept[3][1] >= 299_981 and kept[5] == (2, 0)
