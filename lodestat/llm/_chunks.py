@@ -14,20 +14,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cut import text_bytes
+from ._cut import BROADCAST_ROWS, cut, text_bytes
 
 CHUNK_BYTES = 6 << 20
+#: Chunks for each key range: a range's task holds what as many chunks send it, some 12 MB.
+CHUNKS_A_RANGE = 3
+#: Rows equal in doc_id and text from which they are dealt over several chunks.
+COPIES = 1000
 
 
-def chunked(docs: DataFrame, least: int = 48, text: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text, and carry_<name> of carry) and the number of key ranges that suits the corpus."""
+def chunked(docs: DataFrame, least: int = 48, text: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, int, int]:
+    """((chunk, doc_id, text, and carry_<place> of the columns carry), chunks, key ranges that suit the corpus).
+
+    A row's chunk is a hash of its doc_id and text, so neither a null nor a repeated doc_id gathers texts in one task. Very many rows
+    equal in both are written once with a number and dealt by it, so that every read of the chunks finds them in the same place.
+    """
     n = max(least, text_bytes(docs, text) // CHUNK_BYTES)
-    key = F.col("doc_id").cast("long")
-    return docs.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("chunk"), key.alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry]), n
+    key, t = F.col("doc_id").cast("long"), F.col(f"`{text}`").cast("string")
+    rows = docs.select(F.xxhash64(key, t).alias("__h"), key.alias("doc_id"), t.alias("text"), *[F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry)])
+    chunk = lambda *more: F.pmod(F.xxhash64("__h", *more), F.lit(n)).cast("int").alias("chunk")
+    rest = [F.col(f"`{c}`") for c in rows.columns if c != "__h"]
+    hot = rows.groupBy("__h").agg(F.count("*").alias("__n")).where(F.col("__n") > COPIES).select("__h")
+    many = hot.count()
+    ranges = max(least, n // CHUNKS_A_RANGE)
+    if not many:
+        return rows.select(chunk(), *rest), n, ranges
+    hot = cut(hot)
+    few = F.broadcast(hot) if many <= BROADCAST_ROWS else hot
+    dealt = cut(rows.join(few, "__h", "left_semi").select(chunk(F.expr(f"monotonically_increasing_id() div {COPIES}")), *rest))
+    return rows.join(few, "__h", "left_anti").select(chunk(), *rest).unionByName(dealt), n, ranges
 
 
 def in_order(group: pa.Table) -> pa.Table:
-    """A chunk's rows by doc_id, equal ones by text: the order in which rows count as earlier. Nulls come last."""
+    """A chunk's rows by doc_id, then text. Nulls come last."""
     return group.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if len(group) else group
 
 

@@ -4,14 +4,17 @@ A recording is 16-bit mono PCM. Overlapping frames are folded into energies of t
 integral image is kept, so that the sum of any rectangle costs four reads; 16 rectangle filters compare two areas each, and each
 comparison gives 2 bits (Gray coded), so every frame position gives one packed 32-bit integer.
 
-Two recordings are aligned by a histogram: each integer that both hold votes for the offset of its positions. The offset with the most votes is
-then judged by the share of differing bits over the whole overlap.
+Two recordings are aligned by a histogram of offsets. What votes are pairs of integers ``GAP`` positions apart, whose filters share no frame: one
+integer spans a second of sound and is equal by chance in large tables, two that don't overlap hardly ever are, and a noisy copy still has many. A run of
+equal pairs (a held sound) votes once, at its start, and silence does not vote. The offsets with most votes are then judged by the share of differing bits
+over the whole overlap.
 
-Recordings with equal fingerprints are one class with its smallest id; copies are not multiplied. Votes are summed before each shuffle.
+Recordings with equal fingerprints are one class with its smallest id; copies are not multiplied. Each query gets one row, however many recordings match it.
 
-Defined results: null or too short recordings have an empty fingerprint and match nothing; an odd last byte is ignored; long recordings are read whole; silence
-has a fingerprint like any sound (all areas are equal), so two silences match; ties between offsets go to the smallest
-distance, then the smaller offset. Rows with one id are rows of their own, and a null id takes part as a member only. Empty tables give
+Defined results: null or too short recordings have an empty fingerprint and match nothing; an odd last byte is ignored; long recordings are read whole; recordings
+that are silent throughout have a fingerprint and match their copies only. Where the shorter of two fingerprints has no two positions ``GAP`` apart, its first and last
+integer make its pair, and the longer one's pairs of that gap are asked. Ties between offsets go to fewer wrong bits, more votes, the smallest
+distance, then the smaller offset; between matches to the smaller id. Rows with one id are rows of their own, and a null id takes part as a member only. Empty tables give
 empty tables. Other columns are not read.
 """
 
@@ -22,9 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._cut import BROADCAST_ROWS
+from ._memory import thrifty
+
 RATE, FRAME, HOP = 4000, 1024, 250
 LOWEST, HIGHEST = 60.0, 1600.0
 #: Comparisons of two areas, log((1 + a) / (1 + b)), are cut at these values into 4 levels.
@@ -92,46 +98,113 @@ def of_pcm(raw: bytes | None, rate: int = RATE) -> np.ndarray:
     return fingerprint(chroma(samples, rate))
 
 
-def fingerprints(media: DataFrame, id: str = "id", audio: str = "audio", rate: int = RATE, vectors: bool = False) -> DataFrame:
-    """id, fingerprint (array<int>) and class (16 hex digits of equal fingerprints) of each row.
+def fingerprints(media: DataFrame, id: str = "id", audio: str = "audio", rate: int = RATE, vectors: bool = False, skip: int = 0) -> DataFrame:
+    """id, fingerprint (array<int>) and class (32 hex digits of equal fingerprints) of each row.
 
-    vectors: the column holds vectors, each rendered as it is read, so that no batch of recordings is in memory.
+    vectors: the column holds vectors, each rendered as it is read, so that no batch of recordings is in memory. skip: samples that are left out at the start.
     """
     pcm = (lambda x: None if x is None else render(np.array(x, np.float64))) if vectors else (lambda x: x)
 
     def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            prints = [of_pcm(pcm(x), rate) for x in b.column(1).to_pylist()]
-            at = np.r_[0, np.cumsum([len(x) for x in prints])]
-            flat = np.concatenate([np.zeros(0, np.int32), *prints])
-            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32())), pa.array([hashlib.blake2b(x, digest_size=8).hexdigest() for x in prints], pa.string())], ["id", "fingerprint", "class"])
+        thrifty()
+        for whole in it:
+            for lo in range(0, len(whole), 512):
+                b = whole.slice(lo, 512)
+                prints = [of_pcm((pcm(x) or b"")[2 * skip :], rate) for x in b.column(1).to_pylist()]
+                at = np.r_[0, np.cumsum([len(x) for x in prints])]
+                flat = np.concatenate([np.zeros(0, np.int32), *prints])
+                names = pa.array([hashlib.blake2b(x, digest_size=16).hexdigest() for x in prints], pa.string())
+                yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32())), names], ["id", "fingerprint", "class"])
 
     return media.select(F.col(id).cast("long").alias("id"), F.col(audio).cast("array<double>" if vectors else "binary").alias("a")).mapInArrow(of, "id long, fingerprint array<int>, class string")
 
 
-def align(prints: DataFrame, queries: DataFrame, votes: int = 2, most_errors: float = 0.25, overlap: int = 16) -> DataFrame:
-    """query_id, match_id, copies, offset, votes, bit_error_rate: the classes of recordings that align with each query.
+#: Positions between the two integers of a vote: no frame is under the filters of both.
+GAP = WIDTH
+#: What every position of silence gives.
+SILENCE = int(fingerprint(np.zeros((WIDTH, 12)))[0])
+
+
+def pairs(f: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, 64-bit pair) of a fingerprint's votes: the first of each run of equal pairs, silence left out."""
+    if len(f) <= gap:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x = f.astype(np.int64)
+    v = x[: len(f) - gap] << 32 | (x[gap:] & 0xFFFFFFFF)
+    new = np.r_[True, v[1:] != v[:-1]] & ~((x[: len(f) - gap] == SILENCE) & (x[gap:] == SILENCE))
+    at = np.flatnonzero(new)
+    return at, v[at]
+
 
-    prints: fingerprints(); queries: those of its rows that ask. match_id is the smallest id of a class, copies its size;
-    offset is the position in the match less that in the query. The query's own class is listed only if it has other members.
-    Where the shorter fingerprint has fewer positions than votes or overlap ask for, all of its positions are asked for instead.
+_VOTES = "who long, size int, votes int, gap int, at int, v long"
+
+
+def _voting(prints: DataFrame, gaps: list[int]) -> DataFrame:
+    """(who, size, votes, gap, at, v) of prints (who, f): for each gap the pairs of all fingerprints that are long enough."""
+
+    def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        thrifty()
+        for whole in it:
+            for lo in range(0, len(whole), 2048):
+                b = whole.slice(lo, 2048)
+                out = []
+                for who, f in zip(b.column(0).to_numpy(), b.column(1), strict=True):
+                    f = f.values.to_numpy()
+                    for g in gaps:
+                        if g < len(f):
+                            at, v = pairs(f, g)
+                            out.append((np.full(len(at), who), np.full(len(at), len(f), np.int32), np.full(len(at), len(at), np.int32), np.full(len(at), g, np.int32), at.astype(np.int32), v))
+                if out:
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["who", "size", "votes", "gap", "at", "v"])
+
+    return prints.select("who", "f").mapInArrow(of, _VOTES)
+
+
+def align(prints: DataFrame, queries: DataFrame, votes: int = 2, most_errors: float = 0.25, overlap: int = 16, among: bool = True, offsets: int = 3) -> DataFrame:
+    """One row for each query with an id: query_id, n_matches, match_id, copies, offset, votes, bit_error_rate.
+
+    prints: fingerprints(); queries: others, or (among) rows of prints, whose own class is a match only if it has other members. n_matches: classes of
+    recordings that align; the other columns tell of the best one (null without any): fewest wrong bits, then most votes, then smallest id. match_id is the
+    smallest id of a class, copies its size; offset is the position in the match less that in the query.
+
+    Where two fingerprints have fewer pairs than ``votes``, or positions than ``overlap``, to offer, all that the shorter has are asked for. The ``offsets``
+    offsets with most votes are judged.
     """
-    heads = prints.where(F.size("fingerprint") > 0).groupBy("class").agg(F.min("id").alias("match_id"), F.count("*").alias("copies"), F.first("fingerprint").alias("y"))
-    asked = queries.where("size(fingerprint) > 0 and id is not null").select(F.col("id").alias("query_id"), "class")
-    asking = queries.where(F.size("fingerprint") > 0).groupBy("class").agg(F.first("fingerprint").alias("x"))
-    ours = asking.select(F.col("class").alias("q"), F.size("x").alias("m"), F.posexplode("x").alias("i", "v"))
-    theirs = heads.select(F.col("class").alias("r"), F.size("y").alias("k"), F.posexplode("y").alias("j", "v"))
-    histogram = ours.join(theirs, "v").groupBy("q", "r", (F.col("j") - F.col("i")).alias("offset")).agg(F.count("*").alias("votes"), F.first(F.least("m", "k")).alias("short"))
-    best = histogram.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("minus"))).alias("b"), F.first("short").alias("short"))
-    best = best.where(F.col("b.votes") >= F.least(F.lit(votes), "short")).select("q", "r", "short", (-F.col("b.minus")).alias("offset"), F.col("b.votes").alias("votes"))
-    both = best.join(asking.withColumnRenamed("class", "q"), "q").join(heads.withColumnRenamed("class", "r"), "r")
+    full = F.size("fingerprint") > 0
+    heads = prints.where(full).groupBy("class").agg(F.min("id").alias("match_id"), F.count("*").alias("copies"), F.first("fingerprint").alias("f")).withColumn("who", F.xxhash64("class"))
+    asked = queries.where("id is not null").select(F.col("id").alias("query_id"), "class")
+    asking = queries.where(full & F.col("id").isNotNull()).groupBy("class").agg(F.first("fingerprint").alias("f")).withColumn("who", F.xxhash64("class"))
+    gap = lambda n: F.least(F.lit(GAP), n - 1)
+    gaps = sorted({r[0] for t in (heads, asking) for r in t.select(gap(F.size("f"))).distinct().collect()})  # GAP + 1 values at most
+    ours = _voting(asking, gaps).select(F.col("who").alias("q"), F.col("size").alias("m"), F.col("votes").alias("a"), "gap", F.col("at").alias("i"), "v")
+    ours = F.broadcast(ours) if ours.count() <= BROADCAST_ROWS else ours
+    theirs = _voting(heads, gaps).select(F.col("who").alias("r"), F.col("size").alias("k"), F.col("votes").alias("b"), "gap", F.col("at").alias("j"), "v")
+    met = theirs.join(ours, ["gap", "v"]).where(F.col("gap") == F.least(gap(F.col("m")), gap(F.col("k")))).where("q <> r")
+    histogram = met.groupBy("q", "r", (F.col("j") - F.col("i")).alias("offset")).agg(F.count("*").alias("votes"), F.min(F.least("a", "b")).alias("most"))
+    histogram = histogram.where(F.col("votes") >= F.least(F.lit(votes), "most"))
+    best = Window.partitionBy("q", "r").orderBy(F.desc("votes"), F.abs("offset"), "offset")
+    chosen = histogram.withColumn("n", F.row_number().over(best)).where(F.col("n") <= offsets).select("q", "r", "offset", "votes")
+    x = asking.select(F.col("who").alias("q"), F.col("f").alias("x"))
+    y = heads.select(F.col("who").alias("r"), F.col("f").alias("y"), "match_id", "copies")
+    both = chosen.join(x, "q").join(y, "r")
     start, stop = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("x"), F.size("y") - F.col("offset"))
     part = lambda c, at: F.slice(c, at + 1, F.col("n"))
-    both = both.withColumn("s", start).withColumn("n", stop - start).where(F.col("n") >= F.least(F.lit(overlap), "short"))
+    both = both.withColumn("s", start).withColumn("n", stop - start).where(F.col("n") >= F.least(F.lit(overlap), F.size("x"), F.size("y")))
     errors = F.aggregate(F.zip_with(part("x", F.col("s")), part("y", F.col("s") + F.col("offset")), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, e: t + e)
-    judged = both.withColumn("bit_error_rate", errors / (F.col("n") * 32.0)).where(F.col("bit_error_rate") <= most_errors)
-    out = asked.join(judged.withColumnRenamed("q", "class"), "class")
-    return out.where("class <> r or copies > 1").select("query_id", "match_id", "copies", "offset", "votes", "bit_error_rate")
+    judged = both.withColumn("rate", errors / (F.col("n") * 32.0)).where(F.col("rate") <= most_errors)
+    order = lambda rate, n, at: F.struct(rate.alias("rate"), (-n).alias("fewer"), F.abs(at).alias("far"), at.alias("offset"))
+    pair = judged.groupBy("q", "r").agg(F.min(order(F.col("rate"), F.col("votes"), F.col("offset"))).alias("b"), F.min("match_id").alias("match_id"), F.min("copies").alias("copies"))
+    own = asking.select(F.col("who").alias("q")).join(heads.select(F.col("who").alias("q"), "match_id", "copies", F.size("f").alias("n")), "q").where(F.col("copies") > int(among))
+    own = own.select("q", F.col("q").alias("r"), order(F.lit(0.0), F.col("n").cast("long"), F.lit(0)).alias("b"), "match_id", "copies")
+    found = pair.unionByName(own).groupBy("q").agg(
+        F.count("*").alias("n_matches"),
+        F.min(F.struct("b.rate", "b.fewer", F.col("match_id").isNull().alias("none"), "match_id", "copies", "b.offset")).alias("b"),
+    )
+    out = asked.withColumn("q", F.xxhash64("class")).join(found, "q", "left")
+    return out.select(
+        "query_id", F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.col("b.match_id").alias("match_id"), F.col("b.copies").alias("copies"),
+        F.col("b.offset").alias("offset"), (-F.col("b.fewer")).alias("votes"), F.col("b.rate").alias("bit_error_rate"),
+    )
 
 
 NOTE = 500

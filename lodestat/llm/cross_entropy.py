@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._chunks import chunked, ranges
+from ._chunks import chunked, in_order, ranges
+from ._cut import BROADCAST_ROWS
+from ._memory import thrifty
 from ._text import U, blocks, buffer, mix, words
 
 PRIOR = 8.0
@@ -78,11 +80,8 @@ def _release(raw: bytes, n: int, dtype) -> np.ndarray:
 
 class _Chunk:
     def __init__(self, group: pa.Table):
-        import pyarrow.compute as pc
-
-        mark = group["target"]
-        self.docs = group.filter(pc.invert(mark)).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        target = group.filter(mark)["doc_id"]
+        thrifty()
+        self.docs = in_order(group)
         data, at = buffer(self.docs["text"])
         hs, ws, base = [np.zeros(0, U)], [np.zeros(1, np.int64)], 0
         for i, j in blocks(at):
@@ -94,8 +93,7 @@ class _Chunk:
         before = np.r_[_BEGIN, h[:-1]][: len(h)]
         before[self.first[:-1][np.diff(self.first) > 0]] = _BEGIN
         self.keys = np.concatenate([mix(before * _PAIR + h) | U(1), mix(before * _CONTEXT) & ~U(1)])
-        flag = pc.fill_null(pc.is_in(self.docs["doc_id"], value_set=target.drop_null().combine_chunks() if isinstance(target, pa.ChunkedArray) else target), False)
-        self.target = np.tile(np.repeat(np.asarray(flag, bool), np.diff(self.first)), 2)
+        self.target = np.tile(np.repeat(self.docs["target"].to_numpy().astype(bool), np.diff(self.first)), 2)
 
 
 ASKED = "range int, chunk int, n long, keys binary, counts binary, target binary"
@@ -151,15 +149,18 @@ def _scores(group: pa.Table, replies: pa.Table) -> pa.Table:
 
 def score(docs: DataFrame, target: DataFrame, prior: float = PRIOR, text: str = "text") -> DataFrame:
     """doc_id, n_tokens and score of each row; target: the doc_id of the documents that are the target corpus."""
-    base, n = chunked(docs, text=text)
+    base, n, wide = chunked(docs, text=text)
     ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(F.col(text).cast("string")).cast("double").alias("z"))
     everything, inside = (float(x.agg(F.sum("z")).first()[0] or 0) for x in (sizes, sizes.join(ids, "doc_id", "left_semi")))
     v, scale = vocabulary(docs, text), inside / everything if everything else 1.0
-    rows = base.withColumn("target", F.lit(False)).unionByName(
-        ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk"), "doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("target"))
-    )
-    asked = rows.groupBy("chunk").applyInArrow(lambda g: _ask(g, n), ASKED)
+    marks = ids.withColumn("target", F.lit(True))
+    if ids.count() <= BROADCAST_ROWS:
+        rows = base.join(F.broadcast(marks), "doc_id", "left")
+    else:  # rows without a doc_id need no partner, and would meet in one task
+        rows = base.where("doc_id is not null").join(marks, "doc_id", "left").unionByName(base.where("doc_id is null").withColumn("target", F.lit(False)))
+    rows = rows.withColumn("target", F.coalesce("target", F.lit(False)))
+    asked = rows.groupBy("chunk").applyInArrow(lambda g: _ask(g, wide), ASKED)
     replies = asked.groupBy("range").applyInArrow(lambda g: _reply(g, scale, v, prior), "chunk int, range int, n long, reply binary")
     return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_scores, "doc_id long, n_tokens long, score double")
 

@@ -7,8 +7,9 @@ read already: chi2_cdf((projected / d_k)**2) >= confidence.
 
 Distributed form: the top of the kd-tree (fitted on a bounded sample) cuts the projected space into cells, each held in blocks of bounded
 size; a hot cell is spread over blocks by a hash of vec_id. Queries search their own cell first. Its k-th distance then bounds all else: a query is
-sent to another cell only if the stopping test does not hold at the cell's nearest face. Queries go in groups of bounded size, so a task holds one
-block and one group. Every row is indexed; the sample only places the cuts.
+sent to another cell only if the stopping test does not hold at the cell's nearest face. A cell's queries go in groups of bounded size, so a task holds one
+block and one group; a block is copied only for the groups of its own cell, and blocks that no query asks don't move. Every row is indexed; the sample
+(of about twice SAMPLE rows by a hash, then the SAMPLE smallest) only places the cuts.
 
 Defined results: vectors that are null, zero, of another length than most of the sample, or with null or non-finite components take no part, as
 query or candidate; so do rows with a null vec_id. Rows with a query's vec_id are its own; of queries with one vec_id the vector with the smaller hash counts.
@@ -143,11 +144,11 @@ def search(ids, x, p, qids, qx, qp, radius, k: int, ratio: float):
             q = s + j
             order = np.argsort(bounds[j], kind="stable")
             edge = np.r_[bounds[j][order], np.inf]
-            worst = radius[q] ** 2
+            worst = radius[q]
             best_i, best_d = np.zeros(0, np.int64), np.zeros(0)
             wait, wait_p = np.zeros(0, np.int64), np.zeros(0)
             for step, leaf in enumerate(order):
-                if edge[step] > ratio * worst:
+                if edge[step] > ratio * worst * worst:
                     break
                 at = leaves[leaf]
                 gap = p[at] - qp[q]
@@ -158,8 +159,8 @@ def search(ids, x, p, qids, qx, qp, radius, k: int, ratio: float):
                     continue
                 now = now[ids[now] != qids[q]]
                 gap = x[now] - qx[q]
-                d = np.einsum("ij,ij->i", gap, gap)
-                ok = d <= worst
+                d = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+                ok = d <= worst  # distances are compared as they are returned, so exact ties are ties in every block
                 best_i, best_d = np.r_[best_i, now[ok]], np.r_[best_d, d[ok]]
                 if len(best_i) > k:
                     o = np.lexsort((ids[best_i], best_d))[:k]
@@ -168,7 +169,7 @@ def search(ids, x, p, qids, qx, qp, radius, k: int, ratio: float):
                     worst = min(worst, best_d.max())
             out_q.append(np.full(len(best_i), qids[q]))
             out_i.append(ids[best_i])
-            out_d.append(np.sqrt(best_d))
+            out_d.append(best_d)
     cat = lambda z, t: np.concatenate(z) if z else np.zeros(0, t)
     return cat(out_q, np.int64), cat(out_i, np.int64), cat(out_d, np.float64)
 
@@ -183,11 +184,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, m: int = 8, con
     spark, ratio = vectors.sparkSession, stop_ratio(confidence, m)
     tidy = lambda df: df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).where("id is not null and x is not null")
     rows, asked = tidy(vectors), tidy(queries)
-    sample = rows.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(SAMPLE).select("x").toArrow()["x"]
-    _, some = matrix(sample)
+    total = rows.count()
+    draw = F.xxhash64("id", "x", F.lit(3))
+    few = rows if total <= SAMPLE else rows.where(F.pmod(draw, F.lit(1 << 40)) < int((1 << 40) * 2 * SAMPLE / total))
+    _, some = matrix(few.orderBy(draw, "id").limit(SAMPLE).select("x").toArrow()["x"])
+    if not len(some):  # rows that are all alike may all be left out
+        _, some = matrix(rows.limit(SAMPLE).select("x").toArrow()["x"])
     if not len(some):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dimension, total = some.shape[1], rows.count()
+    dimension = some.shape[1]
     weights = projection(dimension, m)
     cells = Cells.fit(some @ weights, total // BLOCK)
 
@@ -209,35 +214,58 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, m: int = 8, con
         table[c] = first[c], spread[c]
     one = Window.partitionBy("id").orderBy(F.xxhash64("x"))
     asked = cut(place(asked).withColumn("n", F.row_number().over(one)).where("n = 1").drop("n"))
-    groups = -(-asked.count() // GROUP) or 1
 
-    def blocked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def wanted(b: pa.RecordBatch, home: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the cells that each query of (id, cell, x, radius) has to search."""
+        own = np.zeros((len(b), len(table)), bool)
+        own[np.arange(len(b)), b.column(1).to_numpy()] = True
+        if home:
+            return np.nonzero(own)
+        q = matrix(b.column(2), dimension)[1] @ weights
+        return np.nonzero((_bounds(q, cells.low, cells.high) <= ratio * (b.column(3).to_numpy() ** 2)[:, None]) & ~own)
+
+    def asks(df: DataFrame, home: bool) -> np.ndarray:
+        """Groups of queries of each cell."""
+
+        def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(len(table), np.int64)
+            for b in it:
+                n += np.bincount(wanted(b, home)[1], minlength=len(table))
+            at = np.flatnonzero(n)
+            yield pa.record_batch([pa.array(at, pa.int32()), pa.array(n[at])], ["cell", "n"])
+
+        out = np.zeros(len(table), np.int64)
+        for r in df.mapInArrow(of, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # MOST_CELLS rows at most
+            out[r["cell"]] = -(-r["n"] // GROUP)
+        return out
+
+    def mixed(ids: np.ndarray) -> np.ndarray:
+        return ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+
+    def blocked(it: Iterator[pa.RecordBatch], groups: np.ndarray) -> Iterator[pa.RecordBatch]:
         for b in it:
             c, ids = b.column(1).to_numpy(), b.column(0).to_numpy()
-            salt = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % table[c, 1].astype(np.uint64)
-            yield pa.record_batch([pa.array(table[c, 0] + salt.astype(np.int64), pa.int32()), b.column(0), b.column(2)], ["block", "id", "x"])
+            block = table[c, 0] + (mixed(ids) % np.maximum(table[c, 1], 1).astype(np.uint64)).astype(np.int64)
+            n = groups[c]
+            row = np.repeat(np.arange(len(b)), n)
+            g = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            at = pa.array(row)
+            yield pa.record_batch([pa.array(block[row], pa.int32()), pa.array(g, pa.int32()), b.column(0).take(at), b.column(2).take(at)], ["block", "g", "id", "x"])
 
-    def sent(it: Iterator[pa.RecordBatch], home: bool) -> Iterator[pa.RecordBatch]:
+    def sent(it: Iterator[pa.RecordBatch], home: bool, groups: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Queries with their radius, once for each block that they have to search."""
         for b in it:
-            r = b.column(3).to_numpy()
-            if home:
-                wanted = np.zeros((len(b), len(table)), bool)
-                wanted[np.arange(len(b)), b.column(1).to_numpy()] = True
-            else:
-                q = matrix(b.column(2), dimension)[1] @ weights
-                wanted = _bounds(q, cells.low, cells.high) <= ratio * (r**2)[:, None]
-                wanted[np.arange(len(b)), b.column(1).to_numpy()] = False
-            row, cell = np.nonzero(wanted)
+            row, cell = wanted(b, home)
             n = table[cell, 1]
-            row, base = np.repeat(row, n), np.repeat(table[cell, 0], n)
+            row, cell, base = np.repeat(row, n), np.repeat(cell, n), np.repeat(table[cell, 0], n)
             block = base + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            g = (mixed(b.column(0).to_numpy()[row] ^ 0x5DEECE66D) % np.maximum(groups[cell], 1).astype(np.uint64)).astype(np.int32)
             at = pa.array(row)
-            yield pa.record_batch([pa.array(block, pa.int32()), b.column(0).take(at), b.column(2).take(at), b.column(3).take(at)], ["block", "id", "x", "radius"])
-
-    blocks = data.mapInArrow(blocked, "block int, id long, x array<double>").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+            yield pa.record_batch([pa.array(block, pa.int32()), pa.array(g), b.column(0).take(at), b.column(2).take(at), b.column(3).take(at)], ["block", "g", "id", "x", "radius"])
 
     def found(df: DataFrame, home: bool) -> DataFrame:
+        groups = asks(df, home)
+
         def run(part: pa.Table, qs: pa.Table) -> pa.Table:
             if not len(part) or not len(qs):
                 return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -246,7 +274,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, m: int = 8, con
             got = search(part["id"].to_numpy(), x, x @ weights, qs["id"].to_numpy(), qx, qx @ weights, qs["radius"].to_numpy(), k, ratio)
             return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, got), strict=True)))
 
-        qs = df.mapInArrow(lambda it: sent(it, home), "block int, id long, x array<double>, radius double").withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+        blocks = data.mapInArrow(lambda it: blocked(it, groups), "block int, g int, id long, x array<double>")
+        qs = df.mapInArrow(lambda it: sent(it, home, groups), "block int, g int, id long, x array<double>, radius double")
         return blocks.groupBy("block", "g").cogroup(qs.groupBy("block", "g")).applyInArrow(run, _FOUND)
 
     def top(df: DataFrame) -> DataFrame:

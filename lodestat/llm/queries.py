@@ -20,9 +20,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings that align with every hundredth recording; each embedding is rendered as a tune, as no table holds audio."""
-    prints = cut(chroma.fingerprints(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", vectors=True))
-    return chroma.align(prints, prints.where("id % 100 = 0"))
+    """What aligns with every hundredth recording (each embedding is rendered as a tune, as no table holds audio): whole, among all others; and cut at its start, among all."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    prints = cut(chroma.fingerprints(vectors, "vec_id", "embedding", vectors=True))
+    clips = cut(chroma.fingerprints(vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", vectors=True, skip=chroma.RATE + 37))
+    whole = chroma.align(prints, prints.where("id % 100 = 0")).withColumn("part", F.lit("whole"))
+    return whole.unionByName(chroma.align(prints, clips, among=False).withColumn("part", F.lit("clip")))
 
 
 def op3_stable_projection_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

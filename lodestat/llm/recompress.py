@@ -15,8 +15,8 @@ stands in every equal window at the same place.
 Each chunk sends a key once, so a passage in a third of all documents costs one entry a chunk.
 
 Defined results: null and empty texts have no words and keep none; texts shorter than the window lose
-nothing. Earlier means smaller doc_id, then (for rows with one doc_id) smaller text, then earlier start; a null doc_id comes
-after all others. Words are maximal runs of bytes other than space and 09-0D; no text is cut. Empty tables give empty tables.
+nothing. Earlier means smaller doc_id, then (for rows with one doc_id) a smaller hash of the text, then earlier start; a null doc_id comes
+after all others; of equal rows one counts as the first. Words are maximal runs of bytes other than space and 09-0D; no text is cut. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._chunks import answered, answers, ask, chunked, in_order
+from ._memory import thrifty
 from ._text import U, blocks, buffer, mix, windows, words
 
 LEVELS = 4
@@ -82,6 +83,7 @@ class _Chunk:
     """A chunk's words and symbols, the same each time it is read."""
 
     def __init__(self, group: pa.Table):
+        thrifty()
         self.table = in_order(group)
         data, at = buffer(self.table["text"])
         hs, ws, base = [], [np.zeros(1, np.int64)], 0
@@ -163,9 +165,9 @@ def _ask_windows(group: pa.Table, replies: pa.Table, n: int, k: int) -> pa.Table
 
 
 def _first_owner(keys: np.ndarray, size: np.ndarray, group: pa.Table) -> np.ndarray:
-    """Whether each part's entry has the smallest doc_id of its key; a doc_id is in one chunk only."""
-    doc = np.frombuffer(b"".join(group["doc"].to_pylist()), np.int64)
-    o = np.lexsort((doc, keys["b"], keys["a"]))
+    """Whether each part's entry has the smallest (doc_id, chunk) of its key."""
+    doc, chunk = np.frombuffer(b"".join(group["doc"].to_pylist()), np.int64), np.repeat(group["chunk"].to_numpy(), size)
+    o = np.lexsort((chunk, doc, keys["b"], keys["a"]))
     s = keys[o]
     new = np.ones(len(s), bool)
     new[1:] = (s["a"][1:] != s["a"][:-1]) | (s["b"][1:] != s["b"][:-1])
@@ -210,11 +212,11 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed
 
 
 def remove_repeats(docs: DataFrame, k: int = 20, text: str = "text", carry: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the kept words joined by one space) of each row, then carry_<name> of carry.
+    """doc_id, n_words, n_removed and kept (the kept words joined by one space) of each row, then carry_<place> of the columns carry.
 
     as_is: the kept text of rows that lose nothing is their text, with its own white space (null if null).
     """
-    base, n = chunked(docs, text=text, carry=carry)
+    base, _, n = chunked(docs, text=text, carry=carry)
     groups = base.groupBy("chunk")
     first = answered(groups.applyInArrow(lambda g: _ask_symbols(g, n), "range int, chunk int, keys binary, twice binary"), _shared)
     asked = base.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(lambda g, r: _ask_windows(g, r, n, k), "range int, chunk int, keys binary, doc binary")
@@ -228,7 +230,9 @@ def without_repeats(docs: DataFrame, k: int = 50) -> DataFrame:
     """docs with the same columns, texts (and n_chars) without the words of repeated windows; rows that lose nothing stay as they are."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     out = remove_repeats(docs, k, carry=others, as_is=True)
-    value = {"doc_id": F.col("doc_id"), "text": F.col("kept")} | {c: F.col(f"carry_{c}") for c in others}
+    value = {c: F.col(f"carry_{i}") for i, c in enumerate(others)}
     if "n_chars" in others:
-        value["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("carry_n_chars"))
-    return out.select(*[value[c].alias(c) for c in docs.columns])
+        value["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(value["n_chars"])
+    value |= {"doc_id": F.col("doc_id"), "text": F.col("kept")}
+    kind = {f.name: f.dataType for f in docs.schema.fields}
+    return out.select(*[value[c].cast(kind[c]).alias(c) for c in docs.columns])

@@ -6,10 +6,11 @@ one says of texts that it has not seen. Models are logistic regressions on the p
 the words chosen by how far their log odds stand from chance.
 
 Training takes at most ``sample`` labelled rows (those with the smallest hash of doc_id): their distinct words go to the
-driver, never more. Scoring reads every text whole and has no shuffle.
+driver, never more. Of the words that stand out from chance the FEATURES farthest out become a model's features; all others have no weight. Scoring reads every text whole and has no shuffle.
 
 Defined results: null, empty and blank texts have no words and get the models' base rates; texts that are very long count each
-word once. Rows with a null label in any category are not trained on; of labels repeated for a doc_id the largest count. With no usable
+word once. Rows with a null label in any category are not trained on; of labels repeated for a doc_id the largest count; of texts repeated for one
+the text with the smallest hash is trained on. With no usable
 labels, or one class only, a category's probability is its smoothed base rate and nothing is rejected. Repeated rows
 score alike; a null doc_id is scored. Empty tables give empty tables. Other columns are not read.
 """
@@ -168,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, i
     ok = ok.groupBy("doc_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(categories))])
     ok = ok.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).join(F.broadcast(ok), "doc_id")  # at most ``sample`` labels
+    rows = rows.groupBy("doc_id", *[f"y{i}" for i in range(len(categories))]).agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, i
             yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(f, pa.int64())), *b.columns[2:]], ["doc_id", "f", *b.schema.names[2:]])
 
     ys = [f"y{i}" for i in range(len(categories))]
-    got = rows.select("doc_id", "t", *ys).mapInArrow(of, "doc_id long, f array<long>, " + ", ".join(f"{y} int" for y in ys)).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    got = rows.select("doc_id", "t", *ys).mapInArrow(of, "doc_id long, f array<long>, " + ", ".join(f"{y} int" for y in ys)).toArrow().sort_by("doc_id")
     size = np.array([len(x) for x in got["f"]], np.int64)
     feature = got["f"].combine_chunks().flatten().to_numpy() if len(got) else np.zeros(0, np.int64)
     y = np.stack([got[c].to_numpy() for c in ys], 1).astype(float) if len(got) else np.zeros((0, len(ys)))

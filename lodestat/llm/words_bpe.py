@@ -1,9 +1,9 @@
 """Ids of a whole-word tokenizer, remembered by word.
 
 The tokenizer drops white space before it splits, and neither its normaliser nor its split looks past a blank or a line
-feed, so a text's ids are those of its blank-separated parts in order. Parts are found and fingerprinted (64 bits) in the
-UTF-8 buffer; each distinct part goes through the tokenizer once, and documents' ids are gathered with numpy. Parts that hold other
-white space are parts like any other.
+feed, so a text's ids are those of its blank-separated parts in order. Parts are found in the UTF-8 buffer and go by two independent 64-bit names
+(BLAKE2 for long ones); each distinct part goes through the tokenizer once, and documents' ids are gathered with numpy. Parts that hold other
+white space are parts like any other. Where the second names differ, parts with one first name are encoded each by itself.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ class WordIds:
         self._reset()
 
     def _reset(self) -> None:
-        self.keys, self.places = np.zeros(0, U), np.zeros(0, np.int64)  # sorted fingerprints, and the number of each part
+        self.keys, self.checks, self.places = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)  # sorted first names, second names, and the number of each part
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size, self.parts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
@@ -54,7 +54,7 @@ class WordIds:
             self.used += n
             self.parts += m
 
-    def _numbers(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _numbers(self, h: np.ndarray, check: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of each part; parts not met before are learnt."""
         if self.parts > MEMO_PARTS or self.used > MEMO_IDS:
             self._reset()
@@ -63,23 +63,30 @@ class WordIds:
         known = np.zeros(len(u), bool)
         if len(self.keys):
             known = self.keys[np.minimum(at, len(self.keys) - 1)] == u
-        number = np.empty(len(u), np.int64)
-        number[known] = self.places[at[known]]
+        number, second = np.empty(len(u), np.int64), check[first]
+        number[known], second[known] = self.places[at[known]], self.checks[at[known]]
         new = np.flatnonzero(~known)
+        raw = memoryview(np.ascontiguousarray(data))
+        take = lambda w: [str(raw[s:e], "utf-8") for s, e in zip(starts[w].tolist(), ends[w].tolist(), strict=True)]
         if len(new):
             number[new] = self.parts + np.arange(len(new))
-            raw = data.tobytes()
-            self._learn([raw[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self._learn(take(first[new]))
             self.keys, self.places = np.insert(self.keys, at[new], u[new]), np.insert(self.places, at[new], number[new])
-        return number[of]
+            self.checks = np.insert(self.checks, at[new], second[new])
+        out = number[of]
+        other = np.flatnonzero(second[of] != check)  # not the part that its first name was learnt for
+        if len(other):
+            out[other] = self.parts + np.arange(len(other))
+            self._learn(take(other))
+        return out
 
     def encode(self, column):
         """For consecutive row ranges of a string column: (first row, row after, ids, where each row's ids begin, and the end)"""
         data, at = buffer(column)
         for i, j in blocks(at):
             part = data[at[i] : at[j]]
-            h, starts, ends, first = words(part, at[i : j + 1] - at[i], separator=_BLANKS)
-            number = self._numbers(h, part, starts, ends)
+            (h, check), starts, ends, first = words(part, at[i : j + 1] - at[i], separator=_BLANKS, which=(0, 1))
+            number = self._numbers(h, check, part, starts, ends)
             start, size = self.start[number], self.size[number]
             stop = np.cumsum(size)
             place = np.arange(stop[-1] if len(stop) else 0) + np.repeat(start - (stop - size), size)
