@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.moments import moments
+from ..plans.rows import Block, Vectors, folded
+from .frames import complete
 from .linalg import fix_signs
 
 
@@ -80,12 +82,111 @@ def kmeans_random(df: DataFrame, columns: list[str], k: int, restarts: int, iter
     return best
 
 
+def assign_rows(df: DataFrame, at: Vectors, centres: np.ndarray, out: str = "cluster") -> DataFrame:
+    """df with the nearest centre (lowest index on ties) and its squared distance, for feature vectors, dense or sparse.
+
+    |x - c|^2 = |x|^2 - 2 x.c + |c|^2 with the centres' norms computed once, so a sparse row costs its entries only. Rows with missing entries go.
+    """
+    at = Vectors(at.width, at.dense, at.indices, at.values, False)
+    centres = np.asarray(centres, float)
+    norms = np.einsum("ij,ij->i", centres, centres)
+    own = [c for c in df.columns if c not in (out, "distance2")]
+    tidy = at.complete(df.select(*[F.col(f"`{c}`") for c in own], *at.columns()))
+
+    def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            k, d = _nearest(Block(b, at), centres, norms)
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in own], pa.array(k, pa.int32()), pa.array(d)], [*own, out, "distance2"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in own)
+    return tidy.mapInArrow(of, f"{kinds}, `{out}` int, distance2 double")
+
+
+def _nearest(block: Block, centres: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    best, at = np.full(block.n, np.inf), np.zeros(block.n, np.int64)
+    for lo in range(0, len(centres), 64):  # a bounded table of distances at a time
+        d = norms[lo : lo + 64] - 2 * block.dot(centres[lo : lo + 64].T)
+        k = d.argmin(1)
+        near = d[np.arange(block.n), k]
+        closer = near < best
+        best, at = np.where(closer, near, best), np.where(closer, k + lo, at)
+    return at, np.maximum(best + block.squares(), 0)
+
+
+def kmeans_rows(df: DataFrame, at: Vectors, centres: np.ndarray, iterations: int) -> KMeansResult:
+    """kmeans() on feature vectors of any width, dense or sparse: one numpy fold a step over cached rows."""
+    at = Vectors(at.width, at.dense, at.indices, at.values, False)
+    rows = at.complete(df.select(*at.columns())).cache()
+    centres = np.asarray(centres, float)
+    try:
+        for _ in range(iterations + 1):
+            before, norms, k = centres, np.einsum("ij,ij->i", centres, centres), len(centres)
+
+            def of(b: pa.RecordBatch, before=before, norms=norms, k=k) -> np.ndarray:
+                block = Block(b, at)
+                near, _ = _nearest(block, before, norms)
+                if at.sparse:
+                    sums = np.bincount(near[block.row] * at.width + block.index, block.value, k * at.width)
+                else:
+                    sums = np.zeros((k, at.width))
+                    np.add.at(sums, near, block.x)
+                return np.r_[np.bincount(near, minlength=k), sums.ravel(), block.squares().sum()]
+
+            got = folded(rows, k + k * at.width + 1, of)
+            n, sums = got[:k], got[k:-1].reshape(k, at.width)
+            live = n > 0
+            before, centres = before[live], sums[live] / n[live, None]
+        # labels by the centres before the last update, cost by those after it: sum |x|^2 - 2 sum_k m_k.s_k + sum_k n_k |m_k|^2
+        total = got[-1] - float((n[live] * np.einsum("ij,ij->i", centres, centres)).sum())
+    finally:
+        rows.unpersist()
+    return KMeansResult(centres, before, max(total, 0.0))
+
+
+def kmeans_rows_random(df: DataFrame, at: Vectors, k: int, restarts: int, iterations: int, key: str, seed: int = 42) -> KMeansResult:
+    """The cheapest of several runs from rows picked by a seeded hash of their key."""
+    at = Vectors(at.width, at.dense, at.indices, at.values, False)
+    rows, best = at.complete(df.select(F.col(key).alias("__k"), *at.columns())), None
+    for r in range(restarts):
+        picked = rows.orderBy(F.xxhash64("__k", F.lit(seed + r)), "__k").limit(k).drop("__k").toArrow().combine_chunks().to_batches()
+        start = np.concatenate([Block(b, at).some(np.arange(at.width), 0, len(b)) for b in picked]) if picked else np.zeros((0, at.width))
+        if not len(start):
+            raise ValueError("k-means needs a complete row at least")
+        got = kmeans_rows(df, at, start, iterations)
+        best = got if best is None or got.cost < best.cost else best
+    return best
+
+
+def cluster_plot(assigned: DataFrame, key: str, x: str, y: str, cluster: str = "cluster", centres: np.ndarray | None = None) -> DataFrame:
+    """(kind, key, x, y, cluster): the points of a scatter plot of two coordinates, and the centres (kind 'centre', null key)."""
+    points = assigned.select(F.lit("point").alias("kind"), F.col(key).cast("string").alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(cluster).cast("long").alias("cluster"))
+    if centres is None:
+        return points
+    rows = [("centre", None, float(c[0]), float(c[1]), k) for k, c in enumerate(centres)]
+    return points.unionByName(assigned.sparkSession.createDataFrame(rows, "kind string, key string, x double, y double, cluster long"))
+
+
+def medoid_plot(df: DataFrame, assigned: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(kind, key, x, y, cluster) of k-medoid clusters, each named by its medoid's key; the medoids themselves are of kind 'medoid'."""
+    both = df.join(assigned.select(F.col("i").alias(key), "medoid"), key)
+    kind = F.when(F.col(key) == F.col("medoid"), "medoid").otherwise("point")
+    return both.select(kind.alias("kind"), F.col(key).cast("string").alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col("medoid").cast("long").alias("cluster"))
+
+
+#: Pairs of rows that distances() makes at most.
+MOST_PAIRS = 500_000_000
+
 #: Points of a block, and least partitions of the pairs of blocks, when sums of distances within clusters are formed.
 BLOCK, BLOCK_PARTS = 2048, 200
 
 
 def distances(df: DataFrame, key: str, columns: list[str], to: DataFrame | None = None) -> DataFrame:
-    """(i, j, d) of all pairs, or of all rows i and the rows j of to."""
+    """(i, j, d) of all pairs, or of all rows i and the rows j of to.
+
+    All pairs are a square of the rows; a table with more than MOST_PAIRS is refused (kmedoid_rows() works on any number of rows).
+    """
+    if to is None and (n := df.count()) ** 2 > MOST_PAIRS:
+        raise ValueError(f"{n} rows have {n * n} pairs; {MOST_PAIRS} are the most")
     left = df.select(F.col(key).alias("i"), *[F.col(c).alias(f"a_{c}") for c in columns])
     right = (df if to is None else to).select(F.col(key).alias("j"), *[F.col(c).alias(f"b_{c}") for c in columns])
     d = F.sqrt(reduce(lambda s, t: s + t, [(F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns]))
@@ -226,6 +327,10 @@ def cluster_columns(df: DataFrame, columns: list[str], distance: Callable[[DataF
     return [columns[i] for i in order], d[np.ix_(order, order)]
 
 
+#: Products of scores that are written as one projection at most.
+FEW_TERMS = 256
+
+
 @dataclass
 class Pca:
     """sigma: singular values of the demeaned data; loadings: columns of V."""
@@ -236,22 +341,65 @@ class Pca:
     loadings: np.ndarray
 
     def scores(self, df: DataFrame, prefix: str = "pc") -> DataFrame:
-        """df with U * Sigma, in one projection."""
+        """df with U * Sigma: in one projection, or (for more than FEW_TERMS products) by numpy on Arrow batches. Rows with missing cells get nulls."""
+        names = [f"{prefix}{k + 1}" for k in range(len(self.sigma))]
+        if len(self.columns) * len(names) > FEW_TERMS:
+            own = [c for c in df.columns if c not in names]
+            x = F.array(*[F.col(c).cast("double") for c in self.columns])
+            means, loadings = self.means, self.loadings
+
+            def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in it:
+                    m = b.column(b.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(len(b), len(means))
+                    s = (m - means) @ loadings
+                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, from_pandas=True) for c in s.T]], [*own, *names])
+
+            kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name in own)
+            return df.select(*own, x.alias("__x")).mapInArrow(of, kinds + ", ".join(f"`{n}` double" for n in names))
+
         def score(k: int) -> Column:
             return reduce(lambda s, t: s + t, [(F.col(c) - F.lit(float(m))) * F.lit(float(self.loadings[i, k])) for i, (c, m) in enumerate(zip(self.columns, self.means, strict=True))])
 
-        return df.withColumns({f"{prefix}{k + 1}": score(k) for k in range(len(self.sigma))})
+        return df.withColumns({n: score(k) for k, n in enumerate(names)})
 
     def scree(self, spark) -> DataFrame:
         share = self.sigma**2 / (self.sigma**2).sum()
         return spark.createDataFrame([(k + 1, float(s), float(f)) for k, (s, f) in enumerate(zip(self.sigma, share, strict=True))], "component int, sigma double, share double")
 
+    def pairwise(self, df: DataFrame, key: str, group: str | None = None) -> DataFrame:
+        """(key, a, b, x, y, group): every pair of components a < b as the points of a scatter plot."""
+        scored, n = self.scores(df, "__pc"), len(self.sigma)
+        pairs = [F.struct(F.lit(a + 1).alias("a"), F.lit(b + 1).alias("b"), F.col(f"__pc{a + 1}").alias("x"), F.col(f"__pc{b + 1}").alias("y")) for a in range(n) for b in range(a + 1, n)]
+        colour = F.col(group).cast("string") if group else F.lit(None).cast("string")
+        return scored.select(F.col(key).alias("key"), colour.alias("group"), F.explode(F.array(*pairs)).alias("p")).select("key", "group", "p.*")
+
+    def loading_histograms(self, spark, bins: int = 20) -> DataFrame:
+        """(component, bin, low, high, n) of the loadings of each component; parameter-sized."""
+        out = []
+        for k in range(len(self.sigma)):
+            n, edges = np.histogram(self.loadings[:, k], bins)
+            out += [(k + 1, i, float(edges[i]), float(edges[i + 1]), int(c)) for i, c in enumerate(n)]
+        return spark.createDataFrame(out, "component int, bin int, low double, high double, n long")
+
+    def top_loadings(self, spark, n: int = 5) -> DataFrame:
+        """(component, place, term, loading): the n smallest and n largest loadings of each component, all where there are fewer than 2 n."""
+        out = []
+        for k in range(len(self.sigma)):
+            order = sorted(range(len(self.columns)), key=lambda i: (self.loadings[i, k], self.columns[i]))  # noqa: B023
+            order = order if len(order) < 2 * n else order[:n] + order[-n:]
+            out += [(k + 1, at, self.columns[i], float(self.loadings[i, k])) for at, i in enumerate(order)]
+        return spark.createDataFrame(out, "component int, place int, term string, loading double")
+
     def loading_table(self, spark) -> DataFrame:
         return spark.createDataFrame([(c, k + 1, float(self.loadings[i, k])) for i, c in enumerate(self.columns) for k in range(len(self.sigma))], "term string, component int, loading double")
 
 
 def pca(df: DataFrame, columns: list[str], most: int = 10) -> Pca:
-    """Two aggregations: means, then the centred Gram matrix. The rank is that of the standardised data (singular values above 1e-4)."""
+    """Two aggregations: means, then the centred Gram matrix of the complete rows.
+
+    The rank is that of the standardised data (singular values above 1e-4); components of the demeaned data at 1e-4 or less go too.
+    """
+    df = complete(df, columns)
     row = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
     means = np.array([row[c] or 0.0 for c in columns])
     g = moments(df, columns, shift=dict(zip(columns, means, strict=True)))
@@ -260,12 +408,13 @@ def pca(df: DataFrame, columns: list[str], most: int = 10) -> Pca:
     rank = int((np.sqrt(np.maximum(np.linalg.eigvalsh(unit), 0)) > 1e-4).sum())
     values, vectors = np.linalg.eigh(g.cross)
     order = np.argsort(-values)[: min(rank, most)]
+    order = order[np.sqrt(np.maximum(values[order], 0)) > 1e-4]
     return Pca(list(columns), means, np.sqrt(np.maximum(values[order], 0)), fix_signs(vectors[:, order]))
 
 
 def pca_from_covariance(cov: np.ndarray, most: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """(sigma, scores) of a sample by sample covariance; there are no loadings."""
     values, vectors = np.linalg.eigh(cov)
-    order = [i for i in np.argsort(-values)[:most] if values[i] > 1e-8]
+    order = [i for i in np.argsort(-values)[:most] if values[i] > 1e-4]
     sigma = np.sqrt(values[order])
     return sigma, fix_signs(vectors[:, order]) * sigma

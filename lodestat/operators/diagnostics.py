@@ -7,10 +7,10 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dist
+from ..functions import arrays, dist
 from ..plans.regression import pearson
 from .cluster import cluster_columns
-from .frames import numbered
+from .frames import value_places
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -42,23 +42,36 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").alias("n")).select("bin", (F.col("bin") * wide + lo).alias("low"), ((F.col("bin") + 1) * wide + lo).alias("high"), "n")
 
 
-def _sorted(df: DataFrame, column: str, key: str) -> tuple[DataFrame, int]:
-    """(x, rn) with rn the 1-based place in ascending order, and the count."""
-    x = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"), F.col(key).alias("k"))
-    return numbered(x, "x", "k").select("x", "rn"), x.count()
+#: Places that one value is spread over in one step.
+RUN = 1 << 16
+
+
+def _sorted(df: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """((x, n, before) of the distinct values that are not null, rows in all)"""
+    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    return value_places(x, "x").withColumnRenamed("v", "x"), x.count()
+
+
+def _each(values: DataFrame) -> DataFrame:
+    """(x, rn): a row for each place; a value of very many rows is cut into runs that are dealt out first."""
+    runs = values.withColumn("__r", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.lit(RUN)))))
+    low = F.col("before") + 1 + F.col("__r") * RUN
+    return runs.select("x", low.alias("lo"), F.least(low + RUN - 1, F.col("before") + F.col("n")).alias("hi")).repartition(F.col("lo")).select("x", F.explode(F.sequence("lo", "hi")).alias("rn"))
 
 
 def qq_normal(df: DataFrame, column: str, key: str) -> DataFrame:
     """(i, theoretical, observed) for i = 1..n-1: the normal quantile of i/n against the i-th value (from 0) in order."""
-    ranked, n = _sorted(df, column, key)
+    values, n = _sorted(df, column)
     row = df.agg(F.avg(column).alias("m"), F.stddev_samp(column).alias("s")).first()
     mean, sd = row["m"] or 0.0, row["s"] or 0.0
 
     @F.pandas_udf("double")
     def quantile(p):
-        return p.map(lambda v: dist.normal_quantile(v, mean, sd))
+        import pandas as pd
+
+        return pd.Series(arrays.normal_quantile(p.to_numpy(float), mean, sd), index=p.index)
 
-    got = ranked.where("rn > 1").select((F.col("rn") - 1).alias("i"), F.col("x").alias("observed"))
+    got = _each(values).where("rn > 1").select((F.col("rn") - 1).alias("i"), F.col("x").alias("observed"))
     return got.select("i", quantile(F.col("i") / F.lit(float(n))).alias("theoretical"), "observed")
 
 
@@ -67,10 +80,14 @@ def qq_lambda(df: DataFrame, column: str, low: float = 0.0, high: float = 1.0) -
     return df.agg((F.lit((low + high) / 2) / F.median(column)).alias("lambda"))
 
 
-def qq_error(df: DataFrame, column: str, key: str) -> DataFrame:
-    """Mean of (sorted value - i / n)^2, i from 1."""
-    ranked, n = _sorted(df, column, key)
-    return ranked.agg(F.avg(F.pow(F.col("x") - F.col("rn") / F.lit(float(max(n, 1))), 2)).alias("error"))
+def qq_error(df: DataFrame, column: str, key: str | None = None) -> DataFrame:
+    """Mean of (sorted value - i / n)^2, i from 1. Rows of one value are summed in closed form, in whatever order they come."""
+    values, n = _sorted(df, column)
+    size, a, m = F.lit(float(max(n, 1))), F.col("before").cast("double"), F.col("n").cast("double")
+    first = m * a + m * (m + 1) / 2  # sum of the places a + 1 .. a + m
+    second = m * a * a + a * m * (m + 1) + m * (m + 1) * (2 * m + 1) / 6  # of their squares
+    x = F.col("x")
+    return values.agg((F.sum(m * x * x - 2 * x * first / size + second / (size * size)) / size).alias("error"))
 
 
 def qq_uniform(df: DataFrame, column: str, key: str, most: int = 30_000) -> DataFrame:
@@ -78,7 +95,8 @@ def qq_uniform(df: DataFrame, column: str, key: str, most: int = 30_000) -> Data
 
     Beyond most rows a hash of the rank thins the plot; the 100 smallest p values always stay.
     """
-    ranked, n = _sorted(df, column, key)
+    values, n = _sorted(df, column)
+    ranked = _each(values)
     if n > most:
         ranked = ranked.where((F.col("rn") <= 100) | (F.pmod(F.xxhash64("rn"), F.lit(1 << 30)) < int((1 << 30) * most / n)))
 

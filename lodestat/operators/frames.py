@@ -63,6 +63,11 @@ def nan_to_null(c: Column) -> Column:
     return F.when(F.isnan(c), F.lit(None)).otherwise(c)
 
 
+def complete(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Rows without a null or NaN in any of columns."""
+    return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns], F.lit(True)))
+
+
 def range_bucket(df: DataFrame, column: str, parts: int = 64) -> Column:
     """The number of a value's range: ranges hold about as many rows each, and equal values share one. Nulls are in the first."""
     cuts = sorted(set(df.approxQuantile(column, [i / parts for i in range(1, parts)], 0.001)))
@@ -80,15 +85,24 @@ def numbered(df: DataFrame, column: str, key: str, out: str = "rn", parts: int =
     return at.join(F.broadcast(starts), "__part").withColumn(out, place.cast("long")).drop("__part", "__s")
 
 
+def value_places(df: DataFrame, column: str) -> DataFrame:
+    """(v, n, before): distinct values, their rows, and the rows with smaller values. Null is smallest.
+
+    Values are counted before they are ordered, so ties cost nothing; ranges of values are summed side by side and offset, so no window
+    spans the table.
+    """
+    values = df.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n")).withColumn("__part", range_bucket(df.withColumn("v", F.col(column)), "v"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = values.groupBy("__part").agg(F.sum("n").alias("n")).select("__part", before(Window.orderBy("__part")).alias("__s"))  # a row for each range
+    return values.join(F.broadcast(starts), "__part").select("v", "n", (F.col("__s") + before(Window.partitionBy("__part").orderBy("v"))).alias("before"))
+
+
 def ranked(df: DataFrame, column: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Ascending rank with ties averaged. Without groups (by), distinct values are counted first and numbered range by range."""
     if by:
         order = Window.partitionBy(*by).orderBy(column)
         return df.withColumn(out, F.rank().over(order) + (F.count("*").over(Window.partitionBy(*by, column)) - 1) / 2.0)
-    values = df.groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n")).withColumn("__part", range_bucket(df.withColumnRenamed(column, "__v"), "__v"))
-    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = values.groupBy("__part").agg(F.sum("__n").alias("__n")).select("__part", before(Window.orderBy("__part")).alias("__s"))
-    values = values.join(F.broadcast(starts), "__part").select("__v", (F.col("__s") + before(Window.partitionBy("__part").orderBy("__v")) + 1 + (F.col("__n") - 1) / 2.0).alias(out))
+    values = value_places(df, column).select(F.col("v").alias("__v"), (F.col("before") + 1 + (F.col("n") - 1) / 2.0).alias(out))
     return df.join(values, df[column].eqNullSafe(values["__v"])).drop("__v")
 
 

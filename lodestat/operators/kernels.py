@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.rows import Block, Vectors
+
 
 def gaussian(r: Column, variance: float) -> Column:
     return F.exp(-r * r / F.lit(2.0 * variance))
@@ -57,6 +60,46 @@ def rbf_centres(df: DataFrame, columns: list[str], key: str, keys: list) -> tupl
     return c, rbf_bandwidths(c)
 
 
+def rbf_centres_kmeans(df: DataFrame, columns: list[str], key: str, clusters: int, iterations: int, restarts: int, half: bool = True, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Centres from the cheapest of several k-means runs, and their bandwidths (half: of the squared distance to the nearest other centre, or all of it)."""
+    from .cluster import kmeans_random
+
+    c = kmeans_random(df, columns, clusters, restarts, iterations, key, seed).centres
+    return c, rbf_bandwidths(c, half)
+
+
+def rbf_rows(df: DataFrame, at: Vectors, centres: np.ndarray, bandwidths: np.ndarray, prefix: str = "rbf") -> tuple[DataFrame, Vectors]:
+    """(df with <prefix>_indices and <prefix>_values, where they are): the kernels first, then the row's own entries, for dense or sparse vectors.
+
+    Rows with missing entries go.
+    """
+    plain = Vectors(at.width, at.dense, at.indices, at.values, False)
+    centres, spread = np.asarray(centres, float), 2 * np.asarray(bandwidths, float)
+    norms, k = np.einsum("ij,ij->i", centres, centres), len(centres)
+    names = [f"{prefix}_indices", f"{prefix}_values"]
+    own = [c for c in df.columns if c not in names]
+    tidy = plain.complete(df.select(*[F.col(f"`{c}`") for c in own], *plain.columns()))
+
+    def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            block = Block(b, plain)
+            square = np.maximum(block.squares()[:, None] - 2 * block.dot(centres.T) + norms, 0)
+            kernel = np.exp(-square / spread)
+            if plain.sparse:
+                row, index, value = block.row, block.index, block.value
+            else:
+                row, index = np.nonzero(block.x)
+                value = block.x[row, index]
+            row, index, value = np.r_[np.repeat(np.arange(block.n), k), row], np.r_[np.tile(np.arange(k), block.n), index + k], np.r_[kernel.ravel(), value]
+            o = np.lexsort((index, row))
+            ends = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=block.n))], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(index[o].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value[o]))]
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in own], *lists], [*own, *names])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name in own)
+    return tidy.mapInArrow(of, f"{kinds}`{names[0]}` array<int>, `{names[1]}` array<double>"), Vectors(at.width + k, None, *names, at.intercept)
+
+
 class FeatureMap:
     """The extension point for feature maps: a callable on DataFrames that also names its columns."""
 

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Columns of a matrix whose Gram matrix goes to the driver at most.
+WIDEST = 4096
+
+
 def coo(df: DataFrame, key: str, array: str) -> DataFrame:
     """(i, j, v) of an array column; zeros and nulls are not stored."""
     return df.select(F.col(key).alias("i"), F.posexplode(F.col(array).cast("array<double>")).alias("j", "v")).where("v <> 0")
@@ -63,8 +67,24 @@ def tmm(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(right, "i").groupBy(F.col("j").alias("i"), F.col("c").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
+def gram_rows(df: DataFrame, array: str, width: int) -> np.ndarray:
+    """M'M of a table of dense rows: each task adds its rows into one width x width block, so no products of cells are made as rows.
+
+    Null rows and null or NaN entries count as 0. For wide sparse matrices use gram().
+    """
+    from ..plans.rows import folded
+
+    x = F.transform(F.coalesce(F.col(array).cast("array<double>"), F.array_repeat(F.lit(0.0), width)), lambda v: F.when(v.isNull() | F.isnan(v), 0.0).otherwise(v))
+
+    def of(b) -> np.ndarray:
+        m = b.column(0).flatten().to_numpy().reshape(len(b), width)
+        return (m.T @ m).ravel()
+
+    return folded(df.select(x.alias("x")), width * width, of).reshape(width, width)
+
+
 def gram(m: DataFrame) -> DataFrame:
-    """M'M: half of the symmetric products are computed, then mirrored."""
+    """M'M: half of the symmetric products are computed, then mirrored. Rows of d stored cells make d^2 / 2 products; dense rows are better off with gram_rows()."""
     right = m.select("i", F.col("j").alias("c"), F.col("v").alias("w"))
     half = m.join(right, "i").where("c >= j").groupBy(F.col("j").alias("i"), F.col("c").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
     return half.unionByName(half.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
@@ -125,7 +145,9 @@ def to_numpy(m: DataFrame, n_rows: int, n_cols: int) -> np.ndarray:
 
 
 def svd(m: DataFrame, columns: int, k: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
-    """(singular values, V on the driver, U as (i, j, v)) of the k largest; needs columns^2 cells on the driver."""
+    """(singular values, V on the driver, U as (i, j, v)) of the k largest; needs columns^2 cells on the driver (WIDEST columns at most)."""
+    if columns > WIDEST:
+        raise ValueError(f"{columns} columns; {WIDEST} are the most")
     values, vectors = np.linalg.eigh(to_numpy(gram(m), columns, columns))
     order = np.argsort(-values)[:k]
     s = np.sqrt(np.maximum(values[order], 0))
@@ -155,6 +177,49 @@ def eigen_symmetric(a: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np
     return values[order], fix_signs(vectors[:, order])
 
 
+def power_step(step: Callable[[np.ndarray], np.ndarray], x: np.ndarray) -> np.ndarray:
+    """One product, scaled to unit length (the zero vector stays)."""
+    y = step(x)
+    size = np.linalg.norm(y)
+    return y / size if size else y
+
+
+def power_error(step: Callable[[np.ndarray], np.ndarray], x: np.ndarray) -> tuple[float, float]:
+    """(Rayleigh quotient, length of what x misses to be an eigenvector): of a unit vector."""
+    y = step(x)
+    value = float(x @ y)
+    return value, float(np.linalg.norm(y - value * x))
+
+
+def deflated(step: Callable[[np.ndarray], np.ndarray], values: list[float], vectors: list[np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    """The same symmetric map without the given eigenpairs."""
+    return lambda x: step(x) - sum((v * (u @ x) * u for v, u in zip(values, vectors, strict=True)), np.zeros_like(x))
+
+
+def eigen_by_power(step: Callable[[np.ndarray], np.ndarray], n: int, k: int, iterations: int = 1000, eps: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """The k eigenpairs of a symmetric map of largest absolute value, one after the other by deflation."""
+    values: list[float] = []
+    vectors: list[np.ndarray] = []
+    for _ in range(min(k, n)):
+        v, x = power_iteration(deflated(step, values, vectors), n, iterations, eps)
+        values.append(v)
+        vectors.append(x)
+    return np.array(values), fix_signs(np.array(vectors).T) if vectors else np.zeros((n, 0))
+
+
+def table_map(m: DataFrame, n: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A (cached) n x n table as a map: each product is one job; vectors are parameter-sized."""
+    spark = m.sparkSession
+
+    def step(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        for r in mv(m, vector(x, spark)).collect():
+            out[r["i"]] = r["v"]
+        return out
+
+    return step
+
+
 def power_iteration(step: Callable[[np.ndarray], np.ndarray], n: int, iterations: int = 1000, eps: float = 1e-12) -> tuple[float, np.ndarray]:
     """The dominant eigenpair of an operator that is known only by its product with a vector, such as a cached table's mv."""
     x = np.arange(1, n + 1, dtype=float)

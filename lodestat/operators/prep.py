@@ -38,10 +38,30 @@ def categorical_columns(df: DataFrame, columns: list[str], force: tuple[str, ...
     return [c for c in columns if c in force or row[c] == 1]
 
 
+#: Levels of one categorical column at most: each becomes a column.
+MOST_LEVELS = 10_000
+
+
+def all_levels(df: DataFrame, columns: list[str], na: tuple[str, ...] = NA) -> dict[str, list[tuple[str, int]]]:
+    """(level, rows) of each column, levels ascending: one aggregation over all columns. More than MOST_LEVELS of a column are an error."""
+    out: dict[str, list[tuple[str, int]]] = {c: [] for c in columns}
+    if not columns:
+        return out
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)])).alias("c")
+    counts = df.select(cells).select("c.*").where(~is_na(F.col("v"), na)).groupBy("i", "v").agg(F.count("*").alias("n"))
+    got = counts.limit(MOST_LEVELS * len(columns) + 1).collect()
+    for r in got:
+        out[columns[r["i"]]].append((r["v"], r["n"]))
+    for c, found in out.items():
+        if len(found) > MOST_LEVELS or len(got) > MOST_LEVELS * len(columns):
+            raise ValueError(f"column {c} has more than {MOST_LEVELS} levels" if len(found) > MOST_LEVELS else "too many levels")
+        found.sort()
+    return out
+
+
 def levels(df: DataFrame, column: str, na: tuple[str, ...] = NA) -> list[str]:
-    """Distinct non-missing values, ascending."""
-    x = F.col(column).cast("string")
-    return [r[0] for r in df.where(~is_na(x, na)).select(x.alias("v")).distinct().orderBy("v").collect()]
+    """Distinct non-missing values, ascending; MOST_LEVELS at most."""
+    return [v for v, _ in all_levels(df, [column], na)[column]]
 
 
 def one_hot(df: DataFrame, column: str, values: list[str], drop_first: bool = True) -> DataFrame:
@@ -87,9 +107,15 @@ def prep(df: DataFrame, key: str, mode: MissingMode = MissingMode.MEAN_IMPUTE, f
     columns = [c for c in df.columns if c != key]
     categories = categorical_columns(df, columns, force, na)
     found: dict[str, list[str]] = {}
+    if mode is MissingMode.DROP_SAMPLE:
+        for c in categories:
+            df = fill_category(df, c, mode, na)
+    counts = all_levels(df, categories, na)
     for c in categories:
-        df = fill_category(df, c, mode, na)
-        found[c] = levels(df, c, na)
+        found[c] = [v for v, _ in counts[c]]
+        if mode is MissingMode.MEAN_IMPUTE and counts[c]:
+            top = min(counts[c], key=lambda x: (-x[1], x[0]))[0]
+            df = df.withColumn(c, F.when(is_na(F.col(c).cast("string"), na), F.lit(top)).otherwise(F.col(c).cast("string")))
     for c in categories:
         df = one_hot(df, c, found[c])
     numeric = [c for c in columns if c not in categories]

@@ -1,7 +1,8 @@
 """Objectives of the iterative fits. All are maximised; gradients point uphill.
 
-An objective is bound to data once (``on``). The linear one then needs no further Spark job: it lives on the Gram matrix. The others run one aggregation for
-each evaluation, over a cached DataFrame, with the parameters as literals, so plans don't grow.
+An objective is bound to data once (``on``). The linear one then needs no further Spark job: it lives on the Gram matrix. The others run one job for
+each evaluation, over a cached DataFrame: logistic fits of few columns as built-in aggregates with the parameters as literals, all others as numpy
+folds over feature vectors (``rows``), whose plans don't grow with the number of features.
 """
 
 from __future__ import annotations
@@ -15,6 +16,12 @@ from pyspark.sql import functions as F
 
 from ..operators.frames import dot, sigmoid
 from .moments import moments
+from .rows import BoundRows, Vectors, of_columns
+
+#: Logistic fits of more columns are folded as vectors.
+FEW = 8
+#: Linear fits of wider vectors work on rows instead of the Gram matrix.
+WIDEST_GRAM = 1024
 
 
 @dataclass
@@ -29,11 +36,32 @@ class Data:
     def where(self, condition: Column) -> Data:
         return Data(self.df.where(condition), self.features, self.label, self.mask)
 
+    def rows(self, family: str, logits: int = 1) -> BoundRows:
+        """Bound as vectors."""
+        at = Vectors(len(self.features), "__x", intercept=False)
+        return BoundRows(of_columns(self.df, self.features, "__x"), self.label, at, self.mask, logits, family)
+
+
+@dataclass
+class VectorData:
+    """Rows with a feature vector and a label; factors: of each coordinate (the constant included)."""
+
+    df: DataFrame
+    at: Vectors
+    label: str
+    mask: np.ndarray
+    factors: np.ndarray | None = None
+
+    def rows(self, family: str, logits: int = 1) -> BoundRows:
+        return BoundRows(self.df, self.label, self.at, self.mask, logits, family, self.factors)
+
 
 class Linear:
     name, classes = "linear", 1
 
-    def on(self, data: Data) -> BoundLinear:
+    def on(self, data: Data | VectorData) -> BoundLinear | BoundRows:
+        if isinstance(data, VectorData) and data.at.size > WIDEST_GRAM:
+            return data.rows("linear")
         return BoundLinear(data)
 
     def width(self, p: int) -> int:
@@ -53,13 +81,16 @@ class Linear:
 
 
 class BoundLinear:
-    """Value -RSS, gradient X'(y - Xb), Hessian -X'X."""
-
-    def __init__(self, data: Data):
-        m = moments(data.df.select(*data.features, data.label), [*data.features, data.label])
-        self.n, self.xx = m.n, m.block(data.features, data.features)
-        self.xy, self.yy = m.block(data.features, [data.label])[:, 0], float(m.block([data.label], [data.label])[0, 0])
-        self.mask = data.mask
+    """Value -RSS, gradient X'(y - Xb), Hessian -X'X: on cross products of the data, or on given ones (the label last)."""
+
+    def __init__(self, data: Data | VectorData | None, cross: np.ndarray | None = None, n: int = 0, mask: np.ndarray | None = None):
+        if isinstance(data, VectorData):
+            n, cross = gram(data)
+        elif data is not None:
+            m = moments(data.df.select(*data.features, data.label), [*data.features, data.label])
+            n, cross = m.n, m.cross
+        self.n, self.xx, self.xy, self.yy = n, cross[:-1, :-1], cross[:-1, -1], float(cross[-1, -1])
+        self.mask = data.mask if data is not None else mask
         self.curvature = float(np.linalg.eigvalsh(self.xx)[-1]) if len(self.xx) else 0.0
 
     def value(self, b: np.ndarray) -> float:
@@ -85,7 +116,9 @@ class BoundLinear:
 class Logistic(Linear):
     name, classes = "logistic", 1
 
-    def on(self, data: Data) -> BoundLogistic:
+    def on(self, data: Data | VectorData) -> BoundLogistic | BoundRows:
+        if isinstance(data, VectorData) or len(data.features) > FEW:
+            return data.rows("logistic")
         return BoundLogistic(data)
 
     def predict(self, df, features, b, out="prediction"):
@@ -158,8 +191,8 @@ class Multinomial:
     def name(self) -> str:
         return "multinomial"
 
-    def on(self, data: Data) -> BoundMultinomial:
-        return BoundMultinomial(data, self.classes)
+    def on(self, data: Data | VectorData) -> BoundRows:
+        return data.rows("multinomial", self.classes - 1)
 
     def width(self, p: int) -> int:
         return p * (self.classes - 1)
@@ -187,42 +220,25 @@ class Multinomial:
         return multiclass_metrics(df, label, prediction)
 
 
-class BoundMultinomial:
-    def __init__(self, data: Data, classes: int):
-        self.features, self.classes = data.features, classes
-        self.mask = np.repeat(data.mask, classes - 1)
-        self.df = data.df.select(*data.features, F.col(data.label).cast("int").alias("__y")).cache()
-        m = moments(self.df, data.features)
-        self.n, self.curvature = m.n, float(np.linalg.eigvalsh(m.cross)[-1]) / 2
-
-    def close(self) -> None:
-        self.df.unpersist()
+def gram(data: VectorData) -> tuple[int, np.ndarray]:
+    """(rows, cross products of all coordinates and, last, the label): one job."""
+    from .rows import Block, folded
 
-    def _rows(self, b: np.ndarray) -> DataFrame:
-        ps = Multinomial(self.classes).probabilities(self.features, b)
-        return self.df.select(*self.features, "__y", *[p.alias(f"__p{c}") for c, p in enumerate(ps)])
+    at, factors, p = data.at, data.factors, data.at.size
+    rows = at.complete(data.df.select(*at.columns(), F.col(data.label).cast("double").alias("__y"))).where("__y is not null and not isnan(__y)")
+    every = np.arange(p)
 
-    def value(self, b):
-        own = F.when(F.col("__y") == 0, 1 - reduce(lambda s, c: s + c, [F.col(f"__p{c}") for c in range(self.classes - 1)]))
-        for c in range(self.classes - 1):
-            own = own.when(F.col("__y") == c + 1, F.col(f"__p{c}"))
-        return float(self._rows(b).agg(F.sum(F.ln(F.greatest(own, F.lit(1e-300))))).first()[0] or 0.0)
+    def of(batch) -> np.ndarray:
+        block, y = Block(batch, at, factors), batch.column(batch.schema.get_field_index("__y")).to_numpy()
+        total = np.zeros((p + 1, p + 1))
+        for lo in range(0, block.n, 1024):
+            hi = min(lo + 1024, block.n)
+            x = np.c_[block.some(every, lo, hi), y[lo:hi]]
+            total += x.T @ x
+        return np.r_[len(batch), total.ravel()]
 
-    smooth = value
-
-    def gradient(self, b):
-        sums = [F.sum((F.when(F.col("__y") == c + 1, 1.0).otherwise(0.0) - F.col(f"__p{c}")) * F.col(f)) for f in self.features for c in range(self.classes - 1)]
-        return np.array([v or 0.0 for v in self._rows(b).agg(*[s.alias(f"g{i}") for i, s in enumerate(sums)]).first()])
-
-    def hessian(self, b):
-        p, k = len(self.features), self.classes - 1
-        cells = [(i, j, c, d) for i in range(p) for j in range(i, p) for c in range(k) for d in range(k)]
-        pi = lambda c: F.col(f"__p{c}")
-        row = self._rows(b).agg(*[F.sum(F.col(self.features[i]) * F.col(self.features[j]) * (pi(c) * (1 - pi(c)) if c == d else -pi(c) * pi(d))).alias(f"s{n}") for n, (i, j, c, d) in enumerate(cells)]).first()
-        h = np.zeros((p * k, p * k))
-        for v, (i, j, c, d) in zip(row, cells, strict=True):
-            h[i * k + c, j * k + d] = h[j * k + d, i * k + c] = -(v or 0.0)
-        return h
+    got = folded(rows, 1 + (p + 1) ** 2, of)
+    return int(got[0]), got[1:].reshape(p + 1, p + 1)
 
 
 def r_squared(df: DataFrame, label: str, prediction: str) -> dict[str, float]:

@@ -12,6 +12,10 @@ class NoPenalty:
     def value(self, b: np.ndarray, mask: np.ndarray) -> float:
         return 0.0
 
+    def cost(self, b: np.ndarray, mask: np.ndarray) -> float:
+        """What prox() lowers: value() but for the halves of its sharp terms."""
+        return self.value(b, mask)
+
     def gradient(self, b: np.ndarray, mask: np.ndarray) -> np.ndarray:
         return np.zeros_like(b)
 
@@ -61,6 +65,9 @@ class L1(_Sharp):
     def value(self, b, mask):
         return 0.5 * self.strength * float((mask * np.abs(b)).sum())
 
+    def cost(self, b, mask):
+        return 2 * self.value(b, mask)
+
     def prox(self, b, mask, step):
         return np.sign(b) * np.maximum(0, np.abs(b) - self.strength * step * mask)
 
@@ -77,6 +84,10 @@ class ElasticNet(_Sharp):
         m = np.where(np.isfinite(mask), mask, 0)
         return 0.5 * float((m * (self.first * np.abs(b) + self.second * b * b)).sum())
 
+    def cost(self, b, mask):
+        m = np.where(np.isfinite(mask), mask, 0)
+        return float((m * (self.first * np.abs(b) + 0.5 * self.second * b * b)).sum())
+
     def prox(self, b, mask, step):
         m = np.where(np.isfinite(mask), mask, 0)
         out = np.sign(b) * np.maximum(0, (np.abs(b) - self.first * step * m) / (1 + m * step * self.second))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dist
+from ..functions import arrays, dist
 from ..functions.tests import LogLikelihood, TestResult, student_test, z_test
-from ..operators.frames import dot, nan_to_null, reindex, sigmoid
+from ..operators.frames import complete, dot, nan_to_null, reindex, sigmoid
 from .moments import moments
 
 INTERCEPT = "intercept"
@@ -89,8 +90,9 @@ def design(df: DataFrame, columns: list[str], fill: float = 0.0) -> DataFrame:
 def linear_regression(df: DataFrame, label: str, features: list[str], ridge: float = 0.0, add_intercept: bool = True, weights: dict[str, float] | None = None, df_rule: str = "n-p") -> RegressionResult:
     """Least squares, or ridge with penalty weights 1/sd (0 for the intercept): two aggregations, whatever the number of rows.
 
-    df_rule: 'n-p' for the t tests' degrees of freedom, or 'n-2'.
+    Rows with a null or NaN feature or label take no part. df_rule: 'n-p' for the t tests' degrees of freedom, or 'n-2'.
     """
+    df = complete(df, [*features, label])
     means = df.agg(*[F.avg(c).alias(c) for c in [*features, label]], F.count("*").alias("n")).first()
     shift = {c: means[c] or 0.0 for c in [*features, label]} if add_intercept else {}
     m = moments(df.select(*features, label), [*features, label], shift=shift)
@@ -155,23 +157,27 @@ def outlier_p_values(studentized: DataFrame, df: float, out: str = "p_value") ->
 
     @F.pandas_udf("double")
     def tail(s):
-        return s.map(lambda v: dist.t_two_sided(v, df) if v == v else float("nan"), na_action="ignore")
+        import pandas as pd
 
-    return studentized.withColumn(out, tail("studentized"))
+        return pd.Series(arrays.t_two_sided(s.to_numpy(float), df), index=s.index)
+
+    return studentized.withColumn(out, F.when(F.col("studentized").isNotNull(), tail("studentized")))
 
 
 def logistic_regression(df: DataFrame, label: str, features: list[str], add_intercept: bool = True, iterations: int = 100, eps: float = 1e-6) -> RegressionResult:
     """Maximum likelihood by Newton steps from 0; labels above 0 are 1. One aggregation a step; df is cached meanwhile.
 
+    Rows with a null or NaN feature or label take no part.
+
     Standard errors come from the Fisher information X'WX at the optimum.
     """
     names = ([INTERCEPT] if add_intercept else []) + list(features)
-    base = with_ones(df, add_intercept).select(*[F.col(c).cast("double").alias(c) for c in names], F.when(F.col(label) > 0, 1.0).otherwise(0.0).alias("__y")).cache()
+    base = with_ones(complete(df, [*features, label]), add_intercept).select(*[F.col(c).cast("double").alias(c) for c in names], F.when(F.col(label) > 0, 1.0).otherwise(0.0).alias("__y")).cache()
     try:
         b = np.zeros(len(names))
         for _ in range(iterations):
             g, information, loglik, n = _newton_sums(base, names, b)
-            if np.abs(g).sum() <= eps * max(1, n):
+            if np.abs(g).sum() <= eps * max(1.0, 1e-6 * n):  # sums of very many rows are not exact
                 break
             b = b + np.linalg.solve(information, g)
         g, information, loglik, n = _newton_sums(base, names, b)
@@ -205,6 +211,7 @@ class BayesianResult:
     dof: float
     mean: np.ndarray
     shape: np.ndarray
+    scale: float = math.nan  # b_N / a_N
 
     @property
     def variances(self) -> np.ndarray:
@@ -213,8 +220,9 @@ class BayesianResult:
     def quantile(self, p: float) -> np.ndarray:
         return self.mean + np.sqrt(np.diag(self.shape)) * dist.t_quantile(p, self.dof)
 
-    def predictive(self, df: DataFrame, scale: float, p: float | None = None) -> DataFrame:
-        """df with predicted mean and variance (and quantile p), row by row; scale: b_N / a_N. No n x n matrix is formed."""
+    def predictive(self, df: DataFrame, scale: float | None = None, p: float | None = None) -> DataFrame:
+        """df with predicted mean and variance (and quantile p), row by row; scale: of the noise, b_N / a_N by default. No n x n matrix is formed."""
+        scale = self.scale if scale is None else scale
         x = [F.lit(1.0) if t == INTERCEPT else F.col(t) for t in self.terms]
         mean, spread = F.lit(0.0), F.lit(float(scale))
         for i in range(len(x)):
@@ -226,6 +234,22 @@ class BayesianResult:
             out = out.withColumn("predictive_quantile", F.col("predictive_mean") + F.sqrt(spread) * F.lit(dist.t_quantile(p, self.dof)))
         return out
 
+    def predictive_covariance(self, df: DataFrame, key: str, scale: float | None = None, most: int = 5000) -> DataFrame:
+        """(i, j, v): covariance of the predictions of rows i and j, the noise (scale, as in predictive()) included where i = j.
+
+        A square of the rows by nature, so a table of more than ``most`` rows is refused.
+        """
+        n, scale = df.count(), self.scale if scale is None else scale
+        if n > most:
+            raise ValueError(f"{n} rows have {n * n} covariances; {most} rows are the most")
+        x = F.array(*[F.lit(1.0) if t == INTERCEPT else F.col(t).cast("double") for t in self.terms])
+        spread = self.dof / (self.dof - 2)
+        shaped = [reduce(lambda a, b: a + b, [F.element_at("x", i + 1) * F.lit(float(self.shape[i, j])) for i in range(len(self.terms))]) for j in range(len(self.terms))]
+        left = df.select(F.col(key).alias("i"), x.alias("x")).select("i", F.array(*shaped).alias("sx"))
+        right = df.select(F.col(key).alias("j"), x.alias("y"))
+        v = F.aggregate(F.zip_with("sx", "y", lambda a, b: a * b), F.lit(0.0), lambda t, u: t + u)
+        return left.join(F.broadcast(right), F.lit(True)).select("i", "j", ((v + F.when(F.col("i") == F.col("j"), F.lit(float(scale))).otherwise(0.0)) * spread).alias("v"))
+
 
 def bayesian_regression(df: DataFrame, label: str, features: list[str], ridge: float, weights: dict[str, float] | None = None, add_intercept: bool = True) -> BayesianResult:
     terms = ([INTERCEPT] if add_intercept else []) + list(features)
@@ -233,7 +257,7 @@ def bayesian_regression(df: DataFrame, label: str, features: list[str], ridge: f
     a = m.block(terms, terms) + ridge * np.diag([(weights or {}).get(t, 1.0) for t in terms])
     mean = np.linalg.solve(a, m.block(terms, [label])[:, 0])
     b = (float(m.block([label], [label])[0, 0]) - mean @ a @ mean) / 2
-    return BayesianResult(terms, float(m.n), mean, np.linalg.inv(a) * (b / (m.n / 2)))
+    return BayesianResult(terms, float(m.n), mean, np.linalg.inv(a) * (b / (m.n / 2)), b / (m.n / 2))
 
 
 def log_marginal_likelihood(df: DataFrame, label: str, features: list[str], ridge: float, sigma2: float, weights: dict[str, float] | None = None, add_intercept: bool = True) -> float:

@@ -12,8 +12,7 @@ from .functions import dist
 from .functions.tests import LogLikelihood, bic, likelihood_ratio_test, student_test, z_test
 from .operators import cluster, diagnostics, frames, kernels, linalg, prep
 from .plans import penalties, regression, selection, updaters
-from .plans.fit import optimize
-from .plans.objectives import Data, Linear, Logistic, Multinomial, binary_metrics_frame, multiclass_frame
+from .plans.objectives import Data, Linear, Logistic, binary_metrics_frame, multiclass_frame
 from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,12 +63,6 @@ def row(spark: SparkSession, **values) -> DataFrame:
 # --- regression -------------------------------------------------------------------------------
 
 
-@query()
-def ols_multi_terms(spark, sf):
-    r = regression.linear_regression(table(spark, sf, "lineitem"), "l_extendedprice", X3)
-    return r.table(spark)
-
-
 @query("""SELECT round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
  round(regr_r2(l_extendedprice, l_quantity), 6) AS r2,
  round(sqrt((1 - regr_r2(l_extendedprice, l_quantity)) * regr_syy(l_extendedprice, l_quantity) / (count(*) - 2) / regr_sxx(l_extendedprice, l_quantity)), 4) AS slope_sd FROM lineitem""")
@@ -125,13 +118,6 @@ def studentized_residuals(spark, sf):
     return rounded(regression.influence(regression.linear_regression(df, "y", ["x"]), df, "y").select("p_partkey", "studentized"), studentized=5)
 
 
-@query()
-def outlier_p_values(spark, sf):
-    df = _part(spark, sf)
-    r = regression.linear_regression(df, "y", ["x"])
-    return regression.outlier_p_values(regression.influence(r, df, "y").select("p_partkey", "studentized"), r.n - len(r.terms) - 1)
-
-
 @query("""WITH c AS (SELECT regr_r2(l_extendedprice, l_quantity) AS r2, regr_syy(l_extendedprice, l_quantity) * (1 - regr_r2(l_extendedprice, l_quantity)) AS rss, count(*)::double AS n FROM lineitem),
  l AS (SELECT *, -n / 2 * (ln(2 * pi()) + 1 - ln(n) + ln(rss)) AS ll FROM c)
  SELECT round(ll, 2) AS loglik, round(-2 * ll + 3 * ln(n), 2) AS bic, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) AS adj_r2 FROM l""")
@@ -162,12 +148,6 @@ def distribution_quantiles(spark, sf):
     return rounded(spark.createDataFrame(rows, "quantile string, value double"), value=6)
 
 
-@query()
-def logistic_fit(spark, sf):
-    df = table(spark, sf, "lineitem").select(*X3, F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y"))
-    return regression.logistic_regression(df, "y", X3).table(spark)
-
-
 @query("""WITH x AS (SELECT 1.0::double AS one, l_discount AS d, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem),
  s AS (SELECT sum(y - 0.5) AS g0, sum((y - 0.5) * d) AS g1, sum(0.25) AS h00, sum(0.25 * d) AS h01, sum(0.25 * d * d) AS h11 FROM x)
  SELECT round((h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), 6) AS b0, round((h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01), 6) AS b1 FROM s""")
@@ -179,13 +159,6 @@ def logistic_newton_step(spark, sf):
     return rounded(row(spark, b0=float(b[0]), b1=float(b[1])), b0=6, b1=6)
 
 
-@query()
-def bayesian_posterior(spark, sf):
-    r = regression.bayesian_regression(table(spark, sf, "lineitem"), "l_extendedprice", X3, 1.0, {"intercept": 0.0})
-    lo, hi = r.quantile(0.05), r.quantile(0.95)
-    return spark.createDataFrame([(t, float(r.mean[i]), float(r.variances[i]), float(lo[i]), float(hi[i])) for i, t in enumerate(r.terms)], "term string, mean double, variance double, low double, high double")
-
-
 @query("""WITH s AS (SELECT sum(l_quantity * l_quantity) + 10 AS a, sum(l_quantity * l_extendedprice) AS xy, sum(l_extendedprice * l_extendedprice) AS yy, count(*)::double AS n FROM lineitem)
  SELECT round(xy / a, 4) AS mean, round((yy - xy * xy / a) / 2 / (n / 2) / a * n / (n - 2), 6) AS variance FROM s""")
 def bayes_one_feature(spark, sf):
@@ -272,34 +245,6 @@ query(_steps_sql(1, "sign(xy / xx) * greatest(0, abs(xy / xx) - 50.0 / xx) AS b"
 query(_steps_sql(1, "xy / (xx + 3.0) AS b"))(_unrolled("newton_step_l2", updaters.Newton(), 1, penalties.L2(3.0)))
 
 
-@query()
-def lasso_fit(spark, sf):
-    return optimize(table(spark, sf, "lineitem"), "l_extendedprice", X3, penalty=penalties.L1(1e6), updater=updaters.Fista()).table(spark)
-
-
-@query()
-def elastic_net_fit(spark, sf):
-    return optimize(table(spark, sf, "lineitem"), "l_extendedprice", X3, penalty=penalties.ElasticNet(1e6, 1e3), updater=updaters.CoordinateDescent(active=True)).table(spark)
-
-
-@query()
-def logistic_l1_fit(spark, sf):
-    df = table(spark, sf, "lineitem").select(*X3, F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y"))
-    return optimize(df, "y", X3, Logistic(), penalties.L1(20.0), updaters.CoordinateDescent(), max_iterations=20, tail=1).table(spark)
-
-
-@query()
-def multinomial_fit(spark, sf):
-    df = e4(spark, sf).withColumn("k", F.col("label") % 3)
-    return optimize(df, "k", E4, Multinomial(3), penalties.L2(1.0), updaters.Newton(), max_iterations=15, tail=1).table(spark)
-
-
-@query()
-def minibatch_fit(spark, sf):
-    df = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
-    return optimize(df, "y", ["x"], updater=updaters.AdaGrad(50.0), batch_size=500, key="p_partkey", max_iterations=12, tail=4).table(spark)
-
-
 # --- metrics --------------------------------------------------------------------------------------
 
 
@@ -471,12 +416,6 @@ def univariate_screen(spark, sf):
     return rounded(spark.createDataFrame([(r["term"], r["slope"], r["t"]) for r in got], "term string, slope double, t double"), slope=3, t=5)
 
 
-@query()
-def prep_pipeline(spark, sf):
-    df = labelled(spark, sf).withColumns({"quality": F.col("quality").cast("string"), "toxic": F.col("toxic").cast("string"), "n_chars": F.col("n_chars").cast("string")})
-    return prep.prep(df, "doc_id", normalize=True).frame
-
-
 # --- linear algebra -------------------------------------------------------------------------------
 
 _COO = "(SELECT vec_id AS i, k - 1 AS j, embedding[k]::double AS v FROM embeddings, range(1, 65) AS r(k) WHERE embedding[k] > 0.1)"
@@ -539,12 +478,6 @@ def sparse_dot(spark, sf):
     return rounded(linalg.dot(linalg.row(m, 0), linalg.row(m, 1)), v=7)
 
 
-@query(f"WITH m AS {_COO} SELECT a.i, a.j, round(a.v * b.v, 7) AS v FROM m a JOIN m b ON b.i = a.i + 1 AND a.j = b.j")
-def elementwise_product(spark, sf):
-    m = _coo(spark, sf)
-    return rounded(linalg.multiply(m, m.withColumn("i", F.col("i") - 1)).withColumn("j", F.col("j").cast("long")), v=7)
-
-
 @query(f"WITH m AS {_COO} SELECT i, 64::bigint AS width, count(*) AS stored, round(sum(v), 6) AS total FROM m GROUP BY i")
 def dense_rows(spark, sf):
     d = linalg.dense(_coo(spark, sf), 64)
@@ -552,12 +485,6 @@ def dense_rows(spark, sf):
     return rounded(d.select("i", F.size("row").cast("long").alias("width"), F.size(F.filter("row", lambda x: x != 0)).cast("long").alias("stored"), total.alias("total")), total=6)
 
 
-@query()
-def svd_singular_values(spark, sf):
-    s = linalg.singular_values(linalg.coo(table(spark, sf, "embeddings"), "vec_id", "embedding"), 64, 64)
-    return spark.createDataFrame([(k + 1, float(v)) for k, v in enumerate(s)], "k int, sigma double")
-
-
 @query("SELECT round(sum(embedding[k]::double * embedding[k]::double), 5) AS squared FROM embeddings, range(1, 65) AS r(k)")
 def svd_frobenius(spark, sf):
     s = linalg.singular_values(linalg.coo(table(spark, sf, "embeddings"), "vec_id", "embedding"), 64, 64)
@@ -571,19 +498,6 @@ def pca_sigma(spark, sf):
     return rounded(row(spark, s1=float(p.sigma[0]), s2=float(p.sigma[1])), s1=7, s2=7)
 
 
-@query()
-def pca_scores(spark, sf):
-    df = e4(spark, sf)
-    return cluster.pca(df, E4).scores(df).drop(*E4)
-
-
-@query()
-def pca_plot_data(spark, sf):
-    p = cluster.pca(e4(spark, sf), E4)
-    loadings = p.loading_table(spark).withColumn("key", F.concat_ws("/", "term", "component"))
-    return frames.extremes(loadings, "loading", "key").join(p.scree(spark), "component")
-
-
 # --- clustering and kernels ----------------------------------------------------------------------------
 
 _CENTRES = np.array([[-0.1, -0.1], [0.1, 0.1], [0.2, -0.1]])
@@ -673,17 +587,6 @@ def euclid_distance(spark, sf):
     return rounded(e.join(b, "vec_id").select("vec_id", kernels.euclid_arrays(F.col("embedding"), F.col("other")).alias("d")), d=7)
 
 
-@query()
-def hierarchical_columns(spark, sf):
-    order, _ = cluster.cluster_columns(e4(spark, sf), E4)
-    return spark.createDataFrame([(i, c) for i, c in enumerate(order)], "place long, term string")
-
-
-@query()
-def heatmap_cells(spark, sf):
-    return diagnostics.heatmap(e4(spark, sf), "vec_id", E4)[0]
-
-
 # --- diagnostics ------------------------------------------------------------------------------------------
 
 
@@ -698,17 +601,6 @@ def qq_error(spark, sf):
     return rounded(diagnostics.qq_error(df, "p", "k"), error=8)
 
 
-@query()
-def qq_normal(spark, sf):
-    return diagnostics.qq_normal(table(spark, sf, "customer"), "c_acctbal", "c_custkey")
-
-
-@query()
-def qq_uniform(spark, sf):
-    df = table(spark, sf, "customer").select("c_custkey", ((F.col("c_acctbal") + 1000) / 11001).alias("p"))
-    return diagnostics.qq_uniform(df, "p", "c_custkey")
-
-
 @query("""WITH b AS (SELECT min(c_acctbal) AS lo, (max(c_acctbal) - min(c_acctbal)) / 8 AS w FROM customer) SELECT least(7, floor((c_acctbal - lo) / w))::bigint AS bin, count(*) AS n FROM customer, b GROUP BY 1""")
 def histogram(spark, sf):
     return diagnostics.histogram(table(spark, sf, "customer"), "c_acctbal", 8).select("bin", "n")
@@ -746,18 +638,6 @@ def zip_candidates(spark, sf):
     return rounded(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(z)], "i long, a double, b double"), a=8, b=8)
 
 
-@query()
-def bootstrap_sample(spark, sf):
-    return selection.bootstrap(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_custkey", 42)
-
-
-@query()
-def nested_cv(spark, sf):
-    df = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
-    evaluation, result, scored = selection.fit_with_cv(df, "y", "p_partkey", lambda d, c, warm: optimize(d, "y", ["x"], penalty=penalties.L2(c), updater=updaters.Newton(), tail=1, start=warm), [1.0, 100.0], inner=3)
-    return spark.createDataFrame([(float(s.candidate), float(s.score)) for s in scored], "candidate double, score double")
-
-
 # --- models as files -------------------------------------------------------------------------------------------
 
 
@@ -771,3 +651,6 @@ def back_transform(spark, sf):
 def sparse_rows(spark, sf):
     s = tables.sparse_rows(table(spark, sf, "embeddings"), "vec_id", "embedding")
     return rounded(s.select("vec_id", "size", F.size("indices").alias("stored"), F.aggregate("values", F.lit(0.0), lambda t, x: t + x).alias("total")), total=5)
+
+
+from . import queries_fits, queries_parts  # noqa: E402, F401 - they register theirs

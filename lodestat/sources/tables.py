@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.rows import Vectors
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the session names in spark.checkpoint.dir; one of our own only where it names none, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestat-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
 
 def read_csv(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
     """All cells as strings; the first column (or key) becomes row_id."""
@@ -21,13 +31,18 @@ def doubles(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def read_libsvm(spark: SparkSession, path: str, constant: bool = False) -> DataFrame:
-    """(row_id, label, indices, values) of lines 'label i:v ...' with 1-based indices, kept sparse.
+    """(row_id, label, indices, values) of lines 'label i:v ...' with 1-based indices, kept sparse; row_id counts lines from 0.
 
     constant: an entry of 1 at index 0 is put first.
     """
     parts = F.split(F.trim("value"), r"\s+")
-    # A row's id is its file and place in it, so it doesn't depend on how files are split.
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("row_id")).where(F.trim("value") != "")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m")).where(F.trim("value") != "")
+    # A row's id is its place among the lines of all files, by file name and place in the file, so it doesn't depend on how files are split. A split's lines are numbered in
+    # their order and offset by the counts of earlier splits.
+    split = Window.partitionBy("__f", "__b").orderBy("__m")
+    sizes = lines.groupBy("__f", "__b").agg(F.count("*").alias("__n"))  # a row for each split of a file
+    starts = sizes.withColumn("__s", F.coalesce(F.sum("__n").over(Window.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    lines = lines.withColumn("__r", F.row_number().over(split)).join(starts, ["__f", "__b"]).select("value", (F.col("__s") + F.col("__r") - 1).alias("row_id"))
     cells = F.filter(F.slice(parts, 2, F.size(parts)), lambda c: F.instr(c, ":") > 0)
     got = lines.select("row_id", parts[0].try_cast("double").alias("label"), F.transform(cells, lambda c: F.split(c, ":")[0].cast("int")).alias("indices"), F.transform(cells, lambda c: F.split(c, ":")[1].cast("double")).alias("values"))
     if constant:
@@ -41,6 +56,11 @@ def libsvm_dense(df: DataFrame, width: int) -> DataFrame:
     return df.select("row_id", "label", F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.coalesce(F.try_element_at(cells, i), F.lit(0.0))).alias("features"))
 
 
+def libsvm_vectors(df: DataFrame, width: int) -> tuple[DataFrame, Vectors]:
+    """(df, where its sparse vectors are): 1-based indices as coordinates from 0, so that fits and k-means take the rows as they are."""
+    return df.withColumn("indices", F.transform("indices", lambda i: i - 1)), Vectors(width, None, "indices", "values")
+
+
 def libsvm_coo(df: DataFrame) -> DataFrame:
     return df.select(F.col("row_id").alias("i"), F.explode(F.arrays_zip("indices", "values")).alias("c")).select("i", F.col("c.indices").alias("j"), F.col("c.values").alias("v"))
 
@@ -66,6 +86,16 @@ def sparse_rows(df: DataFrame, key: str, array: str) -> DataFrame:
     return df.select(key, F.size(x).alias("size"), at.alias("indices"), F.transform(at, lambda i: F.element_at(x, i + 1)).alias("values"))
 
 
+def appended(*parts: Column) -> Column:
+    """Vectors one after the other; null if any is."""
+    return F.concat(*[p.cast("array<double>") for p in parts])
+
+
+def write_plot(df: DataFrame, path: str) -> None:
+    """The table behind a plot as CSV with a header: what stands in for image files, as no drawing library is assumed."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
 def vector_json(values) -> str:
     return json.dumps([None if np.isnan(v) else float(v) for v in values])
 
