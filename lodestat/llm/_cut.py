@@ -38,16 +38,16 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     neighbour, with aggregations and joins only, so no component meets in one task.
     Empty edges give an empty table.
     """
+    one = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = None
     for _ in range(limit):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        e = cut(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        both = e.select(F.explode(F.array(one("a", "b"), one("b", "a"))).alias("e")).select("e.a", "e.b")
+        low = both.groupBy("a").agg(F.min("b").alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("u"), F.least("a", "m").alias("v")).where("u > v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(one("v", "m"), one("u", "m"))).alias("e")).select("e.a", "e.b")
+        e = cut(small.where("a <> b").distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
             break

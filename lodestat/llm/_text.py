@@ -31,6 +31,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Odd multipliers of second values, one for each eight bytes.
+_ODD = mix(np.arange(1, LANES + 1, dtype=U) * U(KEYS[1][1])) | U(1)
 _MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -93,40 +95,49 @@ def _borders(data: np.ndarray, at: np.ndarray, separator: np.ndarray) -> tuple[n
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def _named(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    """Names of data[start:end]; data goes on for 8 bytes after the last end."""
-    start, factor = U(KEYS[which][0]), U(KEYS[which][1])
+def _named(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, check: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """(names of data[start:end], a second value for each, by plain sums of eight bytes at a time); data goes on for 8 bytes after the last end."""
+    start, factor = U(KEYS[0][0]), U(KEYS[0][1])
     view = np.ndarray((len(data) - 7,), "<u8", data.data, strides=(1,))
     n = ends - starts
     h = mix(n.astype(U) + start)
+    second = n.astype(U) if check else None
     live = np.flatnonzero(n <= 8 * LANES)
+    all_live = len(live) == len(n)
     for lane in range(LANES):
-        left = n[live] - 8 * lane
-        x = view[starts[live] + 8 * lane] & _MASKS[np.minimum(left, 8)]
-        h[live] = mix((h[live] ^ x) * factor + start)
+        every = lane == 0 and all_live
+        left = n if every else n[live] - 8 * lane
+        x = view[(starts if every else starts[live]) + 8 * lane] & _MASKS[np.minimum(left, 8)]
+        if every:
+            h = mix((h ^ x) * factor + start)
+            if check:
+                second += x * _ODD[0]
+        else:
+            h[live] = mix((h[live] ^ x) * factor + start)
+            if check:
+                second[live] += x * _ODD[lane]
         live = live[left > 8]
         if not len(live):
             break
-    for i in np.flatnonzero(n > 8 * LANES).tolist():
-        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=bytes([which])).digest(), "little")
-    return h
+    for i in np.flatnonzero(n > 8 * LANES).tolist() if not all_live else ():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=16).digest()
+        h[i] = int.from_bytes(digest[:8], "little")
+        if check:
+            second[i] = int.from_bytes(digest[8:], "little")
+    return h, second
 
 
-def words(data: np.ndarray, at: np.ndarray, lower: bool = False, separator: np.ndarray = _SPACE, which: tuple[int, ...] = (0,)):
-    """(names, first byte, byte after, first word of each row) of the words of consecutive rows.
-
-    which: with more than one entry, as many independent names follow each other in a tuple.
-    """
+def words(data: np.ndarray, at: np.ndarray, lower: bool = False, separator: np.ndarray = _SPACE, check: bool = False):
+    """(names, first byte, byte after, first word of each row) of the words of consecutive rows; check: names is (names, second values)."""
     if not len(data):
-        z = np.zeros(0, np.int64)
-        h = tuple(np.zeros(0, U) for _ in which)
-        return (h if len(h) > 1 else h[0]), z, z, np.zeros(len(at), np.int64)
+        z, h = np.zeros(0, np.int64), np.zeros(0, U)
+        return ((h, h) if check else h), z, z, np.zeros(len(at), np.int64)
     starts, ends = _borders(data, at, separator)
     padded = np.empty(len(data) + 8, np.uint8)
     padded[: len(data)] = _LOWER[data] if lower else data
     padded[len(data) :] = 0
-    h = tuple(_named(padded, starts, ends, w) for w in which)
-    return (h if len(h) > 1 else h[0]), starts, ends, np.searchsorted(starts, at)
+    h, second = _named(padded, starts, ends, check)
+    return ((h, second) if check else h), starts, ends, np.searchsorted(starts, at)
 
 
 def _joined(a: np.ndarray, b: np.ndarray, which: int) -> np.ndarray:

@@ -190,7 +190,7 @@ def align(prints: DataFrame, queries: DataFrame, votes: int = 2, most_errors: fl
     start, stop = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("x"), F.size("y") - F.col("offset"))
     part = lambda c, at: F.slice(c, at + 1, F.col("n"))
     both = both.withColumn("s", start).withColumn("n", stop - start).where(F.col("n") >= F.least(F.lit(overlap), F.size("x"), F.size("y")))
-    errors = F.aggregate(F.zip_with(part("x", F.col("s")), part("y", F.col("s") + F.col("offset")), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, e: t + e)
+    errors = F.aggregate(F.zip_with(part("x", F.col("s")), part("y", F.col("s") + F.col("offset")), lambda a, b: F.bit_count(a.bitwiseXOR(b).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0), lambda t, e: t + e)
     judged = both.withColumn("rate", errors / (F.col("n") * 32.0)).where(F.col("rate") <= most_errors)
     order = lambda rate, n, at: F.struct(rate.alias("rate"), (-n).alias("fewer"), F.abs(at).alias("far"), at.alias("offset"))
     pair = judged.groupBy("q", "r").agg(F.min(order(F.col("rate"), F.col("votes"), F.col("offset"))).alias("b"), F.min("match_id").alias("match_id"), F.min("copies").alias("copies"))

@@ -443,11 +443,12 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "t
     verified; every other similar pair connects two classes that links already connect.
     """
     members, frequent, shared = classes(docs, k, text)
-    top = frequent.groupBy("x").agg(F.sum("n").alias("n")).where("n > 7").orderBy(F.desc("n"), "x").limit(FREQUENT).toPandas()
-    tokens, counts = top["x"].to_numpy(np.int64).view(U), np.minimum(top["n"].to_numpy(np.int64), 1 << 30).astype(np.int32)
+    top = frequent.groupBy("x").agg(F.sum("n").alias("n")).where("n > 7").orderBy(F.desc("n"), "x").limit(FREQUENT).toArrow()
+    tokens, counts = top["x"].to_numpy().view(U), np.minimum(top["n"].to_numpy(), 1 << 30).astype(np.int32)
     order = np.argsort(tokens)
     tokens, counts = tokens[order], counts[order]
-    del top
+    del top, order
+    pa.default_memory_pool().release_unused()
     total = int(members.agg(F.sum("n_shingles")).first()[0] or 0)
     buckets = max(48, total * indexed(1000, num, den) // 1000 // 150_000)
     keyed = _keyed(docs, text)

@@ -179,8 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, i
 
     ys = [f"y{i}" for i in range(len(categories))]
     got = rows.select("doc_id", "t", *ys).mapInArrow(of, "doc_id long, f array<long>, " + ", ".join(f"{y} int" for y in ys)).toArrow().sort_by("doc_id")
-    size = np.array([len(x) for x in got["f"]], np.int64)
-    feature = got["f"].combine_chunks().flatten().to_numpy() if len(got) else np.zeros(0, np.int64)
+    lists = got["f"].combine_chunks()
+    size, feature = (np.asarray(lists.value_lengths()).astype(np.int64), lists.flatten().to_numpy()) if len(got) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     y = np.stack([got[c].to_numpy() for c in ys], 1).astype(float) if len(got) else np.zeros((0, len(ys)))
     fold = (got["doc_id"].to_numpy().view(np.uint64) * U(0x9E3779B97F4A7C15) >> U(33)) % U(FOLDS) if len(got) else np.zeros(0)
     return fit_chain(list(categories), np.repeat(np.arange(len(got)), size), feature, y, fold)

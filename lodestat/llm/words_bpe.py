@@ -1,9 +1,9 @@
 """Ids of a whole-word tokenizer, remembered by word.
 
 The tokenizer drops white space before it splits, and neither its normaliser nor its split looks past a blank or a line
-feed, so a text's ids are those of its blank-separated parts in order. Parts are found in the UTF-8 buffer and go by two independent 64-bit names
-(BLAKE2 for long ones); each distinct part goes through the tokenizer once, and documents' ids are gathered with numpy. Parts that hold other
-white space are parts like any other. Where the second names differ, parts with one first name are encoded each by itself.
+feed, so a text's ids are those of its blank-separated parts in order. Parts are found in the UTF-8 buffer and go by a 64-bit name and a second
+value (both of BLAKE2 for long ones); each distinct part goes through the tokenizer once, and documents' ids are gathered with numpy. Parts that hold other
+white space are parts like any other. Where the second values differ, parts with one name are encoded each by itself.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ class WordIds:
         self._reset()
 
     def _reset(self) -> None:
-        self.keys, self.checks, self.places = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)  # sorted first names, second names, and the number of each part
+        self.keys, self.checks, self.places = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)  # sorted names, second values, and the number of each part
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size, self.parts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
@@ -85,7 +85,7 @@ class WordIds:
         data, at = buffer(column)
         for i, j in blocks(at):
             part = data[at[i] : at[j]]
-            (h, check), starts, ends, first = words(part, at[i : j + 1] - at[i], separator=_BLANKS, which=(0, 1))
+            (h, check), starts, ends, first = words(part, at[i : j + 1] - at[i], separator=_BLANKS, check=True)
             number = self._numbers(h, check, part, starts, ends)
             start, size = self.start[number], self.size[number]
             stop = np.cumsum(size)
