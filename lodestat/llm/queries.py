@@ -91,5 +91,28 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_byte_bpe, op2_chroma_fingerprints, op3_stable_projection_nearest, op4_kd_tree_shards, op5_power_of_two_packing, op6_cross_entropy_difference, op7_token_rollups, op8_ngram_jaccard_join, op9_recompression_dedup, op10_toxicity_chain)}
 
 
+_WORDS = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
+
+#: Shingle sets, all pairs that share a shingle, and what the links reach; for tables of some thousand documents.
+_OP8_SQL = f"""WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+ x AS MATERIALIZED (SELECT DISTINCT r, s FROM (SELECT r, array_to_string(w[i + 1 : i + 4], ' ') AS s FROM w, LATERAL (SELECT unnest(range(greatest(len(w) - 3, least(len(w), 1)))) AS i))),
+ n AS MATERIALIZED (SELECT w.r, any_value(doc_id) AS doc_id, count(s) AS n FROM w LEFT JOIN x ON x.r = w.r GROUP BY w.r),
+ c AS MATERIALIZED (SELECT min(r) AS c, h, any_value(n) AS n FROM (SELECT x.r, any_value(n.n) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS h FROM x JOIN n ON n.r = x.r GROUP BY x.r) GROUP BY h),
+ m AS MATERIALIZED (SELECT x.r, md5(string_agg(s, chr(10) ORDER BY s)) AS h FROM x GROUP BY x.r), p AS MATERIALIZED (SELECT c.c, c.n, x.s FROM c JOIN x ON x.r = c.c),
+ l AS MATERIALIZED (SELECT a.c AS a, b.c AS b FROM p a JOIN p b ON a.s = b.s AND a.c <> b.c GROUP BY a.c, b.c HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+ reach AS (SELECT c AS a, c AS b FROM c UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+ g AS MATERIALIZED (SELECT a, min(b) AS g FROM reach GROUP BY a), low AS (SELECT g.g, min(n.doc_id) AS low FROM m JOIN c ON c.h = m.h JOIN g ON g.a = c.c JOIN n ON n.r = m.r GROUP BY g.g)
+ SELECT n.doc_id, n.n AS n_shingles, CASE WHEN n.n = 0 THEN n.doc_id ELSE low.low END AS component_id FROM n LEFT JOIN m ON m.r = n.r LEFT JOIN c ON c.h = m.h LEFT JOIN g ON g.a = c.c LEFT JOIN low ON low.g = g.g"""
+
+#: All windows of 20 words in order; the words of those that are not the first of their kind go.
+_OP9_SQL = f"""WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+ s AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i + 1 : i + 20], ' ') AS s FROM w, LATERAL (SELECT unnest(range(greatest(len(w) - 19, 0))) AS i)),
+ later AS MATERIALIZED (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM s) WHERE k > 1),
+ gone AS MATERIALIZED (SELECT DISTINCT doc_id, i + d AS i FROM later, range(20) AS r(d)),
+ kept AS MATERIALIZED (SELECT w.doc_id, string_agg(t, ' ' ORDER BY t0.i) FILTER (WHERE gone.i IS NULL) AS kept, count(gone.i) AS n_removed FROM w, LATERAL (SELECT unnest(w) AS t, unnest(range(len(w))) AS i) AS t0 LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.i = t0.i GROUP BY w.doc_id)
+ SELECT w.doc_id, len(w)::bigint AS n_words, coalesce(n_removed, 0)::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The two that SQL can say; the others need a tokenizer, a fitted model or a search that is not exact."""
+    return {"op8_ngram_jaccard_join": _OP8_SQL, "op9_recompression_dedup": _OP9_SQL}
