@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.moments import moments
 from ..plans.rows import Block, Vectors, folded
-from .frames import complete
+from .frames import complete, drawn
 from .linalg import fix_signs
 
 
@@ -76,7 +76,7 @@ def kmeans_random(df: DataFrame, columns: list[str], k: int, restarts: int, iter
     """The cheapest of several runs from rows picked by a seeded hash of their key."""
     best = None
     for r in range(restarts):
-        rows = df.orderBy(F.xxhash64(key, F.lit(seed + r)), key).limit(k).select(*columns).collect()
+        rows = df.orderBy(drawn(key, seed + r), key).limit(k).select(*columns).collect()
         got = kmeans(df, columns, np.array([[float(x[c]) for c in columns] for x in rows]), iterations)
         best = got if best is None or got.cost < best.cost else best
     return best
@@ -148,7 +148,7 @@ def kmeans_rows_random(df: DataFrame, at: Vectors, k: int, restarts: int, iterat
     at = Vectors(at.width, at.dense, at.indices, at.values, False)
     rows, best = at.complete(df.select(F.col(key).alias("__k"), *at.columns())), None
     for r in range(restarts):
-        picked = rows.orderBy(F.xxhash64("__k", F.lit(seed + r)), "__k").limit(k).drop("__k").toArrow().combine_chunks().to_batches()
+        picked = rows.orderBy(drawn("__k", seed + r), "__k").limit(k).drop("__k").toArrow().combine_chunks().to_batches()
         start = np.concatenate([Block(b, at).some(np.arange(at.width), 0, len(b)) for b in picked]) if picked else np.zeros((0, at.width))
         if not len(start):
             raise ValueError("k-means needs a complete row at least")
@@ -176,8 +176,8 @@ def medoid_plot(df: DataFrame, assigned: DataFrame, key: str, x: str, y: str) ->
 #: Pairs of rows that distances() makes at most.
 MOST_PAIRS = 500_000_000
 
-#: Points of a block, and least partitions of the pairs of blocks, when sums of distances within clusters are formed.
-BLOCK, BLOCK_PARTS = 2048, 200
+#: Points of a block, and most partitions of the pairs of blocks, when sums of distances within clusters are formed.
+BLOCK, BLOCK_PARTS = 2048, 20_000
 
 
 def distances(df: DataFrame, key: str, columns: list[str], to: DataFrame | None = None) -> DataFrame:
@@ -220,11 +220,13 @@ def medoid_recenter_rows(df: DataFrame, key: str, columns: list[str], assigned:
     rows = df.dropna(subset=[key, *columns]).select(F.col(key).alias("i"), *[F.col(c).cast("double").alias(c) for c in columns])
     points = rows.join(assigned.select("i", "medoid"), "i").groupBy("medoid", *columns).agg(F.min("i").alias("i"), F.count("*").cast("double").alias("w"))
     sizes = points.groupBy("medoid").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    pairs = int(sizes.agg(F.sum(F.col("blocks") * F.col("blocks"))).first()[0] or 1)
+    parts = max(8, min(BLOCK_PARTS, pairs))
     dealt = points.join(F.broadcast(sizes), "medoid").withColumn("b", F.pmod(F.xxhash64(*columns), F.col("blocks")))
     packed = dealt.groupBy("medoid", "blocks", "b").agg(F.collect_list(F.struct("i", "w", F.array(*columns).alias("x"))).alias("p"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    left = packed.select("medoid", F.col("b").alias("a"), every.alias("b"), F.col("p").alias("mine")).repartition(BLOCK_PARTS, "medoid", "a", "b")
-    right = packed.select("medoid", "b", every.alias("a"), F.col("p").alias("theirs")).repartition(BLOCK_PARTS, "medoid", "a", "b")
+    left = packed.select("medoid", F.col("b").alias("a"), every.alias("b"), F.col("p").alias("mine")).repartition(parts, "medoid", "a", "b")
+    right = packed.select("medoid", "b", every.alias("a"), F.col("p").alias("theirs")).repartition(parts, "medoid", "a", "b")
 
     def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

@@ -68,6 +68,11 @@ def complete(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns], F.lit(True)))
 
 
+def drawn(key: str | Column, *seeds: int) -> Column:
+    """A hash that orders rows at random: 32 hex digits of the key and seeds, the same on every engine that has MD5."""
+    return F.md5(F.concat_ws(":", F.col(key) if isinstance(key, str) else key, *[F.lit(s) for s in seeds]))
+
+
 def range_bucket(df: DataFrame, column: str, parts: int = 64) -> Column:
     """The number of a value's range: ranges hold about as many rows each, and equal values share one. Nulls are in the first."""
     cuts = sorted(set(df.approxQuantile(column, [i / parts for i in range(1, parts)], 0.001)))

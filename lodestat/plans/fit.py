@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.frames import complete, nan_to_null
+from ..operators.frames import complete, drawn, nan_to_null
 from ..operators.kernels import FeatureMap, Identity, feature_map
 from .objectives import Data, Linear, Logistic, Multinomial, VectorData, objective, objective_spec
 from .penalties import L2, NoPenalty
@@ -26,14 +26,11 @@ def batch_ids(df: DataFrame, key: str, batches: int, seed: int, epoch: int, out:
     Each row's batch is its rank by hash, modulo batches: ranks come from hash ranges that are counted once and offset, so
     no window spans the table.
     """
-    h = F.xxhash64(key, F.lit(seed), F.lit(epoch))
-    parts = 1024
-    at = df.withColumn("__h", h).withColumn("__r", F.shiftrightunsigned("__h", 54).cast("int"))
-    sizes = at.groupBy("__r").agg(F.count("*").alias("__n"))  # 1024 rows at most
+    at = df.withColumn("__h", drawn(key, seed, epoch)).withColumn("__r", F.substring("__h", 1, 3))
+    sizes = at.groupBy("__r").agg(F.count("*").alias("__n"))  # 4096 rows at most
     before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     within = F.row_number().over(Window.partitionBy("__r").orderBy("__h", key))
-    assert parts == 1 << 10
     return at.join(F.broadcast(sizes), "__r").withColumn(out, F.pmod(F.col("__start") + within - 1, F.lit(batches)).cast("int")).drop("__h", "__r", "__start")
 
 

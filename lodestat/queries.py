@@ -441,7 +441,7 @@ def gram(spark, sf):
     return rounded(linalg.gram(_coo(spark, sf)).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "v"), v=6)
 
 
-@query(f"WITH m AS (SELECT * FROM {_COO} WHERE i < 60) SELECT a.i AS i, b.i AS j, round(sum(a.v * b.v), 6) AS v FROM m a JOIN m b USING (j) GROUP BY a.i, b.i")
+@query(f"WITH m AS MATERIALIZED {_COO} SELECT a.i AS i, b.i AS j, round(sum(a.v * b.v), 6) AS v FROM m a JOIN m b USING (j) GROUP BY a.i, b.i")
 def outer_product(spark, sf):
     return rounded(linalg.outer(_coo(spark, sf)), v=6)
 
@@ -535,7 +535,7 @@ def kmeans_restarts(spark, sf):
     return r.transform(e4(spark, sf), E4).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-_DIST = f"(SELECT a.vec_id AS i, b.vec_id AS j, sqrt((a.e0 - b.e0) * (a.e0 - b.e0) + (a.e1 - b.e1) * (a.e1 - b.e1)) AS d FROM {_E4} a, {_E4} b WHERE a.vec_id < 150 AND b.vec_id < 150)"
+_DIST = f"(SELECT a.vec_id AS i, b.vec_id AS j, sqrt((a.e0 - b.e0) * (a.e0 - b.e0) + (a.e1 - b.e1) * (a.e1 - b.e1)) AS d FROM {_E4} a, {_E4} b)"
 _MEDOID = f"d AS {_DIST}, a AS (SELECT i, arg_min(j, (d, j)) AS medoid, min(d) AS d FROM d WHERE j IN (0, 1, 2) GROUP BY i)"
 
 
@@ -554,10 +554,23 @@ def kmedoid_recenter(spark, sf):
     return cluster.medoid_recenter_rows(rows, "vec_id", ["e0", "e1"], _assigned(rows, [0, 1, 2]))
 
 
-@query()
+def _kmedoid_sql(steps: int = 12) -> str:
+    """Alternating assignment and recentring; the step before the first that costs no less counts."""
+    out = [f"d AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, sqrt((a.e0 - b.e0) * (a.e0 - b.e0) + (a.e1 - b.e1) * (a.e1 - b.e1)) AS d FROM {_E4} a, {_E4} b)", "m0 AS MATERIALIZED (SELECT unnest([0, 1, 2])::bigint AS j)"]
+    for t in range(steps):
+        out.append(f"a{t} AS MATERIALIZED (SELECT i, arg_min(d.j, (d, d.j)) AS medoid, min(d) AS d FROM d JOIN m{t} ON m{t}.j = d.j GROUP BY i)")
+        out.append(f"m{t + 1} AS MATERIALIZED (SELECT arg_min(i, (s, i)) AS j FROM (SELECT x.medoid, d.i, sum(d.d) AS s FROM d JOIN a{t} x USING (i) JOIN a{t} y ON d.j = y.i AND x.medoid = y.medoid GROUP BY x.medoid, d.i) GROUP BY medoid)")
+    out.append("c AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {t} AS t, sum(d) AS c FROM a{t}" for t in range(steps)) + ")")
+    out.append("b AS MATERIALIZED (SELECT min(t) AS t FROM (SELECT t, c, lead(c) OVER (ORDER BY t) AS e FROM c) WHERE e >= c - 1e-12)")
+    out.append("r AS (" + " UNION ALL ".join(f"SELECT {t} AS t, * FROM a{t}" for t in range(steps)) + ")")
+    return f"WITH {', '.join(out)} SELECT medoid, count(*) AS n, round(sum(d), 6) AS cost FROM r JOIN b USING (t) GROUP BY medoid"
+
+
+@query(_kmedoid_sql())
 def kmedoid_fit(spark, sf):
     rows = e4(spark, sf)
-    return _assigned(rows, cluster.kmedoid_rows(rows, "vec_id", ["e0", "e1"], [0, 1, 2], 20).medoids).groupBy("medoid").agg(F.count("*").alias("n"), F.sum("d").alias("cost"))
+    out = _assigned(rows, cluster.kmedoid_rows(rows, "vec_id", ["e0", "e1"], [0, 1, 2], 20).medoids)
+    return rounded(out.groupBy("medoid").agg(F.count("*").alias("n"), F.sum("d").alias("cost")), cost=6)
 
 
 @query(f"SELECT vec_id, round(exp(-({_D[0]}) / (2 * 0.02)), 8) AS rbf_0, round(exp(-({_D[1]}) / (2 * 0.02)), 8) AS rbf_1, round(exp(-({_D[2]}) / (2 * 0.025)), 8) AS rbf_2 FROM {_E4}")

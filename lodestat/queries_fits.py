@@ -354,16 +354,22 @@ def step_record(spark, sf):
  t AS (SELECT 0 AS k, 0.0::double AS b, 0.0::double AS g, xx, xy FROM s UNION ALL SELECT k + 1, b + 0.05 * (xy - xx * b) / sqrt(g + (xy - xx * b) * (xy - xx * b) + 1e-8), g + (xy - xx * b) * (xy - xx * b), xx, xy FROM t WHERE k < 8)
  SELECT round(avg(b), 6) AS b FROM t WHERE k IN (5, 6, 7, 8)""")
 def minibatch_whole(spark, sf):
-    """Mini-batches as large as the table: steps that the SQL can follow (smaller ones are drawn by a hash that it lacks)."""
+    """Mini-batches as large as the table."""
     df = table(spark, sf, "part").select("p_partkey", (F.col("p_size") / 10.0).alias("x"), (F.col("p_retailprice") / 1000).alias("y"))
     r = optimize(df, "y", ["x"], updater=updaters.AdaGrad(0.05), add_intercept=False, normalize=False, batch_size=10**9, key="p_partkey", max_iterations=6, tail=4, stop=lambda s: False)
     return rounded(row(spark, b=float(r.coefficients[0])), b=6)
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT count(*) // 500 + 1 AS nb, stddev_samp(p_size::double) AS s FROM part),
+ o AS MATERIALIZED (SELECT e, (row_number() OVER (PARTITION BY e ORDER BY md5(p_partkey || ':42:' || e), p_partkey) - 1) % nb AS batch, p_size / s AS x, p_retailprice AS y, nb FROM part, n, range(30) AS r(e)),
+ g AS MATERIALIZED (SELECT e * any_value(nb) + batch AS k, count(*)::double AS c, sum(x) AS sx, sum(x * x) AS xx, sum(y) AS sy, sum(x * y) AS xy FROM o WHERE e * nb <= 24 GROUP BY e, batch),
+ t AS (SELECT 0 AS k, 0.0::double AS a, 0.0::double AS b, 0.0::double AS u, 0.0::double AS v UNION ALL
+  SELECT k + 1 AS k, a + 50 * ga / sqrt(u + ga * ga + 1e-8) AS a, b + 50 * gb / sqrt(v + gb * gb + 1e-8) AS b, u + ga * ga AS u, v + gb * gb AS v FROM (SELECT t.*, sy - c * a - sx * b AS ga, xy - sx * a - xx * b AS gb FROM t JOIN g ON g.k = t.k)),
+ z AS (SELECT avg(a) AS a, avg(b / s) AS b FROM t, n WHERE k > nb + 1 + 8 AND k <= nb + 1 + 12)
+ SELECT 'intercept' AS term, round(a, 4) AS estimate FROM z UNION ALL SELECT 'x', round(b, 4) FROM z""")
 def minibatch_fit(spark, sf):
-    """No SQL: batches are drawn by xxhash64, which it lacks; ``minibatch_whole`` and ``batch_sizes`` have it."""
-    return optimize(_part(spark, sf), "y", ["x"], updater=updaters.AdaGrad(50.0), batch_size=500, key="p_partkey", max_iterations=12, tail=4).table(spark)
+    """AdaGrad on mini-batches of some 500 rows, dealt by an MD5 of key, seed and epoch; the mean of the last 4 of 12 steps after the first epoch."""
+    return rounded(optimize(_part(spark, sf), "y", ["x"], updater=updaters.AdaGrad(50.0), batch_size=500, key="p_partkey", max_iterations=12, tail=4, stop=lambda s: False).table(spark), estimate=4)
 
 
 @query("WITH n AS (SELECT count(*) AS n, count(*) // 500 + 1 AS b FROM part) SELECT k AS batch, (n // b + CASE WHEN k < n % b THEN 1 ELSE 0 END)::bigint AS rows FROM n, range(1000) AS r(k) WHERE k < b")
