@@ -36,7 +36,7 @@ def chunked(docs: DataFrame, least: int = 48, text: str = "text", carry: tuple[s
     rest = [F.col(f"`{c}`") for c in rows.columns if c != "__h"]
     hot = rows.groupBy("__h").agg(F.count("*").alias("__n")).where(F.col("__n") > COPIES).select("__h")
     many = hot.count()
-    ranges = max(least, n // CHUNKS_A_RANGE)
+    ranges = n // CHUNKS_A_RANGE
     if not many:
         return rows.select(chunk(), *rest), n, ranges
     hot = cut(hot)

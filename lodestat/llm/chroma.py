@@ -20,6 +20,7 @@ empty tables. Other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -47,20 +48,30 @@ FILTERS = filters()
 WIDTH = max(f[3] for f in FILTERS)
 
 
+@functools.lru_cache(8)
+def _folding(rate: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, bins in use, bins by pitch class)"""
+    f = np.fft.rfftfreq(FRAME, 1 / rate)
+    use = np.flatnonzero((f >= LOWEST) & (f <= HIGHEST))
+    fold = np.zeros((len(use), 12))
+    fold[np.arange(len(use)), np.round(12 * np.log2(f[use] / 440.0)).astype(int) % 12] = 1
+    return np.hanning(FRAME), use, fold
+
+
 def chroma(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
     """Frames by 12 pitch classes; each frame has unit length unless it is silent."""
     n = (len(samples) - FRAME) // HOP + 1
     if n < 1:
         return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.as_strided(samples, (n, FRAME), (samples.strides[0] * HOP, samples.strides[0]))
-    power = np.abs(np.fft.rfft(frames * np.hanning(FRAME), axis=1)) ** 2
-    f = np.fft.rfftfreq(FRAME, 1 / rate)
-    use = np.flatnonzero((f >= LOWEST) & (f <= HIGHEST))
-    fold = np.zeros((len(use), 12))
-    fold[np.arange(len(use)), np.round(12 * np.log2(f[use] / 440.0)).astype(int) % 12] = 1
-    c = power[:, use] @ fold
-    size = np.sqrt((c * c).sum(1, keepdims=True))
-    return np.where(size > 1e-3, c / np.maximum(size, 1e-3), 0.0)
+    window, use, fold = _folding(rate)
+    out = np.empty((n, 12))
+    for lo in range(0, n, 1024):  # long recordings a part at a time
+        hi = min(lo + 1024, n)
+        frames = np.lib.stride_tricks.as_strided(samples[lo * HOP :], (hi - lo, FRAME), (samples.strides[0] * HOP, samples.strides[0]))
+        z = np.fft.rfft(frames * window, axis=1)[:, use]
+        out[lo:hi] = (z.real * z.real + z.imag * z.imag) @ fold
+    size = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.where(size > 1e-3, out / np.maximum(size, 1e-3), 0.0)
 
 
 def fingerprint(image: np.ndarray) -> np.ndarray:
