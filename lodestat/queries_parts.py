@@ -450,3 +450,33 @@ def qq_uniform(spark, sf):
     df = table(spark, sf, "customer").select("c_custkey", ((F.col("c_acctbal") + 1000) / 11001).alias("p"))
     return rounded(diagnostics.qq_uniform(df, "p", "c_custkey").select("rank", "expected", "observed"), expected=7, observed=7)
 
+
+# --- vectors -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT k - 1 AS j, 1.0::double AS sparse, round(1 / stddev_samp(embedding[k]::double), 6) AS dense FROM embeddings, range(1, 65) AS r(k) GROUP BY k")
+def vector_scaling(spark, sf):
+    """Factors of feature vectors: 1 / sd of dense ones; sparse ones are not scaled."""
+    from .plans.fit import vector_factors
+
+    df, at = _sparse(spark, sf)
+    a, b = vector_factors(df, at), vector_factors(table(spark, sf, "embeddings"), Vectors(64, "embedding", intercept=False))
+    return rounded(spark.createDataFrame([(j, float(a[j]), float(b[j])) for j in range(64)], "j long, sparse double, dense double"), dense=6)
+
+
+@query("""WITH o AS MATERIALIZED (SELECT embedding, (label % 2)::double AS y, row_number() OVER (ORDER BY md5(vec_id || ':7:0'), vec_id) - 1 AS place FROM embeddings), n AS (SELECT count(*) // 200 + 1 AS nb FROM embeddings),
+ b AS MATERIALIZED (SELECT embedding, y FROM o, n WHERE place % nb = 1)
+ SELECT k - 1 AS j, round(sum((y - 0.5) * CASE WHEN embedding[k] > 0.1::float THEN embedding[k]::double ELSE 0 END), 6) + 0 AS g, count(*) AS n FROM b, range(1, 65) AS r(k) GROUP BY k""")
+def sparse_minibatch_gradient(spark, sf):
+    """The second mini-batch of sparse rows: its gradient of a logistic fit at 0, and its rows."""
+    from .plans.fit import mini_batches
+    from .plans.objectives import Logistic, VectorData
+
+    df, at = _sparse(spark, sf)
+    rows = df.select("at", "values", (F.col("label") % 2).alias("y"), F.col("vec_id").alias("__key"))
+    parts = mini_batches(rows, "__key", 200, rows.count(), 7, lambda d: Logistic().on(VectorData(d, at, "y", np.zeros(64))))
+    next(parts)
+    o = next(parts)
+    g, n = o.gradient(np.zeros(64)), o.n
+    parts.close()
+    return rounded(spark.createDataFrame([(j, float(v), n) for j, v in enumerate(g)], "j long, g double, n long"), g=6)

@@ -133,6 +133,16 @@ def test_stream_scoring(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("p")).first()[0] == 90
 
 
+def test_windowed_moments_of_a_stream(spark, tmp_path):
+    rows = [(f"2026-01-01 00:{m:02d}:30", float(m), 3.0 * m + 1) for m in range(20)]
+    spark.createDataFrame(rows, "t string, x double, y double").select(F.col("t").cast("timestamp").alias("t"), "x", "y").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("t timestamp, x double, y double").parquet(str(tmp_path / "in"))
+    out = scoring.windowed_moments(stream, "t", "x", "y", "10 minutes", "1 minute")
+    out.writeStream.format("memory").queryName("moments").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    got = spark.table("moments").orderBy("window").collect()
+    assert [(r.n, r.mean_x, round(r.slope, 9), round(r.r, 9)) for r in got] == [(10, 4.5, 3.0, 1.0), (10, 14.5, 3.0, 1.0)]
+
+
 def test_wide_and_long(spark):
     df = spark.createDataFrame([(1, 2.0, 3.0), (2, 4.0, 5.0)], "id int, a double, b double")
     t = frames.transposed(df, "id", ["a", "b"], [1, 2]).orderBy("j").collect()
