@@ -17,14 +17,12 @@ from pyspark.sql import functions as F
 from ._cut import BROADCAST_ROWS, cut, text_bytes
 
 CHUNK_BYTES = 6 << 20
-#: Chunks for each key range: a range's task holds what as many chunks send it, some 12 MB.
-CHUNKS_A_RANGE = 3
 #: Rows equal in doc_id and text from which they are dealt over several chunks.
 COPIES = 1000
 
 
-def chunked(docs: DataFrame, least: int = 48, text: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, int, int]:
-    """((chunk, doc_id, text, and carry_<place> of the columns carry), chunks, key ranges that suit the corpus).
+def chunked(docs: DataFrame, least: int = 48, text: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """((chunk, doc_id, text, and carry_<place> of the columns carry), how many chunks, and key ranges, suit the corpus).
 
     A row's chunk is a hash of its doc_id and text, so neither a null nor a repeated doc_id gathers texts in one task. Very many rows
     equal in both are written once with a number and dealt by it, so that every read of the chunks finds them in the same place.
@@ -36,13 +34,12 @@ def chunked(docs: DataFrame, least: int = 48, text: str = "text", carry: tuple[s
     rest = [F.col(f"`{c}`") for c in rows.columns if c != "__h"]
     hot = rows.groupBy("__h").agg(F.count("*").alias("__n")).where(F.col("__n") > COPIES).select("__h")
     many = hot.count()
-    ranges = n // CHUNKS_A_RANGE
     if not many:
-        return rows.select(chunk(), *rest), n, ranges
+        return rows.select(chunk(), *rest), n
     hot = cut(hot)
     few = F.broadcast(hot) if many <= BROADCAST_ROWS else hot
     dealt = cut(rows.join(few, "__h", "left_semi").select(chunk(F.expr(f"monotonically_increasing_id() div {COPIES}")), *rest))
-    return rows.join(few, "__h", "left_anti").select(chunk(), *rest).unionByName(dealt), n, ranges
+    return rows.join(few, "__h", "left_anti").select(chunk(), *rest).unionByName(dealt), n
 
 
 def in_order(group: pa.Table) -> pa.Table:

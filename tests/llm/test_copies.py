@@ -245,7 +245,7 @@ def test_rows_with_one_doc_id_are_dealt_over_chunks(spark, monkeypatch):
     shared = " ".join(f"s{i}" for i in range(30))
     pairs = [(None, f"n{i} {shared} n{i}") for i in range(300)] + [(4, f"r{i} {shared}") for i in range(200)] + [(9, shared)] * 40 + [(None, shared)] * 30 + [(1, f"first {shared}")]
     docs = spark.createDataFrame(rows(pairs), DOC).repartition(4)
-    base, n, _ = _chunks.chunked(docs)
+    base, n = _chunks.chunked(docs)
     assert base.groupBy("chunk").count().agg({"count": "max"}).first()[0] < 100
     for copies in (1000, 5):
         monkeypatch.setattr(_chunks, "COPIES", copies)
