@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._chunks import chunked, in_order, ranges
+from ._chunks import Messages, chunked, hop, in_order
 from ._cut import BROADCAST_ROWS
 from ._memory import thrifty
 from ._text import U, blocks, buffer, mix, words
@@ -96,48 +96,40 @@ class _Chunk:
         self.target = np.tile(np.repeat(self.docs["target"].to_numpy().astype(bool), np.diff(self.first)), 2)
 
 
-ASKED = "range int, chunk int, n long, keys binary, counts binary, target binary"
+def _packed(name: str, x: np.ndarray) -> bytes:
+    return pack(x) if name == "keys" else _press(np.ascontiguousarray(x))
 
 
-def _ask(group: pa.Table, n: int) -> pa.Table:
+def _unpacked(name: str, x: bytes, n: int, kind: np.dtype) -> np.ndarray:
+    return unpack(x, n) if name == "keys" else _release(x, n, kind)
+
+
+def _ask(group: pa.Table, to: Messages) -> pa.Table:
     c = _Chunk(group)
     keys, count = np.unique(c.keys, return_counts=True)
     inside, times = np.unique(c.keys[c.target], return_counts=True)
     target = np.zeros(len(keys), np.uint32)
     target[np.searchsorted(keys, inside)] = times
-    at = ranges(keys, n)
-    full = np.flatnonzero(np.diff(at))
-    parts = [slice(at[i], at[i + 1]) for i in full]
-    blob = lambda f, x: pa.array([f(x[p]) for p in parts], pa.binary())
-    return pa.table({
-        "range": pa.array(full, pa.int32()), "chunk": pa.array(np.full(len(full), group["chunk"][0].as_py()), pa.int32()), "n": pa.array(np.diff(at)[full], pa.int64()),
-        "keys": blob(pack, keys), "counts": blob(_press, count.astype(np.uint32)), "target": blob(_press, target),
-    })
-
-
-def _reply(group: pa.Table, scale: float, vocabulary: int, prior: float) -> pa.Table:
-    """For each chunk's keys: the pair's or the context's part of target loss minus background loss."""
-    size = group["n"].to_numpy()
-    join = lambda name, f: np.concatenate([f(x, n) for x, n in zip(group[name].to_pylist(), size.tolist(), strict=True)])
-    keys = join("keys", unpack)
-    u, of = np.unique(keys, return_inverse=True)
-    all_, target = (np.bincount(of, join(c, lambda x, n: _release(x, n, np.uint32)), len(u)) for c in ("counts", "target"))
+    return to.ask(group["chunk"][0].as_py(), keys, {"keys": keys, "counts": count.astype(np.uint32), "target": target})
+
+
+def _reply(asked: dict[str, np.ndarray], scale: float, vocabulary: int, prior: float) -> np.ndarray:
+    """For each key: the pair's or the context's part of target loss minus background loss."""
+    u, of = np.unique(asked["keys"], return_inverse=True)
+    all_, target = (np.bincount(of, asked[c], len(u)) for c in ("counts", "target"))
     more = np.where(u & U(1) == 1, prior / vocabulary, prior)
     term = np.log(scale * all_ + more) - np.log(target + more)
-    term = np.where(u & U(1) == 1, term, -term).astype(np.float32)[of]
-    at = np.r_[0, np.cumsum(size)]
-    return pa.table({"chunk": group["chunk"], "range": group["range"], "n": group["n"], "reply": pa.array([_press(term[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())})
+    return np.where(u & U(1) == 1, term, -term).astype(np.float32)[of]
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
 
 
-def _scores(group: pa.Table, replies: pa.Table) -> pa.Table:
+def _scores(group: pa.Table, replies: pa.Table, to: Messages) -> pa.Table:
     if not len(group):
         return _OUT.empty_table()
     c = _Chunk(group)
-    replies = replies.sort_by("range")
-    term = np.concatenate([np.zeros(0, np.float32), *(_release(x, n, np.float32) for x, n in zip(replies["reply"].to_pylist(), replies["n"].to_pylist(), strict=True))]).astype(np.float64)
+    term = to.answers(replies).astype(np.float64)
     _, of = np.unique(c.keys, return_inverse=True)
     each = term[of]
     half = len(each) // 2
@@ -160,7 +152,7 @@ def score(docs: DataFrame, target: DataFrame, prior: float = PRIOR, text: str =
     else:  # rows without a doc_id need no partner, and would meet in one task
         rows = base.where("doc_id is not null").join(marks, "doc_id", "left").unionByName(base.where("doc_id is null").withColumn("target", F.lit(False)))
     rows = rows.withColumn("target", F.coalesce("target", F.lit(False)))
-    asked = rows.groupBy("chunk").applyInArrow(lambda g: _ask(g, n), ASKED)
-    replies = asked.groupBy("range").applyInArrow(lambda g: _reply(g, scale, v, prior), "chunk int, range int, n long, reply binary")
-    return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_scores, "doc_id long, n_tokens long, score double")
-
+    to = Messages(n, hop(n), {"keys": np.dtype("<u8"), "counts": np.dtype("<u4"), "target": np.dtype("<u4")}, np.dtype("<f4"), _packed, _unpacked)
+    asked = rows.groupBy("chunk").applyInArrow(lambda g: _ask(g, to), to.schema)
+    replies = to.answered(asked, lambda asked, chunk: _reply(asked, scale, v, prior))
+    return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(lambda g, r: _scores(g, r, to), "doc_id long, n_tokens long, score double")

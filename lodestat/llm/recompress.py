@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._chunks import answered, answers, ask, chunked, in_order
+from ._chunks import Messages, chunked, hop, in_order
 from ._memory import thrifty
 from ._text import U, blocks, buffer, mix, windows, words
 
@@ -137,37 +137,30 @@ KEY = np.dtype([("a", "<u8"), ("b", "<u4")])
 _LAST = np.iinfo(np.int64).max
 
 
-def _ask_symbols(group: pa.Table, n: int) -> pa.Table:
+def _ask_symbols(group: pa.Table, to: Messages) -> pa.Table:
     u, c = _Chunk(group).symbols()
-    return ask(group["chunk"][0].as_py(), u, n, {"twice": c > 1})
+    return to.ask(group["chunk"][0].as_py(), u, {"keys": u, "twice": c > 1})
 
 
-def _shared(keys: np.ndarray, size: np.ndarray, group: pa.Table) -> np.ndarray:
-    twice = np.frombuffer(b"".join(group["twice"].to_pylist()), bool)
-    _, of, count = np.unique(keys, return_inverse=True, return_counts=True)
-    return (count + np.bincount(of[twice], minlength=len(count)) > 1)[of]
+def _shared(asked: dict[str, np.ndarray], chunk: np.ndarray) -> np.ndarray:
+    _, of, count = np.unique(asked["keys"], return_inverse=True, return_counts=True)
+    return (count + np.bincount(of[asked["twice"]], minlength=len(count)) > 1)[of]
 
 
-def _ask_windows(group: pa.Table, replies: pa.Table, n: int, k: int) -> pa.Table:
+def _ask_windows(group: pa.Table, replies: pa.Table, symbols: Messages, to: Messages, k: int) -> pa.Table:
     if not len(group):
-        return ask(0, np.zeros(0, U), n, {"doc": np.zeros(0, np.int64)}).select(["range", "chunk", "keys", "doc"])
+        return to.ask(0, np.zeros(0, U), {"keys": np.zeros(0, KEY), "doc": np.zeros(0, np.int64)})
     c = _Chunk(group)
-    start = c.candidates(answers(replies, bool), k)
+    start = c.candidates(symbols.answers(replies), k)
     key, first, _ = c.distinct(start, k)
     docs = np.asarray(c.table["doc_id"].combine_chunks().fill_null(_LAST))[c.owner(start[first])]
-    out = ask(group["chunk"][0].as_py(), key["a"].copy(), n, {"check": key["b"].copy(), "doc": docs})
-    merged = []
-    for a, b in zip(out["keys"].to_pylist(), out["check"].to_pylist(), strict=True):
-        x = np.empty(len(b) // 4, KEY)
-        x["a"], x["b"] = np.frombuffer(a, U), np.frombuffer(b, np.uint32)
-        merged.append(x.tobytes())
-    return pa.table({"range": out["range"], "chunk": out["chunk"], "keys": pa.array(merged, pa.binary()), "doc": out["doc"]})
-
-
-def _first_owner(keys: np.ndarray, size: np.ndarray, group: pa.Table) -> np.ndarray:
-    """Whether each part's entry has the smallest (doc_id, chunk) of its key."""
-    doc, chunk = np.frombuffer(b"".join(group["doc"].to_pylist()), np.int64), np.repeat(group["chunk"].to_numpy(), size)
-    o = np.lexsort((chunk, doc, keys["b"], keys["a"]))
+    return to.ask(group["chunk"][0].as_py(), key["a"].copy(), {"keys": key, "doc": docs})
+
+
+def _first_owner(asked: dict[str, np.ndarray], chunk: np.ndarray) -> np.ndarray:
+    """Whether each entry has the smallest (doc_id, chunk) of its key."""
+    keys = asked["keys"]
+    o = np.lexsort((chunk, asked["doc"], keys["b"], keys["a"]))
     s = keys[o]
     new = np.ones(len(s), bool)
     new[1:] = (s["a"][1:] != s["a"][:-1]) | (s["b"][1:] != s["b"][:-1])
@@ -176,23 +169,23 @@ def _first_owner(keys: np.ndarray, size: np.ndarray, group: pa.Table) -> np.ndar
     return out
 
 
-def _marked(group: pa.Table, replies: pa.Table, k: int) -> tuple[_Chunk, np.ndarray]:
+def _marked(group: pa.Table, replies: pa.Table, symbols: Messages, owners: Messages, k: int) -> tuple[_Chunk, np.ndarray]:
     c = _Chunk(group)
     kind = replies["kind"].to_numpy()
-    start = c.candidates(answers(replies.filter(pa.array(kind == 0)), bool), k)
+    start = c.candidates(symbols.answers(replies.filter(pa.array(kind == 0))), k)
     key, first, of = c.distinct(start, k)
     later = np.ones(len(start), bool)
-    later[first] = ~answers(replies.filter(pa.array(kind == 1)), bool)
+    later[first] = ~owners.answers(replies.filter(pa.array(kind == 1)))
     change = np.zeros(len(c.h) + 1, np.int64)
     change[: len(c.h) + 1] += np.bincount(start[later], minlength=len(c.h) + 1) - np.bincount(start[later] + k, minlength=len(c.h) + 1)
     return c, np.cumsum(change)[:-1] > 0
 
 
-def _strip(group: pa.Table, replies: pa.Table, k: int, as_is: bool) -> pa.Table:
+def _strip(group: pa.Table, replies: pa.Table, symbols: Messages, owners: Messages, k: int, as_is: bool) -> pa.Table:
     carried = [c for c in group.column_names if c.startswith("carry_")]
     if not len(group):
         return pa.table([pa.array([], f.type) for f in SCHEMA] + [group[c] for c in carried], names=SCHEMA.names + carried)
-    c, gone = _marked(group, replies, k)
+    c, gone = _marked(group, replies, symbols, owners, k)
     removed = np.r_[0, np.cumsum(gone)]
     n_words, n_removed = np.diff(c.first), removed[c.first[1:]] - removed[c.first[:-1]]
     kept: list = []
@@ -217,13 +210,14 @@ def remove_repeats(docs: DataFrame, k: int = 20, text: str = "text", carry: tupl
     as_is: the kept text of rows that lose nothing is their text, with its own white space (null if null).
     """
     base, n = chunked(docs, text=text, carry=carry)
-    groups = base.groupBy("chunk")
-    first = answered(groups.applyInArrow(lambda g: _ask_symbols(g, n), "range int, chunk int, keys binary, twice binary"), _shared)
-    asked = base.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(lambda g, r: _ask_windows(g, r, n, k), "range int, chunk int, keys binary, doc binary")
-    second = answered(asked, _first_owner, KEY)
+    symbols = Messages(n, hop(n), {"keys": np.dtype("<u8"), "twice": np.dtype(bool)}, np.dtype(bool))
+    owners = Messages(n, hop(n), {"keys": KEY, "doc": np.dtype("<i8")}, np.dtype(bool))
+    first = symbols.answered(base.groupBy("chunk").applyInArrow(lambda g: _ask_symbols(g, symbols), symbols.schema), _shared)
+    asked = base.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(lambda g, r: _ask_windows(g, r, symbols, owners, k), owners.schema)
+    second = owners.answered(asked, _first_owner)
     both = first.withColumn("kind", F.lit(0)).unionByName(second.withColumn("kind", F.lit(1)))
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name.startswith("carry_"))
-    return base.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(lambda g, r: _strip(g, r, k, as_is), "doc_id long, n_words long, n_removed long, kept string" + extra)
+    return base.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(lambda g, r: _strip(g, r, symbols, owners, k, as_is), "doc_id long, n_words long, n_removed long, kept string" + extra)
 
 
 def without_repeats(docs: DataFrame, k: int = 50) -> DataFrame:

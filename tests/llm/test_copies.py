@@ -116,8 +116,11 @@ def strip(pairs, k):
     return out
 
 
-@pytest.mark.parametrize("k", [5, 20])
-def test_repeats_are_those_of_all_windows(docs, pairs, k):
+@pytest.mark.parametrize("k,direct", [(5, 4096), (20, 4096), (20, 3)])
+def test_repeats_are_those_of_all_windows(docs, pairs, k, direct, monkeypatch):
+    from lodestat.llm import _chunks
+
+    monkeypatch.setattr(_chunks, "DIRECT", direct)  # with 3, messages take two hops
     got = Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in recompress.remove_repeats(docs, k).collect())
     assert got == strip(pairs, k)
 

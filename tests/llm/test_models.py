@@ -11,7 +11,11 @@ from lodestat.llm import chroma, cross_entropy, nearest, sharding, toxicity
 from .conftest import DOC, rows
 
 
-def test_cross_entropy(docs, none, pairs):
+@pytest.mark.parametrize("direct", [4096, 3])
+def test_cross_entropy(docs, none, pairs, direct, monkeypatch):
+    from lodestat.llm import _chunks
+
+    monkeypatch.setattr(_chunks, "DIRECT", direct)  # with 3, messages take two hops
     target = docs.where("doc_id % 2 = 0").select("doc_id")
     got = Counter((r.doc_id, r.n_tokens, None if r.score is None else round(r.score, 3)) for r in cross_entropy.score(docs, target).collect())
     everything, inside, size = Counter(), Counter(), [0, 0]
