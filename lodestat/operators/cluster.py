@@ -128,9 +128,8 @@ def kmeans_rows(df: DataFrame, at: Vectors, centres: np.ndarray, iterations: int
                 if at.sparse:
                     sums = np.bincount(near[block.row] * at.width + block.index, block.value, k * at.width)
                 else:
-                    sums = np.zeros((k, at.width))
-                    np.add.at(sums, near, block.x)
-                return np.r_[np.bincount(near, minlength=k), sums.ravel(), block.squares().sum()]
+                    sums = np.bincount((near[:, None] * at.width + np.arange(at.width)).ravel(), block.x.ravel(), k * at.width)
+                return np.r_[np.bincount(near, minlength=k), sums, block.squares().sum()]
 
             got = folded(rows, k + k * at.width + 1, of)
             n, sums = got[:k], got[k:-1].reshape(k, at.width)
