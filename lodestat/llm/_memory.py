@@ -7,8 +7,8 @@ import functools
 
 import pyarrow as pa
 
-#: Blocks from this size are mapped by themselves and unmapped when freed.
-LEAST = 1 << 20
+#: Blocks from this size are mapped by themselves and unmapped when freed; smaller ones would cost more in page faults than they give back.
+LEAST, TRIM = 8 << 20, 16 << 20
 
 
 @functools.cache
@@ -18,6 +18,6 @@ def thrifty() -> None:
     try:
         c = ctypes.CDLL(None)
         c.mallopt(-3, LEAST)  # M_MMAP_THRESHOLD, which also stops its growth
-        c.mallopt(-1, 4 * LEAST)  # M_TRIM_THRESHOLD
+        c.mallopt(-1, TRIM)  # M_TRIM_THRESHOLD
     except (OSError, AttributeError):
         pass
