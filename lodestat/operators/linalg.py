@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 WIDEST = 4096
 #: Rows and cells of a block of outer(), columns that are multiplied at a time, and most partitions of the pairs of blocks.
 BLOCK, BLOCK_CELLS, BLOCK_COLUMNS, BLOCK_PARTS = 2048, 1 << 18, 256, 20_000
+#: Cells of a partition whose cells are gathered into rows, and entries of such rows that are given at a time.
+ROW_CELLS, ROW_ENTRIES = 1 << 19, 1 << 19
 
 
 def coo(df: DataFrame, key: str, array: str) -> DataFrame:
@@ -77,13 +79,63 @@ def gram_rows(df: DataFrame, array: str, width: int) -> np.ndarray:
     """
     from ..plans.rows import folded
 
-    x = F.transform(F.coalesce(F.col(array).cast("array<double>"), F.array_repeat(F.lit(0.0), width)), lambda v: F.when(v.isNull() | F.isnan(v), 0.0).otherwise(v))
-
     def of(b) -> np.ndarray:
         m = b.column(0).flatten().to_numpy().reshape(len(b), width)
         return (m.T @ m).ravel()
 
-    return folded(df.select(x.alias("x")), width * width, of).reshape(width, width)
+    return folded(df.select(_filled(array, width).alias("x")), width * width, of).reshape(width, width)
+
+
+def _filled(array: str, width: int) -> Column:
+    """An array column without nulls and NaN."""
+    return F.transform(F.coalesce(F.col(array).cast("array<double>"), F.array_repeat(F.lit(0.0), width)), lambda v: F.when(v.isNull() | F.isnan(v), 0.0).otherwise(v))
+
+
+def rows_times(df: DataFrame, key: str, array: str, b: np.ndarray) -> DataFrame:
+    """(key, array) of each dense row times b, which is parameter-sized: rows stay where they are and pass batch by batch."""
+
+    def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            yield _row_batch(batch.column(0), batch.column(1).flatten().to_numpy().reshape(len(batch), len(b)) @ b, [key, array])
+
+    return df.select(key, _filled(array, len(b)).alias(array)).mapInArrow(of, f"`{key}` {df.schema[key].dataType.simpleString()}, `{array}` array<double>")
+
+
+def _row_batch(keys: pa.Array, x: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+    return pa.record_batch([keys, lists], names)
+
+
+def gathered(m: DataFrame, columns: int) -> DataFrame:
+    """(i, x): the cells of each row as a dense array; equal (i, j) are added. Partitions grow in number, not in size, with the table."""
+    m = m.where("j is not null and v is not null").select("i", F.col("j").cast("int").alias("j"), F.col("v").cast("double").alias("v"))
+    parts = max(int(m.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-m.count() // ROW_CELLS))
+    kind = m.schema["i"].dataType.simpleString()
+
+    def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None  # the last row, which may go on
+        for batch in it:
+            if not len(batch):
+                continue
+            code = batch.column(0).dictionary_encode(null_encoding="encode")
+            row, j, v = code.indices.to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()  # rows come in order, so codes do
+            names, many = code.dictionary, max(1, ROW_ENTRIES // columns)
+            for low in range(0, len(names), many):
+                some = slice(*np.searchsorted(row, [low, low + many]))
+                x = np.zeros((min(many, len(names) - low), columns))
+                np.add.at(x, (row[some] - low, j[some]), v[some])
+                own = names.slice(low, len(x))
+                if kept is not None and kept[0].equals(own.slice(0, 1)):
+                    x[0] += kept[1][0]
+                elif kept is not None:
+                    yield _row_batch(*kept, ["i", "x"])
+                if len(x) > 1:
+                    yield _row_batch(own.slice(0, len(x) - 1), x[:-1], ["i", "x"])
+                kept = own.slice(len(x) - 1), x[-1:]
+        if kept is not None:
+            yield _row_batch(*kept, ["i", "x"])
+
+    return m.repartition(parts, "i").sortWithinPartitions("i").mapInArrow(of, f"i {kind}, x array<double>")
 
 
 def gram(m: DataFrame) -> DataFrame:
@@ -208,18 +260,24 @@ def svd(m: DataFrame, columns: int, k: int) -> tuple[np.ndarray, np.ndarray, Dat
     """(singular values, V on the driver, U as (i, j, v)) of the k largest; needs columns^2 cells on the driver (WIDEST columns at most)."""
     if columns > WIDEST:
         raise ValueError(f"{columns} columns; {WIDEST} are the most")
-    values, vectors = np.linalg.eigh(to_numpy(gram(m), columns, columns))
+    s, v, u = svd_rows(gathered(m, columns), "i", "x", columns, k)
+    return s, v, u.select("i", F.posexplode("x").alias("j", "v")).withColumn("j", F.col("j").cast("long"))
+
+
+def svd_rows(df: DataFrame, key: str, array: str, width: int, k: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """svd() of a table of dense rows, whose U is (key, array) with a row of U each. Nothing is shuffled; null rows and null or NaN entries count as 0."""
+    if width > WIDEST:
+        raise ValueError(f"{width} columns; {WIDEST} are the most")
+    values, vectors = np.linalg.eigh(gram_rows(df, array, width))
     order = np.argsort(-values)[:k]
     s = np.sqrt(np.maximum(values[order], 0))
     keep = s > 1e-12 * max(s.max(initial=0), 1e-300)
     s, v = s[keep], fix_signs(vectors[:, order[keep]])
-    spark = m.sparkSession
-    table = spark.createDataFrame([(i, j, float(v[i, j] / s[j])) for i in range(columns) for j in range(len(s))], "i long, j long, v double")
-    return s, v, mm(m, F.broadcast(table))
+    return s, v, rows_times(df, key, array, v / s)
 
 
 def singular_values(m: DataFrame, columns: int, k: int) -> np.ndarray:
-    values = np.linalg.eigvalsh(to_numpy(gram(m), columns, columns))[::-1][:k]
+    values = np.linalg.eigvalsh(gram_rows(gathered(m, columns), "x", columns))[::-1][:k]
     return np.sqrt(np.maximum(values, 0))
 
 

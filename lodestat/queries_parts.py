@@ -225,9 +225,9 @@ def svd_singular_values(spark, sf):
 @query("SELECT vec_id AS i, k - 1 AS j, round(embedding[k]::double, 6) + 0 AS v FROM embeddings, range(1, 65) AS r(k)")
 def svd_reconstruct(spark, sf):
     """U S V' of all 64 singular triples is the matrix."""
-    s, v, u = linalg.svd(linalg.coo(table(spark, sf, "embeddings"), "vec_id", "embedding"), 64, 64)
-    right = spark.createDataFrame([(k, j, float(s[k] * v[j, k])) for k in range(len(s)) for j in range(64)], "i long, j long, v double")
-    return rounded(linalg.mm(u, F.broadcast(right)).select("i", "j", "v"), v=6)
+    s, v, u = linalg.svd_rows(table(spark, sf, "embeddings"), "vec_id", "embedding", 64, 64)
+    back = linalg.rows_times(u, "vec_id", "embedding", (v * s).T)
+    return rounded(back.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v")).withColumn("j", F.col("j").cast("long")), v=6)
 
 
 @query(f"WITH {_G64} SELECT i - 1 AS i, j - 1 AS j, round(v, 5) + 0 AS v FROM g")

@@ -24,3 +24,35 @@ def test_outer_product_by_blocks(spark, monkeypatch):
                 assert np.allclose(got[f"r{i}", f"r{j}"], (a[i, both] * a[j, both]).sum(), equal_nan=True)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate(keys=[i" not in plan  # no partial sums of pairs
+
+
+def test_svd_gathers_rows_and_keeps_them_in_place(spark, monkeypatch):
+    monkeypatch.setattr(linalg, "ROW_ENTRIES", 24)
+    r = np.random.default_rng(6)
+    a = np.where(r.random((300, 6)) < 0.6, r.normal(size=(300, 6)), 0)
+    a[0, 0] = 1.0
+    cells = [(f"r{i}", int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)] + [("r0", 0, 2.0)]
+    a[0, 0] += 2.0
+    m = spark.createDataFrame(cells, "i string, j int, v double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = linalg.gathered(m, 6).collect()
+        s, v, u = linalg.svd(m, 6, 6)
+        back = {(x.i, x.j): x.v for x in u.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {x.i: x.x for x in rows} == {f"r{i}": a[i].tolist() for i in range(300) if a[i].any()} and len(rows) == a.any(1).sum()
+    assert np.allclose(s, np.linalg.svd(a)[1]) and np.allclose(linalg.singular_values(m, 6, 6), s)
+    assert all(np.allclose(np.array([back[x.i, k] for k in range(6)]) * s @ v.T, x.x) for x in rows)
+
+
+def test_svd_reconstruct_shuffles_no_rows(spark, tmp_path):
+    from lodestat import queries_parts
+
+    x = np.random.default_rng(7).normal(size=(90, 64)).astype(np.float32)
+    x[4] = 0  # a row of zeros has its cells too
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = queries_parts.svd_reconstruct(spark, str(tmp_path))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.i, r.j): r.v for r in out.collect()}
+    assert len(got) == 90 * 64 and all(abs(got[i, j] - x[i, j]) < 2e-6 for i in range(90) for j in range(64))
