@@ -438,9 +438,9 @@ def fit_on_split(spark, sf):
     """A fit on given rows, judged on others, by the general search; a fit begun at its own result scores the same."""
     placed = selection.position(_part(spark, sf), "p_partkey", order=F.col("p_partkey")).withColumnRenamed("position", "place")
     n = placed.count()
-    size = int(n * 0.9) // 3 + 1
-    fold = F.floor(F.col("place") / size)
-    rows = placed.where(F.col("place") < int(n * 0.9))
+    inner = selection.share(n, 0.9)
+    fold = F.floor(F.col("place") / (inner // 3 + 1))
+    rows = placed.where(F.col("place") < inner)
     train = lambda d, c, start: optimize(d, "y", ["x"], penalty=penalties.L2(c), updater=updaters.Newton(), start=start, tail=1)
     splits = [(rows.where(fold > 0), rows.where(fold == 0))] * 2
     return rounded(row(spark, score=selection.search(splits, "y", [100.0], train)[0].score), score=3)

@@ -3,6 +3,7 @@
 import numpy as np
 
 from lodestat.operators import linalg
+from lodestat.plans import selection
 
 
 def test_outer_product_by_blocks(spark, monkeypatch):
@@ -56,3 +57,9 @@ def test_svd_reconstruct_shuffles_no_rows(spark, tmp_path):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     got = {(r.i, r.j): r.v for r in out.collect()}
     assert len(got) == 90 * 64 and all(abs(got[i, j] - x[i, j]) < 2e-6 for i in range(90) for j in range(64))
+
+
+def test_split_takes_the_decimal_share(spark):
+    df = spark.range(90_000).withColumnRenamed("id", "k")
+    assert selection.split(df, "k", 0.7).where("is_train").count() == 63_000
+    assert [selection.share(n, r) for n, r in ((90_000, 0.7), (100, 0.29), (10, 0.1), (7, 0.7), (5, 1))] == [63_000, 29, 1, 4, 5]
