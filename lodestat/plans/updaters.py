@@ -49,7 +49,10 @@ class FixedStep:
 
 @dataclass
 class Fista:
-    """Accelerated proximal gradient; the step starts long and is halved until its quadratic model is an upper bound."""
+    """Accelerated proximal gradient; the step starts long and is halved until its quadratic model is an upper bound.
+
+    The momentum starts again where it points away from the step, so that iterates settle instead of swinging around the optimum.
+    """
 
     def next(self, state: State, objective, penalty) -> State:
         mask, m = objective.mask, state.memory
@@ -62,6 +65,8 @@ class Fista:
             if a <= 2 * least or -objective.smooth(x) <= f + g @ d + d @ d / (2 * a):
                 break
             a /= 2
+        if (y - x) @ (x - state.point) > 0:
+            return State(x, {"a": a, "t": 1.0, "y": x})
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         return State(x, {"a": a, "t": t2, "y": x + (x - state.point) * ((t - 1) / t2)})
 
@@ -231,6 +236,18 @@ def relative_stop(eps: float, validation: bool = False):
     return lambda s: abs(s.validation_change if validation else s.train_change) < eps
 
 
+def settled(eps: float):
+    """The point moves by no more than eps of its largest entry."""
+    last: list[np.ndarray] = []
+
+    def rule(s: Step) -> bool:
+        done = bool(last) and np.abs(s.point - last[-1]).max(initial=0) <= eps * np.abs(s.point).max(initial=0)
+        last[:] = [s.point]
+        return done
+
+    return rule
+
+
 def fixed_iterations(n: int):
     return lambda s: s.iteration >= n
 

@@ -131,7 +131,7 @@ _TIGHT = {"stop": updaters.relative_stop(1e-14), "max_iterations": 3000}
 
 @query(_sparse_sql(1e6, 0.0))
 def lasso_fit(spark, sf):
-    return rounded(optimize(table(spark, sf, "lineitem"), "l_extendedprice", X3, penalty=penalties.L1(1e6), updater=updaters.Fista(), **_TIGHT).table(spark), estimate=1)
+    return rounded(optimize(table(spark, sf, "lineitem"), "l_extendedprice", X3, penalty=penalties.L1(1e6), updater=updaters.Fista(), stop=updaters.settled(1e-12), max_iterations=3000).table(spark), estimate=1)
 
 
 @query(_sparse_sql(1e6, 1e3))

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from lodestat.functions import arrays, dist
 from lodestat.operators import diagnostics, linalg
-from lodestat.plans import selection
+from lodestat.plans import penalties, selection, updaters
+from lodestat.plans.fit import iterate
+from lodestat.plans.objectives import BoundLinear
 
 
 def test_outer_product_by_blocks(spark, monkeypatch):
@@ -76,3 +78,18 @@ def test_qq_uniform_has_every_row(spark):
     k = np.array([1.0, 2, 150, 20_000, 30_490, n])
     for p in (0.95, 0.05):
         assert np.allclose(arrays.beta_quantile(p, k, n + 1 - k), [dist.beta_quantile(p, int(i), n + 1 - int(i)) for i in k], rtol=1e-9)
+
+
+def test_fista_settles_at_the_optimum_of_many_rows():
+    n, mean = 36e6, np.array([1.0, 1.77, 1.58, 1.55])
+    xx = n * (np.outer(mean, mean) + np.diag([0.0, 1, 1, 1]))
+    xy = xx @ np.array([5e4, 30.0, 30.0, 40.0])
+    o = BoundLinear(None, np.block([[xx, xy[:, None]], [xy[None], np.array([[n * 4e9]])]]), int(n), np.array([0.0, 1, 1, 1]))
+    best = np.zeros(4)
+    for _ in range(3000):
+        for i in range(4):
+            r = xy[i] - xx[i] @ best + xx[i, i] * best[i]
+            best[i] = np.sign(r) * max(0, abs(r) - (1e6 if i else 0)) / xx[i, i]
+    for stop in (updaters.settled(1e-12), updaters.relative_stop(1e-14)):
+        got, last = iterate(iter(lambda: o, None), None, 4, updaters.Fista(), penalties.L1(1e6), stop, 2, 3000, 50)
+        assert np.abs(got - best).max() < 1e-3 and last.iteration < 1000
